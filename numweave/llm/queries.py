@@ -33,12 +33,12 @@ ORACLES = {
     "op8_line_dedup": r"""
         WITH l AS (
           SELECT doc_id, coalesce(source, '') AS site, unnest(string_split(text, chr(10))) AS line,
-                 unnest(range(len(string_split(text, chr(10))))) AS at
+                 unnest(range(len(string_split(text, chr(10))))) AS pos
           FROM documents WHERE text IS NOT NULL),
-        t AS (SELECT doc_id, site, at, line, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS key FROM l),
+        t AS (SELECT doc_id, site, pos, line, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS key FROM l),
         w AS (SELECT key, min(doc_id) AS first FROM t WHERE key <> '' GROUP BY key HAVING count(DISTINCT site) >= 10),
         m AS (SELECT t.*, w.first IS NOT NULL AND w.first <> t.doc_id AS gone FROM t LEFT JOIN w USING (key))
         SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_removed,
-               sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT gone), '')) AS kept_sha256
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM m GROUP BY doc_id""",
 }
