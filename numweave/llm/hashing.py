@@ -63,7 +63,6 @@ def features(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     hashes = word_hashes(low, starts, ends)
     words = (hashes % np.uint64(WORDS)).astype(np.int64)
     gram_row = np.repeat(np.arange(n), np.maximum(0, np.diff(at) - 2))
-    place = np.arange(len(text))[: max(0, len(text) - 2)]
     inside = np.ones(len(text), bool)
     for k in (1, 2):
         inside[np.maximum(at[1:] - k, at[:-1])[np.diff(at) > 0]] = False
@@ -92,7 +91,7 @@ def scored(docs: DataFrame, weights: np.ndarray, bias: np.ndarray) -> DataFrame:
             row, ids, values, count = features(text, at)
             logits = np.stack([np.bincount(row, weights[ids, k] * values, len(at) - 1) + bias[k] for k in range(len(bias))], 1)
             flat = pa.array(np.round(logits, 9).ravel())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.__len__() + 1, len(bias), dtype=np.int32)), flat)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, len(bias), dtype=np.int32)), flat)
             yield pa.RecordBatch.from_arrays([chunk.column("doc_id").combine_chunks(), pa.array(count.astype(np.int64)), lists], names=["doc_id", "n_words", "logits"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, logits array<double>")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, packing, quality, secrets, simhash, substrings
+from . import classifier, lines, packing, quality, secrets, simhash, substrings, tokens
 from .common import table
 
 
@@ -26,16 +26,36 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")), version=2)
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = lines.drop_wide_lines(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_simhash, op4_secret_scan, op5_quality_rules, op8_line_dedup, op10_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_substring_dedup,
+        op3_simhash,
+        op4_secret_scan,
+        op5_quality_rules,
+        op6_quality_classifier,
+        op8_line_dedup,
+        op9_token_counts,
+        op10_packing,
+    )
+}
 
 ORACLES = {
     "op8_line_dedup": r"""
