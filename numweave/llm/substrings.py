@@ -95,17 +95,44 @@ def firsts(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def lists(key: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
+def lists(key: np.ndarray, *values: np.ndarray, kind=np.int64) -> list[pa.Array]:
     """Key column and list columns with the values of each key."""
     order = np.argsort(key, kind="stable")
     key = key[order]
     at = np.flatnonzero(firsts(key)) if len(key) else np.zeros(0, np.int64)
     offsets = pa.array(np.append(at, len(key)).astype(np.int32), pa.int32())
-    return [pa.array(key[at], pa.int64()), *(pa.ListArray.from_arrays(offsets, pa.array(v[order].astype(np.int64), pa.int64())) for v in values)]
+    return [pa.array(key[at], pa.int64()), *(pa.ListArray.from_arrays(offsets, pa.array(v[order].astype(kind))) for v in values)]
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of bytes or of integers (as differences to the least, in as few bytes as hold them), compressed."""
+    parts = []
+    for x in arrays:
+        base = int(x.min(initial=0)) if x.dtype.kind == "i" else 0
+        x = x - base if base else x
+        if x.dtype != np.uint8:
+            x = x.astype(np.min_scalar_type(int(x.max(initial=0))))
+        parts.append(np.array([base, x.itemsize, x.nbytes], "<i8").tobytes() + x.tobytes())
+    data = b"".join(parts)
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+    out, at = [], 0
+    while at < len(raw):
+        base, width, size = np.frombuffer(raw, "<i8", 3, at)
+        x = np.frombuffer(raw, f"<u{width}", size // width, at + 24)
+        out.append(x if width == 1 and not base else x.astype(np.int64) + base)
+        at += 24 + int(size)
+    return out
 
 
-def pack(*arrays: np.ndarray) -> list[bytes]:
-    return [x.tobytes() for x in arrays]
+def contents(hashes: np.ndarray, first: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each segment: its first bytes, and the hashes of its windows."""
+    sums = np.append(np.uint64(0), np.cumsum(window_hashes(hashes, ragged(first, n), length)))
+    ends = np.cumsum(n)
+    return (sums[ends] - sums[ends - n]) ^ (hashes[first] * MIX[1]) ^ n.astype(np.uint64)
 
 
 # ---- anchors that documents share
@@ -126,7 +153,7 @@ def send_anchors(batches: Iterator[pa.RecordBatch], length: int, parts: int) ->
         at = np.flatnonzero(firsts(anchor))
         count = np.diff(np.append(at, len(anchor)))
         many = np.repeat(count > 1, count)
-        rows = [(-1, *pack(doc[many].astype("<i8"), anchor[many].astype("<u8"), np.zeros(0, "<u4")))] if many.any() else []
+        rows = [(-1, doc[many].tobytes(), anchor[many].tobytes(), b"")] if many.any() else []
         anchor, doc = anchor[at], doc[at]
         part = (anchor % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
@@ -157,18 +184,20 @@ def send_anchors(batches: Iterator[pa.RecordBatch], length: int, parts: int) ->
 
 
 def meet_anchors(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
-    """Shared anchors by document; anchors with over ``hot`` documents (kind 1); the number of all (kind 2)."""
-    anchors, docs, counts = [], [], []
-    names = ["kind", "doc", "anchors", "n"]
+    """Shared anchors by document, as their low 32 bits (others that have these too cost work, not results); anchors
+    with over ``hot`` documents (kind 1) and their number of documents; the number of all anchors (kind 2)."""
+    anchors, docs, counts, known = [], [], [], []
+    names = ["kind", "doc", "anchors", "anchor", "n"]
 
     def by_doc(doc: np.ndarray, anchor: np.ndarray) -> pa.RecordBatch:
-        key, values = lists(doc, anchor)
-        return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(key), np.int32)), key, values, pa.nulls(len(key), pa.int64())], names=names)
+        key, values = lists(doc, anchor & np.uint64(0xFFFFFFFF), kind=np.uint32)
+        values = pa.ListArray.from_arrays(values.offsets, values.values.view(pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(key), np.int32)), key, values, *[pa.nulls(len(key), pa.int64())] * 2], names=names)
 
     for batch in batches:
         for part, d, a, c in zip(*(x.to_pylist() for x in batch.columns)):
             if part < 0:
-                yield by_doc(np.frombuffer(d, "<i8"), np.frombuffer(a, "<u8"))
+                known.append((np.frombuffer(d, "<i8"), np.frombuffer(a, "<u8")))
                 continue
             n = len(a) // 6
             anchors.append((np.frombuffer(a, "<u2", n).astype(np.uint64) << np.uint64(32)) | np.frombuffer(a, "<u4", n, 2 * n))
@@ -177,6 +206,8 @@ def meet_anchors(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.Rec
             count[more[: len(more) // 2]] = more[len(more) // 2 :]
             counts.append(count)
     if not anchors:
+        if known:
+            yield by_doc(*(np.concatenate(x) for x in zip(*known)))
         return
     anchor, doc, count = np.concatenate(anchors), np.concatenate(docs), np.concatenate(counts)
     order = np.argsort(anchor, kind="stable")
@@ -185,13 +216,13 @@ def meet_anchors(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.Rec
     size = np.diff(np.append(at, len(anchor)))
     total = np.add.reduceat(count, at)
     shared = np.repeat(size > 1, size)
-    if shared.any():
-        yield by_doc(doc[shared], anchor[shared])
+    if shared.any() or known:
+        yield by_doc(*(np.concatenate(x) for x in zip(*known, (doc[shared], anchor[shared]))))
     many = np.flatnonzero(total > hot)
     kind = np.append(np.ones(len(many), np.int32), np.int32(2))
     number = np.append(total[many], count.sum())
-    values = pa.array([*([int(x)] for x in anchor[at[many]]), []], pa.list_(pa.int64()))
-    yield pa.RecordBatch.from_arrays([pa.array(kind), pa.nulls(len(kind), pa.int64()), values, pa.array(number)], names=names)
+    which = np.append(anchor[at[many]].astype(np.int64), 0)
+    yield pa.RecordBatch.from_arrays([pa.array(kind), pa.nulls(len(kind), pa.int64()), pa.nulls(len(kind), pa.list_(pa.int32())), pa.array(which), pa.array(number)], names=names)
 
 
 # ---- segments of shared anchors
@@ -200,15 +231,11 @@ def meet_anchors(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.Rec
 def send_segments(batches: Iterator[pa.RecordBatch], length: int, parts: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Segments of shared anchors with their bytes. Of equal segments in one chunk only the smallest document's go out;
     the others are covered (part -1). Segments of hot anchors are dealt out window by window."""
-    types = (pa.int32(), *[pa.binary()] * 5)
     for chunk in chunks(batches, "text", PIECE):
-        shared = chunk.column("anchors").combine_chunks()
-        shared = np.unique(shared.values.to_numpy(zero_copy_only=False).astype(np.uint64)) if len(shared.values) else np.zeros(0, np.uint64)
-        if not len(shared):
-            continue
+        shared = np.unique(chunk.column("anchors").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint32))
         text, at = utf8(chunk.column("text").combine_chunks())
         row, first, n, anchor, hashes = runs(text, at, length)
-        keep = np.isin(anchor, shared)
+        keep = np.isin((anchor & np.uint64(0xFFFFFFFF)).astype(np.uint32), shared)
         row, first, n, anchor = row[keep], first[keep], n[keep], anchor[keep]
         if not len(row):
             continue
@@ -220,28 +247,24 @@ def send_segments(batches: Iterator[pa.RecordBatch], length: int, parts: int, ho
             n, anchor = np.append(n[~split], np.ones(len(w), np.int64)), np.append(anchor[~split], own)
         doc = chunk.column("doc").to_numpy()[row]
         start = first - at[row]
-        w = ragged(first, n)
-        sums = np.append(np.uint64(0), np.cumsum(window_hashes(hashes, w, length)))
-        ends = np.cumsum(n)
-        content = (sums[ends] - sums[ends - n]) ^ (hashes[first] * MIX[1]) ^ n.astype(np.uint64)
+        content = contents(hashes, first, n, length)
         order = np.lexsort((doc, content))
         new = firsts(content[order])
         least = np.repeat(doc[order][new], np.diff(np.append(np.flatnonzero(new), len(order))))
         later = order[doc[order] > least]
         sent = order[doc[order] == least]
-        rows = []
-        if len(later):
-            rows.append((-1, *pack(doc[later].astype("<i8"), start[later].astype("<i8"), n[later].astype("<i8")), b"", b""))
+        rows = [(-1, pack(doc[later], start[later], n[later]))] if len(later) else []
         part = (anchor[sent] % np.uint64(parts)).astype(np.int64)
-        by = np.argsort(part, kind="stable")
+        by = np.lexsort((anchor[sent], part))
         sent, part = sent[by], part[by]
-        data, size = text[ragged(first[sent], n[sent] + length - 1)], n[sent] + length - 1
+        size = n[sent] + length - 1
+        data = text[ragged(first[sent], size)]
         byte = np.append(0, np.cumsum(size))
         cut = np.flatnonzero(firsts(part))
         for a, b in zip(cut, [*cut[1:], len(part)]):
             x = sent[a:b]
-            rows.append((int(part[a]), *pack(doc[x].astype("<i8"), start[x].astype("<i8"), n[x].astype("<i8"), content[x]), data[byte[a] : byte[b]].tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=["part", "docs", "starts", "windows", "contents", "data"])
+            rows.append((int(part[a]), pack(doc[x], start[x], n[x], data[byte[a] : byte[b]])))
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary()))], names=["part", "data"])
 
 
 def previous_factor(ranks: np.ndarray, lcp: np.ndarray, least: int) -> np.ndarray:
@@ -291,29 +314,29 @@ def earlier_windows(doc: np.ndarray, n: np.ndarray, data: np.ndarray, length: in
 def meet_segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """(doc, starts, ends) of what an earlier document covers."""
     names = ["doc", "starts", "ends"]
-    held: dict[int, list[tuple]] = {}
+    held: dict[int, list[list[np.ndarray]]] = {}
     for batch in batches:
-        for part, *x in zip(*(c.to_pylist() for c in batch.columns)):
-            doc, start, n = (np.frombuffer(b, "<i8") for b in x[:3])
-            if part < 0:
-                yield pa.RecordBatch.from_arrays(lists(doc, start, start + n + length - 1), names=names)
-            else:
-                held.setdefault(part, []).append((doc, start, n, np.frombuffer(x[3], "<u8"), np.frombuffer(x[4], np.uint8)))
+        for part, data in zip(*(c.to_pylist() for c in batch.columns)):
+            held.setdefault(part, []).append(unpack(data))
+    for x in held.pop(-1, []):
+        doc, start, n = (y.astype(np.int64) for y in x)
+        yield pa.RecordBatch.from_arrays(lists(doc, start, start + n + length - 1), names=names)
     while held:
-        doc, start, n, content, data = (np.concatenate(x) for x in zip(*held.popitem()[1]))
+        doc, start, n, data = (np.concatenate(x) for x in zip(*held.popitem()[1]))
+        doc, start, n = (x.astype(np.int64) for x in (doc, start, n))
+        size = n + length - 1
+        begin = np.cumsum(size) - size
+        content = contents(gram_hashes(data), begin, n, length)
         order = np.lexsort((doc, content))
         new = firsts(content[order])
         least = np.repeat(doc[order][new], np.diff(np.append(np.flatnonzero(new), len(order))))
         later = order[doc[order] > least]
         kept = order[doc[order] == least]
         kept = kept[np.argsort(doc[kept], kind="stable")]
-        size = n + length - 1
-        data = data[ragged((np.cumsum(size) - size)[kept], size[kept])]
-        segment, window = earlier_windows(doc[kept], n[kept], data, length)
+        segment, window = earlier_windows(doc[kept], n[kept], data[ragged(begin[kept], size[kept])], length)
         by = np.lexsort((window, segment))
         segment, window = segment[by], window[by]
-        fresh = firsts(segment, window - np.arange(len(window)))
-        a = np.flatnonzero(fresh)
+        a = np.flatnonzero(firsts(segment, window - np.arange(len(window))))
         b = np.append(a[1:], len(window)) - 1 if len(a) else a
         x = kept[segment[a]]
         docs = np.append(doc[later], doc[x])
@@ -369,18 +392,23 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = parts or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     known = rows.where("doc IS NOT NULL")
+    # later copies of a whole text go as a whole; of their group only the first is compared
+    named = stored(known.where(F.octet_length("text") >= length).select("doc", F.octet_length("text").cast("long").alias("n"), F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g")), "named")
+    first = stored(named.groupBy("h", "g", "n").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last"), "first")
+    copies = named.join(first, ["h", "g", "n"]).where("doc > first").select("doc", F.array(F.lit(0).cast("long")).alias("starts"), F.array("n").alias("ends"))
     sent = known.mapInArrow(lambda x: send_anchors(x, length, parts), "part int, docs binary, anchors binary, counts binary")
-    spread = F.when(F.col("part") < 0, F.xxhash64("docs")).otherwise(F.col("part").cast("long"))
-    met = stored(sent.repartition(spread).mapInArrow(lambda x: meet_anchors(x, 1000), "kind int, doc long, anchors array<long>, n long"), "anchors")
+    spread = lambda payload: F.when(F.col("part") < 0, F.xxhash64(payload)).otherwise(F.col("part").cast("long"))
+    met = sent.repartition(spread("docs")).mapInArrow(lambda x: meet_anchors(x, 1000), "kind int, doc long, anchors array<int>, anchor long, n long")
+    met = stored(met, "anchors")
     total = met.where("kind = 2").agg(F.sum("n")).first()[0] or 0
-    hot_rows = met.where((F.col("kind") == 1) & (F.col("n") > total / MOST_HOT)).select(F.explode("anchors")).collect()
+    hot_rows = met.where((F.col("kind") == 1) & (F.col("n") > total / MOST_HOT)).select("anchor").collect()
     hot = spark.sparkContext.broadcast(np.array(sorted(x[0] for x in hot_rows), np.uint64))
-    by_doc = met.where("kind = 0").groupBy("doc").agg(F.flatten(F.collect_list("anchors")).alias("anchors"))
+    by_doc = met.where("kind = 0").groupBy("doc").agg(F.flatten(F.collect_list("anchors")).alias("anchors")).join(copies.select("doc"), "doc", "left_anti")
     placed = rows.repartition("doc")
     found = placed.join(by_doc.hint("shuffle_hash"), "doc", "left").where("anchors IS NOT NULL")
-    segments = found.mapInArrow(lambda x: send_segments(x, length, parts, hot.value), "part int, docs binary, starts binary, windows binary, contents binary, data binary")
-    covered = segments.repartition(spread).mapInArrow(lambda x: meet_segments(x, length), "doc long, starts array<long>, ends array<long>")
-    ranges = covered.groupBy("doc").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
+    segments = found.mapInArrow(lambda x: send_segments(x, length, parts, hot.value), "part int, data binary")
+    covered = segments.repartition(spread("data")).mapInArrow(lambda x: meet_segments(x, length), "doc long, starts array<long>, ends array<long>")
+    ranges = covered.union(copies).groupBy("doc").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
     return placed.join(ranges.hint("shuffle_hash"), "doc", "left").select("doc", "text", "starts", "ends")
 
 
