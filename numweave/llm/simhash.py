@@ -129,10 +129,12 @@ def shard_forest(points: np.ndarray, home: np.ndarray, mask: np.uint64, block_ra
         tree = grow(points[inside], mask, block_radius, 256, len(inside))[0]
     for leaf, at, own in route(tree, points, mask, block_radius):
         mine = at[own & home[at]]
-        step = max(1, (1 << 21) // max(1, len(at)))
+        step = max(1, min(64, (1 << 21) // max(1, len(at))))
         for k in range(0, len(mine), step):
-            i, j = np.nonzero(np.bitwise_count(points[mine[k : k + step], None] ^ points[None, at]) <= radius)
-            labels = label(len(points), mine[k : k + step][i], at[j], labels)
+            some = mine[k : k + step]
+            apart = labels[some][:, None] != labels[at][None]  # what is already one component needs no further links
+            i, j = np.nonzero((np.bitwise_count(points[some, None] ^ points[None, at]) <= radius) & apart)
+            labels = label(len(points), some[i], at[j], labels)
     linked = np.flatnonzero(labels != np.arange(len(points)))
     return points[linked], points[labels[linked]]
 
