@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -23,7 +25,7 @@ def wide_lines(lines: DataFrame, min_sites: int = 10, rsd: float = 0.2, margin:
     either side, get exact counts: distinct (line, site) pairs are made before anything meets by line alone.
     """
     sketched = lines.groupBy("key").agg(F.approx_count_distinct("site", rsd).alias("sites"), F.min("doc").alias("first"))
-    sketched = sketched.where(F.col("sites") >= min_sites / margin)
+    sketched = stored(sketched.where(F.col("sites") >= min_sites / margin), "wide")
     near = sketched.where(F.col("sites") <= min_sites * margin).select("key")
     pairs = lines.select("key", "site").join(near, "key", "left_semi").select(F.struct("key", "site").alias("pair"))
     exact = pairs.groupBy("pair").agg(F.lit(1).alias("one")).groupBy(F.col("pair.key").alias("key")).agg(F.count("*").alias("exact"))
