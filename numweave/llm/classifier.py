@@ -106,44 +106,70 @@ def expectation_maximisation(pattern: np.ndarray, count: np.ndarray, rounds: int
     return share[:, 0], np.stack([np.tensordot(kinds, chance[:, 1:], (0, 1)), chance[:, 0]], 1)
 
 
-def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 3000) -> DataFrame:
-    """(doc_id, n_words, pattern, posterior, score, kept) of each row; kept: the scorer's probability is 0.5 or more.
-
-    EM runs over all rows, as the histogram of vote patterns (3 ** labellers at most). The scorer is fitted to the
-    posteriors of about ``sample`` rows drawn by a hash of the id, and scores every whole text. Null and empty texts,
-    and those without words, are not kept: score 0. Rows that share an id are judged one by one; null ids never enter
-    the sample. An empty table gives an empty result.
-    """
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    votes = vote(rows)
-    histogram = stored(votes.groupBy("pattern").count(), "patterns").orderBy("pattern").toPandas()
+def fit_scorer(docs: DataFrame, sample: int) -> Judge:
+    """EM over all rows of docs (doc_id, text), as the histogram of vote patterns (3 ** labellers at most), and a scorer
+    fitted to the posteriors of about ``sample`` rows drawn by a hash of the id."""
+    histogram = stored(vote(docs).groupBy("pattern").count(), "patterns").orderBy("pattern").toPandas()
     good, _ = expectation_maximisation(histogram["pattern"].to_numpy(np.int64), histogram["count"].to_numpy(np.float64))
     posterior = dict(zip(histogram["pattern"], good))
     n = int(histogram["count"].sum())
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, sample / max(1, n)) * (1 << 30))).where("doc_id IS NOT NULL")
+    share = int(min(1.0, sample / max(1, n)) * (1 << 30))
+    drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).where("doc_id IS NOT NULL")
 
-    def with_pattern(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def with_posterior(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text", hashing.PIECE):
             text, at = utf8(chunk.column("text").combine_chunks())
             target = np.array([posterior.get(x, 0.5) for x in patterns(text, at).tolist()])
             yield pa.RecordBatch.from_arrays([chunk.column("doc_id").combine_chunks(), chunk.column("text").combine_chunks(), pa.array(target)], names=["doc_id", "text", "target"])
 
-    row, ids, values, target = hashing.gathered(drawn.mapInArrow(with_pattern, "doc_id long, text string, target double"))
+    row, ids, values, target = hashing.gathered(drawn.mapInArrow(with_posterior, "doc_id long, text string, target double"))
     p = np.array(target, np.float64)
     weights, bias = hashing.fit(row, ids, values, np.stack([1 - p, p], 1))
-    model = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), bias))
+    return Judge((weights[:, 1] - weights[:, 0]).astype(np.float32), float(bias[1] - bias[0]), posterior)
+
+
+class Judge:
+    """The fitted model: what it says about a chunk of texts."""
+
+    def __init__(self, step: np.ndarray, bias: float, posterior: dict[int, float]):
+        self.step, self.bias, self.posterior = step, bias, posterior
+
+    def __call__(self, chunk: pa.Table, text_col: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words, vote pattern and probability of GOOD for each row; no words: 0."""
+        text, at = utf8(chunk.column(text_col).combine_chunks())
+        row, ids, values, n_words = hashing.features(text, at)
+        logit = np.bincount(row, self.step[ids] * values, len(at) - 1) + self.bias
+        return n_words.astype(np.int64), patterns(text, at), np.where(n_words > 0, 1 / (1 + np.exp(-np.clip(logit, -50, 50))), 0.0)
+
+
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 3000) -> DataFrame:
+    """(doc_id, n_words, pattern, posterior, score, kept) of each row; kept: the scorer's probability is 0.5 or more.
+
+    The scorer reads every whole text. Null and empty texts, and those without words, are not kept: score 0. Rows that
+    share an id are judged one by one; null ids never enter the sample. An empty table gives an empty result.
+    """
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    model = docs.sparkSession.sparkContext.broadcast(fit_scorer(rows, sample))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = model.value
-        step = (weights[:, 1] - weights[:, 0]).astype(np.float64)
         for chunk in chunks(batches, "text", hashing.PIECE):
-            text, at = utf8(chunk.column("text").combine_chunks())
-            row, ids, values, n_words = hashing.features(text, at)
-            logit = np.bincount(row, step[ids] * values, len(at) - 1) + bias[1] - bias[0]
-            score = np.where(n_words > 0, 1 / (1 + np.exp(-np.clip(logit, -50, 50))), 0.0)
-            pattern = patterns(text, at)
-            columns = [n_words.astype(np.int64), pattern, np.array([posterior.get(x, 0.5) for x in pattern.tolist()]), np.round(score, 9), score >= 0.5]
+            n_words, pattern, score = model.value(chunk, "text")
+            posterior = np.array([model.value.posterior.get(x, 0.5) for x in pattern.tolist()])
+            columns = [n_words, pattern, posterior, np.round(score, 9), score >= 0.5]
             yield pa.RecordBatch.from_arrays([chunk.column("doc_id").combine_chunks(), *map(pa.array, columns)], names=["doc_id", "n_words", "pattern", "posterior", "score", "kept"])
 
     return rows.mapInArrow(judge, "doc_id long, n_words long, pattern long, posterior double, score double, kept boolean")
+
+
+def good_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 3000) -> DataFrame:
+    """The rows of ``docs`` that ``classify`` keeps, whole and in their own columns; no shuffle."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    model = docs.sparkSession.sparkContext.broadcast(fit_scorer(rows, sample))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches, text_col, hashing.PIECE):
+            yield from chunk.filter(pa.array(model.value(chunk, text_col)[2] >= 0.5)).to_batches()
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, lines, packing, quality, secrets, simhash, substrings, tokens
+from . import classifier, embeddings, lines, mixing, packing, quality, secrets, simhash, substrings, tokens
 from .common import table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_digest(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = lines.drop_wide_lines(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -46,11 +54,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_mixing,
         op2_substring_dedup,
         op3_simhash,
         op4_secret_scan,
         op5_quality_rules,
         op6_quality_classifier,
+        op7_embedding_dedup,
         op8_line_dedup,
         op9_token_counts,
         op10_packing,

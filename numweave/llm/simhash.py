@@ -194,3 +194,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     ids = placed.join(least, "root").select("fp", "component_id")
     return found.join(ids, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
+    """``docs`` without what links to a smaller id: one document of each group stays. Rows with a null id stay; rows that
+    share an id stay or go together."""
+    gone = near_duplicates(docs, id_col, text_col, shingle, radius).where("component_id < doc_id").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("__id"), "left_anti")
