@@ -183,17 +183,11 @@ def send_anchors(batches: Iterator[pa.RecordBatch], length: int, parts: int) ->
         yield flush()
 
 
-def meet_anchors(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
-    """Shared anchors by document, as their low 32 bits (others that have these too cost work, not results); anchors
-    with over ``hot`` documents (kind 1) and their number of documents; the number of all anchors (kind 2)."""
+def meet_anchors(batches: Iterator[pa.RecordBatch], hot: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """(kind, bucket, data, anchor, n): shared anchors by bucket of documents (kind 0), as their low 32 bits (others
+    that have these too cost work, not results); anchors with over ``hot`` documents (kind 1); the number of all (2)."""
     anchors, docs, counts, known = [], [], [], []
-    names = ["kind", "doc", "anchors", "anchor", "n"]
-
-    def by_doc(doc: np.ndarray, anchor: np.ndarray) -> pa.RecordBatch:
-        key, values = lists(doc, anchor & np.uint64(0xFFFFFFFF), kind=np.uint32)
-        values = pa.ListArray.from_arrays(values.offsets, values.values.view(pa.int32()))
-        return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(key), np.int32)), key, values, *[pa.nulls(len(key), pa.int64())] * 2], names=names)
-
+    names = ["kind", "bucket", "data", "anchor", "n"]
     for batch in batches:
         for part, d, a, c in zip(*(x.to_pylist() for x in batch.columns)):
             if part < 0:
@@ -205,24 +199,48 @@ def meet_anchors(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.Rec
             count, more = np.ones(n, np.int64), np.frombuffer(c, "<u4")
             count[more[: len(more) // 2]] = more[len(more) // 2 :]
             counts.append(count)
-    if not anchors:
-        if known:
-            yield by_doc(*(np.concatenate(x) for x in zip(*known)))
-        return
-    anchor, doc, count = np.concatenate(anchors), np.concatenate(docs), np.concatenate(counts)
-    order = np.argsort(anchor, kind="stable")
-    anchor, doc, count = anchor[order], doc[order], count[order]
-    at = np.flatnonzero(firsts(anchor))
-    size = np.diff(np.append(at, len(anchor)))
-    total = np.add.reduceat(count, at)
-    shared = np.repeat(size > 1, size)
-    if shared.any() or known:
-        yield by_doc(*(np.concatenate(x) for x in zip(*known, (doc[shared], anchor[shared]))))
-    many = np.flatnonzero(total > hot)
-    kind = np.append(np.ones(len(many), np.int32), np.int32(2))
-    number = np.append(total[many], count.sum())
-    which = np.append(anchor[at[many]].astype(np.int64), 0)
-    yield pa.RecordBatch.from_arrays([pa.array(kind), pa.nulls(len(kind), pa.int64()), pa.nulls(len(kind), pa.list_(pa.int32())), pa.array(which), pa.array(number)], names=names)
+    if anchors:
+        anchor, doc, count = np.concatenate(anchors), np.concatenate(docs), np.concatenate(counts)
+        order = np.argsort(anchor, kind="stable")
+        anchor, doc, count = anchor[order], doc[order], count[order]
+        at = np.flatnonzero(firsts(anchor))
+        size = np.diff(np.append(at, len(anchor)))
+        total = np.add.reduceat(count, at)
+        shared = np.repeat(size > 1, size)
+        known.append((doc[shared], anchor[shared]))
+        many = np.flatnonzero(total > hot)
+        kind = np.append(np.ones(len(many), np.int32), np.int32(2))
+        which = np.append(anchor[at[many]].astype(np.int64), 0)
+        number = np.append(total[many], count.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.nulls(len(kind), pa.int64()), pa.nulls(len(kind), pa.binary()), pa.array(which), pa.array(number)], names=names)
+    if known:
+        doc, anchor = (np.concatenate(x) for x in zip(*known))
+        bucket, low = doc % parts, (anchor & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        order = np.lexsort((low, doc, bucket))
+        bucket, doc, low = bucket[order], doc[order], low[order]
+        cut = np.flatnonzero(firsts(bucket))
+        rows = [(int(bucket[a]), pack(doc[a:b], low[a:b])) for a, b in zip(cut, [*cut[1:], len(doc)])]
+        for k in range(0, len(rows), 256):
+            ids, data = zip(*rows[k : k + 256])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), pa.array(ids, pa.int64()), pa.array(data, pa.binary()), *[pa.nulls(len(ids), pa.int64())] * 2], names=names)
+
+
+def gather_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each document with shared anchors; the other rows as they are."""
+    names, held = ["doc", "anchors", "anchor", "n"], []
+    for batch in batches:
+        for kind, bucket, data, anchor, n in zip(*(x.to_pylist() for x in batch.columns)):
+            if kind:
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())), pa.array([anchor if kind == 1 else None], pa.int64()), pa.array([n])], names=names)
+            else:
+                held.append(unpack(data))
+    if held:
+        doc, low = (np.concatenate([y.astype(np.int64) for y in x]) for x in zip(*held))
+        order = np.lexsort((low, doc))
+        order = order[firsts(doc[order], low[order])]
+        key, values = lists(doc[order], low[order].astype(np.uint32), kind=np.uint32)
+        values = pa.ListArray.from_arrays(values.offsets, values.values.view(pa.int32()))
+        yield pa.RecordBatch.from_arrays([key, values, *[pa.nulls(len(key), pa.int64())] * 2], names=names)
 
 
 # ---- segments of shared anchors
@@ -232,6 +250,9 @@ def send_segments(batches: Iterator[pa.RecordBatch], length: int, parts: int, ho
     """Segments of shared anchors with their bytes. Of equal segments in one chunk only the smallest document's go out;
     the others are covered (part -1). Segments of hot anchors are dealt out window by window."""
     for chunk in chunks(batches, "text", PIECE):
+        chunk = chunk.filter(chunk.column("anchors").is_valid())
+        if not len(chunk):
+            continue
         shared = np.unique(chunk.column("anchors").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint32))
         text, at = utf8(chunk.column("text").combine_chunks())
         row, first, n, anchor, hashes = runs(text, at, length)
@@ -398,14 +419,16 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copies = named.join(first, ["h", "g", "n"]).where("doc > first").select("doc", F.array(F.lit(0).cast("long")).alias("starts"), F.array("n").alias("ends"))
     sent = known.mapInArrow(lambda x: send_anchors(x, length, parts), "part int, docs binary, anchors binary, counts binary")
     spread = lambda payload: F.when(F.col("part") < 0, F.xxhash64(payload)).otherwise(F.col("part").cast("long"))
-    met = sent.repartition(spread("docs")).mapInArrow(lambda x: meet_anchors(x, 1000), "kind int, doc long, anchors array<int>, anchor long, n long")
-    met = stored(met, "anchors")
-    total = met.where("kind = 2").agg(F.sum("n")).first()[0] or 0
-    hot_rows = met.where((F.col("kind") == 1) & (F.col("n") > total / MOST_HOT)).select("anchor").collect()
+    met = sent.repartition(spread("docs")).mapInArrow(lambda x: meet_anchors(x, 1000, parts), "kind int, bucket long, data binary, anchor long, n long")
+    met = met.repartition(F.coalesce("bucket", "anchor", "n"))
+    met = stored(met.mapInArrow(gather_anchors, "doc long, anchors array<int>, anchor long, n long"), "anchors")
+    total = met.where("doc IS NULL AND anchor IS NULL").agg(F.sum("n")).first()[0] or 0
+    hot_rows = met.where(F.col("anchor").isNotNull() & (F.col("n") > total / MOST_HOT)).select("anchor").collect()
     hot = spark.sparkContext.broadcast(np.array(sorted(x[0] for x in hot_rows), np.uint64))
-    by_doc = met.where("kind = 0").groupBy("doc").agg(F.flatten(F.collect_list("anchors")).alias("anchors")).join(copies.select("doc"), "doc", "left_anti")
+    by_doc = met.where("doc IS NOT NULL").select("doc", "anchors").join(copies.select("doc"), "doc", "left_anti")
+    # both joins read this one exchange of the texts, so nothing is filtered between it and Python
     placed = rows.repartition("doc")
-    found = placed.join(by_doc.hint("shuffle_hash"), "doc", "left").where("anchors IS NOT NULL")
+    found = placed.join(by_doc.hint("shuffle_hash"), "doc", "left")
     segments = found.mapInArrow(lambda x: send_segments(x, length, parts, hot.value), "part int, data binary")
     covered = segments.repartition(spread("data")).mapInArrow(lambda x: meet_segments(x, length), "doc long, starts array<long>, ends array<long>")
     ranges = covered.union(copies).groupBy("doc").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
