@@ -1,15 +1,15 @@
-"""Shared helpers: tables, the shared scratch folder, and grouping of Arrow batches into bounded chunks."""
+"""Shared helpers: tables, free names, and grouping of Arrow batches into bounded chunks."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import shared_dir, stored  # noqa: F401
+
 #: Rows handed to Python at once; texts may be long, so a batch stays at some MB.
 BATCH_ROWS = 512
 
@@ -23,22 +23,12 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a temporary one is set only where none is configured."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        there = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = there.get() if there.isDefined() else tempfile.mkdtemp(prefix="numweave-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts the lineage, survives a lost executor."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

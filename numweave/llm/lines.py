@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fresh, stored
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -38,25 +38,28 @@ def drop_wide_lines(
     text_col: str = "text",
     site_col: str = "source",
     min_sites: int = 10,
+    counts: bool = True,
 ) -> DataFrame:
-    """``docs`` with wide-spread lines taken out of ``text``, plus ``n_lines`` and ``n_removed``.
+    """``docs`` with wide-spread lines taken out of ``text``, plus ``n_lines`` and ``n_removed`` unless not wanted.
 
     The document with the smallest id keeps its wide lines, so each of them stays in the corpus. Lines are compared
     without the blanks around them; lines without a word always stay. Null texts stay null with no lines; a null site
-    is a site of its own; rows with a null id lose nothing; rows that share an id lose the same lines. All columns stay,
-    those named like the added ones give way to them.
+    is a site of its own; rows with a null id lose nothing; rows that share an id lose the same lines. All columns stay;
+    with counts, columns of those two names give way to them.
     """
+    doc, gone = fresh(docs, "lines_doc"), fresh(docs, "lines_gone")
     lines = line_rows(docs, id_col, text_col, site_col)
     wide = wide_lines(lines, min_sites)
     hits = lines.join(wide, "key").where(F.col("doc") != F.col("first")).select("doc", "at")
-    gone = hits.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("at").alias("__gone"))
-    rows = docs.join(gone, F.col(id_col) == F.col("__doc"), "left")
+    lost = hits.groupBy(F.col("doc").alias(doc)).agg(F.collect_set("at").alias(gone))
+    rows = docs.join(lost, F.col(id_col) == F.col(doc), "left")
     parts = F.split(F.col(text_col), "\n")
-    kept = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone")))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
-    n_lines = F.coalesce(F.size(parts), F.lit(0)).cast("long")
-    return rows.withColumns({
-        "n_lines": F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(n_lines),
-        "n_removed": F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("long"),
-        text_col: text,
-    }).drop("__doc", "__gone")
+    kept = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone)))
+    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
+    changed = {text_col: text}
+    if counts:
+        changed |= {
+            "n_lines": F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long"),
+            "n_removed": F.when(F.col(gone).isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long"),
+        }
+    return rows.withColumns(changed).drop(doc, gone)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import small_batches, stored
+from .common import fresh, small_batches, stored
 
 #: Domains that the labels table names, in class order, and the weights of their tokens in the mixture.
 DOMAINS = ("clean", "low", "toxic")
@@ -121,7 +121,7 @@ def mixed(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``docs`` with each row as often as the mixture takes it, in its own columns. Rows that share an id all
     come as often as the most frequent of them."""
     id_col = options.get("id_col", "doc_id")
-    copies = mix(docs, labels, **options).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
-    rows = docs.join(copies, F.col(id_col).cast("long").eqNullSafe(F.col("__id")))
-    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))
-    return rows.where("__copies > 0").select(*(docs[c] for c in docs.columns), times.alias("__k")).drop("__k")
+    key, times, k = (fresh(docs, x) for x in ("mix_id", "mix_copies", "mix_k"))
+    copies = mix(docs, labels, **options).groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(times))
+    rows = docs.join(copies, F.col(id_col).cast("long").eqNullSafe(F.col(key))).where(F.col(times) > 0)
+    return rows.withColumn(k, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).drop(key, times, k)

@@ -157,5 +157,5 @@ def pack(
             packer.pack(last=True)
             yield packer.batch()
 
-    rows = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"), F.spark_partition_id().cast("long").alias("p"))
+    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"), F.spark_partition_id().cast("long").alias("p"))
     return rows.mapInArrow(run, SCHEMA)

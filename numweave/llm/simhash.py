@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import fresh, small_batches, stored
 from .components import components
 
 SEED = 42
@@ -199,5 +199,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
     """``docs`` without what links to a smaller id: one document of each group stays. Rows with a null id stay; rows that
     share an id stay or go together."""
-    gone = near_duplicates(docs, id_col, text_col, shingle, radius).where("component_id < doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__id"), "left_anti")
+    name = fresh(docs, "gone_id")
+    gone = near_duplicates(docs, id_col, text_col, shingle, radius).where("component_id < doc_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")
