@@ -29,7 +29,7 @@ def wide_lines(lines: DataFrame, min_sites: int = 10, rsd: float = 0.2, margin:
     near = sketched.where(F.col("sites") <= min_sites * margin).select("key")
     pairs = lines.select("key", "site").join(near, "key", "left_semi").select(F.struct("key", "site").alias("pair"))
     exact = pairs.groupBy("pair").agg(F.lit(1).alias("one")).groupBy(F.col("pair.key").alias("key")).agg(F.count("*").alias("exact"))
-    return sketched.join(exact, "key", "left").where(F.coalesce("exact", "sites") >= min_sites).select("key", "first")
+    return stored(sketched.join(exact, "key", "left").where(F.coalesce("exact", "sites") >= min_sites).select("key", "first"), "wide")
 
 
 def drop_wide_lines(
