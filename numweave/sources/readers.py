@@ -78,8 +78,8 @@ def read_run_times(spark: SparkSession, root: str) -> DataFrame:
     """
     rows = spark.read.text(f"{root}/*/*.csv").select(F.col("_metadata.file_path").alias("file"), F.split("value", ",").alias("w"))
     names = rows.where(F.trim(F.get("w", F.lit(0))) == "n").select("file", F.transform("w", F.trim).alias("names")).dropDuplicates(["file"])
-    cells = rows.where(F.get("w", F.lit(0)).cast("int").isNotNull()).join(names, "file")
-    cell = lambda c, kind: F.get("w", (F.array_position("names", c) - 1).cast("int")).cast(kind)
+    cells = rows.where(F.get("w", F.lit(0)).try_cast("int").isNotNull()).join(names, "file")
+    cell = lambda c, kind: F.get("w", (F.array_position("names", c) - 1).cast("int")).try_cast(kind)
     cell_or_null = lambda c, kind: F.when(F.array_contains("names", c), cell(c, kind)).alias(c)
     kinds = (("n", "int"), ("tsteps", "int"), ("p", "int"), ("time", "double"), ("value", "double"))
     experiment = F.regexp_extract("file", r"([^/]+)/[^/]+$", 1).alias("experiment")
