@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,8 @@ from .components import components
 SEED = 42
 #: Most fingerprints that a tree is fitted on (the index only; every fingerprint is routed through it).
 SAMPLE = 1 << 17
+#: Fingerprints that a task sends through the trees at once.
+VISITORS = 1 << 15
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -157,11 +160,16 @@ def links(distinct: DataFrame, radius: int = 3, sample: int = SAMPLE, leaf: int
     starts = np.array([x[3] for x in trees])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            for tree, mask, r, start in trees:
-                for leaf, at, home in route(tree, x, mask, r):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), start + leaf, np.int32)), pa.array(x[at].view(np.int64)), pa.array(home)], names=["shard", "fp", "home"])
+        held: list[np.ndarray] = []
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held.append(batch.column("fp").to_numpy(zero_copy_only=False))
+            if held and (batch is None or sum(map(len, held)) >= VISITORS):
+                x, held = np.concatenate(held).view(np.uint64), []
+                for tree, mask, r, start in trees:
+                    shards, places, homes = zip(*((np.full(len(at), start + leaf, np.int32), at, home) for leaf, at, home in route(tree, x, mask, r))) if len(x) else ((), (), ())
+                    if shards:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shards)), pa.array(x[np.concatenate(places)].view(np.int64)), pa.array(np.concatenate(homes))], names=["shard", "fp", "home"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not (held := [x for x in batches if len(x)]):
