@@ -60,6 +60,17 @@ def with_ties(edges: DataFrame, n: int) -> DataFrame:
     return joined.select(*edges.columns, (tie + F.when(F.col("part") == F.coalesce("other", F.lit(0)), 2 * n).otherwise(0)).alias("tie"))
 
 
+def heaviest_edge(edges: DataFrame) -> DataFrame:
+    """(i, j, w): each vertex's heaviest edge by weight, then tie (columns i, j, w, tie); maxima are combined map-side."""
+    best = edges.groupBy("i").agg(F.max(F.struct("w", "tie", "j")).alias("b"))
+    return best.select("i", F.col("b.j").alias("j"), F.col("b.w").alias("w"))
+
+
+def without_vertices(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """Edges that touch none of the vertices (column i)."""
+    return edges.join(gone, "i", "left_anti").join(gone.withColumnRenamed("i", "j"), "j", "left_anti")
+
+
 def match(edges: DataFrame, tail: int = 20_000) -> DataFrame:
     """Locally dominant matching as (i, j, w), i < j. edges: (i, j, w, tie), both directions.
 
@@ -72,14 +83,14 @@ def match(edges: DataFrame, tail: int = 20_000) -> DataFrame:
     live = stored(edges.select("i", "j", "w", "tie"), "live")
     found = []
     while live.count() > tail:
-        best = live.groupBy("i").agg(F.max(F.struct("w", "tie", "j")).alias("b")).select("i", F.col("b.j").alias("j"), F.col("b.w").alias("w"))
+        best = heaviest_edge(live)
         back = best.select(F.col("j").alias("i"), F.col("i").alias("j"))
         taken = stored(best.where("i < j").join(back, ["i", "j"]), "taken")
         if taken.isEmpty():
             raise ValueError("no edge is the heaviest at both ends: the order isn't strict, or edges lack their other direction")
         found.append(taken)
         gone = stored(taken.select("i").union(taken.select("j")), "gone")
-        live = stored(live.join(gone, "i", "left_anti").join(gone.withColumnRenamed("i", "j"), "j", "left_anti"), "live")
+        live = stored(without_vertices(live, gone), "live")
     out = live.where("i < j").withColumn("all", F.lit(0)).groupBy("all").applyInPandas(greedy, "i long, j long, w double")
     for x in found:
         out = out.unionByName(x)

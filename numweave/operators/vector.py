@@ -10,6 +10,21 @@ def zero(x: Column | str) -> Column:
     return F.coalesce(x, F.lit(0.0))
 
 
+def validate_vector(x: DataFrame, n: int) -> DataFrame:
+    """The vector, or an error if a place is outside 0 .. n-1, twice there, or absent."""
+    found = x.agg(F.count("*"), F.countDistinct("i"), F.min("i"), F.max("i")).first()
+    if tuple(found) != (n, n, 0 if n else None, n - 1 if n else None):
+        raise ValueError(f"not a vector of length {n}: {found}")
+    return x
+
+
+def validate_square(a: DataFrame, n: int) -> DataFrame:
+    """The matrix, or an error if an entry lies outside n by n."""
+    if bad := a.where(f"i < 0 OR j < 0 OR i >= {n} OR j >= {n}").limit(1).collect():
+        raise ValueError(f"outside {n} by {n}: {bad[0]}")
+    return a
+
+
 def joined(a: DataFrame, b: DataFrame, keys: list[str], values: list[str], how: str = "full") -> DataFrame:
     """Rows of both by key; values of b get the suffix _b. Absent values are 0."""
     b = b.select(*keys, *(F.col(v).alias(f"{v}_b") for v in values))

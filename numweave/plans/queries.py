@@ -387,6 +387,17 @@ def undirected(spark, sf_dir):
     return G.undirected(views.order_graph(spark, sf_dir))
 
 
+@query(with_views("g", """SELECT i, arg_max(j, o) AS j, max(w) AS w FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY w, i + j + CASE WHEN i % 4 = j % 4 THEN 2000000 ELSE 0 END, j) AS o FROM g) GROUP BY i"""))
+def heaviest_edge(spark, sf_dir):
+    return G.heaviest_edge(G.with_ties(views.order_graph(spark, sf_dir), 1_000_000))
+
+
+@query(with_views("g", "SELECT i, j, w FROM g WHERE i % 5 <> 0 AND j % 5 <> 0"))
+def live_edges(spark, sf_dir):
+    edges = views.order_graph(spark, sf_dir).select("i", "j", "w")
+    return G.without_vertices(edges, edges.select("i").distinct().where("i % 5 = 0")).select("i", "j", "w")
+
+
 MATCH = """, e AS (SELECT i, j, w, row_number() OVER (ORDER BY w DESC, i + j + CASE WHEN i % 4 = j % 4 THEN 2000000 ELSE 0 END DESC, i DESC) AS r FROM g WHERE i < j),
     m AS (SELECT CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS i, CAST(NULL AS BIGINT) AS j, CAST(NULL AS DOUBLE) AS w
       UNION ALL SELECT n.r, m.used || [n.i, n.j], n.i, n.j, n.w FROM m, LATERAL (SELECT e.* FROM e WHERE e.r > m.r AND NOT list_contains(m.used, e.i) AND NOT list_contains(m.used, e.j) ORDER BY e.r LIMIT 1) n)"""
@@ -542,7 +553,7 @@ def lu_reconstruct(spark, sf_dir):
     return tidy(D.reconstruct_lu(factors, pi, N, BLOCK)).where("v != 0")
 
 
-@query("SELECT CAST(25 AS BIGINT) AS n_pi, true AS small, true AS l_bounded, CAST(25 AS BIGINT) AS unit")
+@query(with_views("t", "SELECT count(DISTINCT i) AS n_pi, true AS small, true AS l_bounded, count(DISTINCT j) AS unit FROM t"))
 def verify_lu(spark, sf_dir):
     t = stored(views.trade_matrix(spark, sf_dir))
     factors, pi = D.lu(t, N, BLOCK)

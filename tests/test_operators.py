@@ -65,6 +65,17 @@ def test_vector_sums(spark):
     assert vector.residual_norm(frame(spark, [[3, 0], [0, 4]]), frame(spark, [[0, 0], [0, 0]])).first().value == 5
 
 
+def test_validation(spark):
+    assert vector.validate_vector(make.ramp(spark, 4), 4).count() == 4
+    for bad, n in ((make.ramp(spark, 4), 5), (make.ramp(spark, 3).union(make.ramp(spark, 1)), 4)):
+        with pytest.raises(ValueError, match="not a vector"):
+            vector.validate_vector(bad, n)
+    square = make.matrix(spark, 3, 3, lambda i, j: i + j)
+    assert vector.validate_square(square, 3).count() == 9
+    with pytest.raises(ValueError, match="outside"):
+        vector.validate_square(square, 2)
+
+
 # ---- orders
 
 
@@ -309,5 +320,5 @@ def test_jacobi(spark, n, steps, tile, depth):
         assert np.allclose(to_array(stencil.jacobi_cells(a, b, n, steps), n, n), x)
 
 
-def test_rates():
-    assert math.isclose((5 * 8 * 3 + 2 * 8) / 1e6, 136e-6)
+def test_fft_flop_rate(spark):
+    assert math.isclose(spark.range(1).select(stats.fft_flop_rate(F.lit(8), F.lit(1.0))).first()[0], 136e-6)
