@@ -68,6 +68,39 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        w AS (SELECT doc_id, h, unnest(range(0, greatest(0, len(h) // 2 - 49))) AS k FROM d),
+        s AS (SELECT doc_id, k, substr(h, 2 * k + 1, 100) AS s FROM w),
+        f AS (SELECT s, min(doc_id) AS least FROM s GROUP BY s),
+        c AS (SELECT doc_id, k, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS p FROM s JOIN f USING (s) WHERE least < doc_id),
+        r AS (SELECT doc_id, k, count(CASE WHEN p IS NULL OR k - p > 50 THEN 1 END) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM c),
+        spans AS (SELECT doc_id, min(k) AS a, max(k) + 50 AS b FROM r GROUP BY doc_id, run),
+        cuts AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM spans),
+        parts AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, max(b) AS last,
+                         string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS head
+                  FROM cuts JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed,
+               CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+               sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+        FROM d LEFT JOIN parts USING (doc_id)""",
+    "op5_quality_rules": r"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        l AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+                     list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+        w AS (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS k FROM l),
+        g AS (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, array_to_string(words[k:k + 7], ' ')) AS n FROM w),
+        r AS (SELECT doc_id, least(8, coalesce(lead(k) OVER (PARTITION BY doc_id ORDER BY k) - k, 8)) AS n FROM g WHERE n > 1),
+        c AS (SELECT doc_id, sum(n) AS n FROM r GROUP BY doc_id),
+        m AS (SELECT doc_id, len(words) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+                     length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines,
+                     len(lines) - len(list_distinct(lines)) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
+                     length(text) - length(regexp_replace(text, '[A-ZÄÖÜÉÈÊÇÑÁÍÓÚ]', '', 'g')) AS n_capitals
+              FROM l LEFT JOIN c USING (doc_id)),
+        b AS (SELECT *, CAST((n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_words)::INT + 4 * (10 * n_symbols > 3 * n_words)::INT
+                + 8 * (n_dup_lines > 3 AND 2 * n_dup_lines > n_lines)::INT + 16 * (word_chars > 15 * n_words)::INT
+                + 32 * (2 * n_capitals > word_chars)::INT AS BIGINT) AS fail_bits FROM m)
+        SELECT *, fail_bits & 3 <> 0 AS base_failed, fail_bits & 63 = 0 AS kept, CAST(2 AS INTEGER) AS policy FROM b""",
     "op8_line_dedup": r"""
         WITH l AS (
           SELECT doc_id, coalesce(source, '') AS site, unnest(string_split(text, chr(10))) AS line,
