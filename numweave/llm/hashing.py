@@ -113,8 +113,8 @@ def gathered(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, lis
     kind = sample.schema["target"].dataType.simpleString()
     got = sample.select("doc_id", "text", "target").mapInArrow(run, f"ids array<int>, values array<float>, target {kind}, doc_id long").toArrow().sort_by("doc_id")
     size = np.array([len(x) for x in got.column("ids")], np.int64)
-    flat = lambda c: got.column(c).combine_chunks().flatten().to_numpy() if len(got) else np.zeros(0)
-    return np.repeat(np.arange(len(size)), size), flat("ids").astype(np.int64), flat("values").astype(np.float64), got.column("target").to_pylist()
+    flat = lambda c, kind: np.array(got.column(c).combine_chunks().flatten() if len(got) else [], kind)
+    return np.repeat(np.arange(len(size), dtype=np.int32), size), flat("ids", np.int32), flat("values", np.float32), got.column("target").to_pylist()
 
 
 def fit(row: np.ndarray, ids: np.ndarray, values: np.ndarray, targets: np.ndarray, steps: int = 120, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +123,9 @@ def fit(row: np.ndarray, ids: np.ndarray, values: np.ndarray, targets: np.ndarra
     weights, bias = np.zeros((SIZE, k)), np.log(np.maximum(targets.mean(0) if n else np.full(k, 1 / k), 1e-6))
     if not n:
         return weights, bias
-    used, slot = np.unique(ids, return_inverse=True)
+    there = np.zeros(SIZE, bool)
+    there[ids] = True
+    used, slot = np.flatnonzero(there), (np.cumsum(there) - 1).astype(np.int32)[ids]
     w, seen, seen_bias = np.zeros((len(used), k)), np.full((len(used), k), 1e-8), np.full(k, 1e-8)
     for _ in range(steps):
         logits = np.stack([np.bincount(row, w[slot, c] * values, n) for c in range(k)], 1) + bias
