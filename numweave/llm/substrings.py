@@ -183,7 +183,7 @@ def send_anchors(batches: Iterator[pa.RecordBatch], length: int, parts: int) ->
         yield flush()
 
 
-def meet_anchors(batches: Iterator[pa.RecordBatch], hot: int, parts: int) -> Iterator[pa.RecordBatch]:
+def meet_anchors(batches: Iterator[pa.RecordBatch], hot: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """(kind, bucket, data, anchor, n): shared anchors by bucket of documents (kind 0), as their low 32 bits (others
     that have these too cost work, not results); anchors with over ``hot`` documents (kind 1); the number of all (2)."""
     anchors, docs, counts, known = [], [], [], []
@@ -215,7 +215,7 @@ def meet_anchors(batches: Iterator[pa.RecordBatch], hot: int, parts: int) -> Ite
         yield pa.RecordBatch.from_arrays([pa.array(kind), pa.nulls(len(kind), pa.int64()), pa.nulls(len(kind), pa.binary()), pa.array(which), pa.array(number)], names=names)
     if known:
         doc, anchor = (np.concatenate(x) for x in zip(*known))
-        bucket, low = doc % parts, (anchor & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        bucket, low = doc % buckets, (anchor & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         order = np.lexsort((low, doc, bucket))
         bucket, doc, low = bucket[order], doc[order], low[order]
         cut = np.flatnonzero(firsts(bucket))
@@ -419,7 +419,7 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copies = named.join(first, ["h", "g", "n"]).where("doc > first").select("doc", F.array(F.lit(0).cast("long")).alias("starts"), F.array("n").alias("ends"))
     sent = known.mapInArrow(lambda x: send_anchors(x, length, parts), "part int, docs binary, anchors binary, counts binary")
     spread = lambda payload: F.when(F.col("part") < 0, F.xxhash64(payload)).otherwise(F.col("part").cast("long"))
-    met = sent.repartition(spread("docs")).mapInArrow(lambda x: meet_anchors(x, 1000, parts), "kind int, bucket long, data binary, anchor long, n long")
+    met = sent.repartition(spread("docs")).mapInArrow(lambda x: meet_anchors(x, 1000, max(1, parts // 8)), "kind int, bucket long, data binary, anchor long, n long")
     met = met.repartition(F.coalesce("bucket", "anchor", "n"))
     met = stored(met.mapInArrow(gather_anchors, "doc long, anchors array<int>, anchor long, n long"), "anchors")
     total = met.where("doc IS NULL AND anchor IS NULL").agg(F.sum("n")).first()[0] or 0
