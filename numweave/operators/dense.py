@@ -220,7 +220,7 @@ def backsolv(upper: DataFrame, b: DataFrame, n: int, block: int = 256) -> DataFr
 def solve(a: DataFrame, b: DataFrame, n: int, block: int = 256) -> DataFrame:
     """x with A x = b, by LU."""
     factors, pi = lu(a, n, block)
-    low, up = split_lu(factors, n)
+    low, up = split_lu(stored(factors, "factors"), n)
     return backsolv(up, trisolv(low, permuted_rows(b, pi), n, block), n, block)
 
 
