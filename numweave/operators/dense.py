@@ -28,42 +28,64 @@ def panel_width(n: int, block: int) -> int:
     return max(1, min(block, PANEL_MB * (1 << 20) // (8 * max(1, n))))
 
 
+def slices(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces whose rows of n doubles take 32 MB at most, or one row."""
+    most = max(1, (32 << 20) // (8 * max(1, n)))
+    for batch in batches:
+        for k in range(0, len(batch), most):
+            yield batch.slice(k, most)
+
+
+def bound_batches(a: DataFrame, n: int) -> None:
+    """Rows are n doubles wide, so few go to Python at once."""
+    a.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(max(1, min(10_000, (64 << 20) // (8 * max(1, n))))))
+
+
+def packed(x: np.ndarray) -> pa.Array:
+    """Each row of a matrix as bytes."""
+    offsets = np.arange(len(x) + 1, dtype=np.int32) * (8 * x.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(x).tobytes())])
+
+
+def unpacked(column: pa.Array, n: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist())).reshape(len(column), n)
+
+
 def to_rows(a: DataFrame, n: int) -> DataFrame:
     """(pos, i, row): n doubles for each row that holds an entry; duplicates add up."""
+    bound_batches(a, n)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for cells in batch.column("x"):
-                row = np.zeros(n)
-                np.add.at(row, cells.values.field("j").to_numpy(), cells.values.field("v").to_numpy())
-                out.append(row.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("i"), pa.array(out, pa.binary())], names=["pos", "i", "row"])
+        for batch in slices(batches, n):
+            cells = batch.column("x")
+            flat, row = cells.flatten(), np.repeat(np.arange(len(batch)), cells.value_lengths().to_numpy())
+            x = np.zeros((len(batch), n))
+            np.add.at(x, (row, flat.field("j").to_numpy()), flat.field("v").to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("i"), packed(x)], names=["pos", "i", "row"])
 
     return a.groupBy("i").agg(F.collect_list(F.struct("j", "v")).alias("x")).mapInArrow(fill, ROWS)
 
 
-def from_rows(rows: DataFrame, index: str = "pos") -> DataFrame:
+def from_rows(rows: DataFrame, n: int, index: str = "pos") -> DataFrame:
+    """Triples of the entries that are not 0."""
+
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, row in zip(batch.column(index).to_pylist(), batch.column("row").to_pylist()):
-                x = np.frombuffer(row)
-                j = np.flatnonzero(x)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), i)), pa.array(j), pa.array(x[j])], names=["i", "j", "v"])
+        for batch in slices(batches, n):
+            x = unpacked(batch.column("row"), n)
+            i, j = np.nonzero(x)
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column(index).to_numpy()[i]), pa.array(j), pa.array(x[i, j])], names=["i", "j", "v"])
 
     return rows.mapInArrow(cells, "i long, j long, v double")
 
 
-def mapped(rows: DataFrame, change) -> DataFrame:
-    """change(pos, i, matrix) -> (pos, matrix) for batches of rows."""
+def mapped(rows: DataFrame, n: int, change) -> DataFrame:
+    """change(pos, i, matrix) -> (pos, matrix) for some rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                i = batch.column("i").to_numpy()
-                x = np.frombuffer(b"".join(batch.column("row").to_pylist())).reshape(len(batch), -1).copy()
-                pos, x = change(batch.column("pos").to_numpy(), i, x)
-                yield pa.RecordBatch.from_arrays([pa.array(pos), pa.array(i), pa.array([r.tobytes() for r in x], pa.binary())], names=["pos", "i", "row"])
+        for batch in slices(batches, n):
+            i = batch.column("i").to_numpy()
+            pos, x = change(batch.column("pos").to_numpy(), i, unpacked(batch.column("row"), n).copy())
+            yield pa.RecordBatch.from_arrays([pa.array(pos), pa.array(i), packed(x)], names=["pos", "i", "row"])
 
     return rows.mapInArrow(run, ROWS)
 
@@ -123,8 +145,8 @@ def lu(a: DataFrame, n: int, block: int = 256) -> tuple[DataFrame, DataFrame]:
             x[low, k1:] -= x[low, k0:k1] @ upper
             return pos, x
 
-        rows = stored(mapped(rows, step), "lu")
-    return from_rows(rows), rows.select(F.col("pos").alias("i"), F.col("i").alias("pi"))
+        rows = stored(mapped(rows, n, step), "lu")
+    return from_rows(rows, n), rows.select(F.col("pos").alias("i"), F.col("i").alias("pi"))
 
 
 def identity(spark, n: int) -> DataFrame:
@@ -181,8 +203,8 @@ def cholesky(a: DataFrame, n: int, block: int = 256) -> DataFrame:
             x[live & ~low, k1:] = 0
             return pos, x
 
-        rows = stored(mapped(rows, step), "cholesky")
-    return transpose(from_rows(rows).where("i >= j"))
+        rows = stored(mapped(rows, n, step), "cholesky")
+    return transpose(from_rows(rows, n).where("i >= j"))
 
 
 def trisolv(lower: DataFrame, b: DataFrame, n: int, block: int = 256) -> DataFrame:
@@ -262,6 +284,6 @@ def qr(a: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
         if (np.abs(np.diag(own)) <= EPS).any():
             raise ValueError("the columns are dependent")
         inverse, r = np.linalg.inv(own), own @ r
-        rows = stored(mapped(rows, lambda pos, i, x, inverse=inverse: (pos, x @ inverse)), "qr")
+        rows = stored(mapped(rows, n, lambda pos, i, x, inverse=inverse: (pos, x @ inverse)), "qr")
     upper = rows.sparkSession.createDataFrame([(i, j, float(r[i, j])) for i in range(n) for j in range(i, n)], "i long, j long, v double")
-    return from_rows(rows, "i"), upper
+    return from_rows(rows, n, "i"), upper
