@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from numweave.llm import classifier, lines, mixing, packing, simhash
+from numweave.llm import classifier, lines, mixing, packing, shingles
 from numweave.llm.common import stored, table
 
 #: Token weights of the mixture after the filters.
@@ -27,8 +27,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates."""
-    return simhash.one_of_each(docs)
+    """One document, that of the smallest id, of each group of near duplicates: five-word Jaccard of 0.8 or more."""
+    return shingles.one_of_each(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
