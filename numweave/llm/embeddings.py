@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -18,6 +18,8 @@ LEAST, MOST, LENT = 8, 64, 8
 #: Rows compared at once when the first graph is made, and members in one exact comparison.
 BLOCK, CELL = 256, 128
 TREES = 4
+#: Members of a component that look for neighbours in others.
+SPEAKERS = 4
 EDGES = "v long, u long, s double"
 
 
@@ -71,7 +73,8 @@ def unit_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def first_graph(vectors: DataFrame, n: int, seed: int) -> DataFrame:
     """Neighbours within blocks of vectors that random hyperplanes put side by side: a few orders of all vectors, each
-    by the sides of its hyperplanes and then by one projection; neighbours in an order are compared in blocks."""
+    by the sides of its hyperplanes and then by one projection; neighbours in an order are compared in blocks. Vectors
+    of one group (column own) are no neighbours."""
     bits = max(1, math.ceil(math.log2(max(2, n / BLOCK))))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,20 +86,20 @@ def first_graph(vectors: DataFrame, n: int, seed: int) -> DataFrame:
                 planes = np.random.default_rng((seed, t)).standard_normal((x.shape[1], bits + 1))
                 sides = x @ planes
                 code = (sides[:, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(code), pa.array(sides[:, bits]), batch.column("vec_id"), batch.column("x")], names=["tree", "code", "side", "vec_id", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(code), pa.array(sides[:, bits]), batch.column("vec_id"), batch.column("own"), batch.column("x")], names=["tree", "code", "side", "vec_id", "own", "x"])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = whole(batches)
         for k in range(0, len(table) if table else 0, BLOCK):
             part = table.slice(max(0, min(k, len(table) - BLOCK)), BLOCK)
-            ids, x = part.column("vec_id").to_numpy(), matrix(part.column("x"), np.float32)
+            ids, own, x = part.column("vec_id").to_numpy(), part.column("own").to_numpy(), matrix(part.column("x"), np.float32)
             s = x @ x.T
-            s[ids[:, None] == ids[None]] = -2
+            s[own[:, None] == own[None]] = -2
             best = np.argpartition(-s, min(LEAST, len(ids) - 1), axis=1)[:, :LEAST]
             v, u, s = np.repeat(ids, best.shape[1]), ids[best].ravel(), np.take_along_axis(s, best, 1).ravel()
             yield edges_of(v[s > -2], u[s > -2], s[s > -2])
 
-    rows = vectors.mapInArrow(spread, "tree int, code long, side double, vec_id long, x binary")
+    rows = vectors.mapInArrow(spread, "tree int, code long, side double, vec_id long, own long, x binary")
     order = ["tree", "code", "side", "vec_id"]
     return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(near, EDGES)
 
@@ -129,7 +132,8 @@ def mixed_order(v: np.ndarray, u: np.ndarray, seed: int) -> np.ndarray:
 
 
 def descend(graph: DataFrame, vectors: DataFrame, threshold: float, seed: int) -> DataFrame:
-    """One round: each vector lets its neighbours, and some of those that name it, meet each other."""
+    """One round: each vector lets its neighbours, and some of those that name it, meet each other. Vectors of one group
+    (column own) do not become neighbours."""
 
     def lend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(v, u): who meets at v. Of the reverse entries a task sends a few for each list, so hubs stay small."""
@@ -151,7 +155,7 @@ def descend(graph: DataFrame, vectors: DataFrame, threshold: float, seed: int) -
         order = order[first(v[order], u[order])]
         order = order[np.lexsort((mixed_order(v[order], u[order], seed), s[order], v[order]))]
         order = order[rank_in(v[order]) < 2 * LENT + 1]
-        x = matrix(table.column("x").take(pa.array(order)), np.float32)
+        x, own = matrix(table.column("x").take(pa.array(order)), np.float32), table.column("own").to_numpy()[order]
         v, u = v[order], u[order]
         at = np.flatnonzero(first(v))
         size = np.diff(np.append(at, len(v)))
@@ -161,8 +165,8 @@ def descend(graph: DataFrame, vectors: DataFrame, threshold: float, seed: int) -
             place = np.minimum(a[:, None] + np.arange(width), len(v) - 1)
             there = np.arange(width) < n[:, None]
             sims = np.einsum("gid,gjd->gij", x[place], x[place])
-            ids = u[place]
-            sims[~(there[:, :, None] & there[:, None, :]) | (ids[:, :, None] == ids[:, None, :])] = -2
+            ids, group = u[place], own[place]
+            sims[~(there[:, :, None] & there[:, None, :]) | (group[:, :, None] == group[:, None, :])] = -2
             best = np.argpartition(-sims, 4, axis=2)[:, :, :4]
             s = np.take_along_axis(sims, best, 2)
             g = np.arange(len(a))[:, None, None]
@@ -170,8 +174,8 @@ def descend(graph: DataFrame, vectors: DataFrame, threshold: float, seed: int) -
             yield edges_of(np.broadcast_to(ids[:, :, None], s.shape)[got], ids[g, best][got], s[got])
 
     pairs = graph.mapInArrow(lend, EDGES)
-    known = vectors.select(F.col("vec_id").alias("u"), "x")
-    found = pairs.join(known, "u").select("v", "u", "s", "x").repartition("v").mapInArrow(meet, EDGES)
+    known = vectors.select(F.col("vec_id").alias("u"), "own", "x")
+    found = pairs.join(known, "u").select("v", "u", "s", "own", "x").repartition("v").mapInArrow(meet, EDGES)
     return stored(best_lists(graph.union(found), threshold), "graph")
 
 
@@ -189,13 +193,31 @@ def checked(edges: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame
     return close.mapInArrow(run, "a long, b long")
 
 
+def joined(links: DataFrame, vectors: DataFrame, threshold: float, rounds: int, seed: int) -> DataFrame:
+    """(node, root): components of the links and of links across them. Members of a tight group fill their lists with
+    each other, so up to SPEAKERS of each component look for neighbours in other components only, until none are found."""
+    while True:
+        roots = stored(components(links), "roots")
+        placed = vectors.select("vec_id", "x").join(roots.withColumnRenamed("node", "vec_id"), "vec_id", "left").withColumn("own", F.coalesce("root", "vec_id"))
+        turn = Window.partitionBy("own").orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id")
+        some = placed.where("root IS NULL").select("vec_id", "own", "x")
+        some = stored(some.union(placed.where("root IS NOT NULL").withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= SPEAKERS).select("vec_id", "own", "x")), "speakers")
+        graph = stored(best_lists(first_graph(some, some.count(), seed), threshold), "graph")
+        for k in range(rounds):
+            graph = descend(graph, some, threshold, seed + k)
+        more = stored(checked(graph, some, threshold), "across")
+        if not more.count():
+            return roots
+        links, seed = stored(links.union(more), "links"), seed + 1
+
+
 def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Row by row, summed in one fixed order, so that a pair has one value wherever it is computed."""
     return np.cumsum(x * y, axis=1)[:, -1] if x.size else np.zeros(len(x))
 
 
 def exact_links(members: DataFrame, threshold: float) -> DataFrame:
-    """(vec_id, n_links) within components (columns vec_id, root, x).
+    """(vec_id, n_links) within components (columns vec_id, root, x, w: so many vectors are equal to x and to each other).
 
     Members within half the threshold's angle of their component's root vector link with each other, by the triangle
     bound, and are only counted. The others are compared with every member, in cells of CELL by CELL rows.
@@ -206,18 +228,18 @@ def exact_links(members: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             if len(batch):
                 near = cosines(matrix(batch.column("x")), matrix(batch.column("c"))) >= half
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("root"), batch.column("x"), pa.array(near)], names=["vec_id", "root", "x", "core"])
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("root"), batch.column("x"), batch.column("w"), pa.array(near)], names=["vec_id", "root", "x", "w", "core"])
 
     centres = stored(members.where("vec_id = root").select("root", F.col("x").alias("c")), "centres")
-    told = stored(members.join(centres, "root").mapInArrow(core, "vec_id long, root long, x binary, core boolean"), "told")
-    sizes = stored(told.groupBy("root").agg(F.count("*").alias("n"), F.count_if("core").alias("n_core")), "sizes")
+    told = stored(members.join(centres, "root").mapInArrow(core, "vec_id long, root long, x binary, w long, core boolean"), "told")
+    sizes = stored(told.groupBy("root").agg(F.count("*").alias("n"), F.count_if("core").alias("n_core"), F.sum(F.when(F.col("core"), F.col("w"))).alias("w_core")), "sizes")
     both = told.join(sizes, "root")
     cells = lambda rows: F.ceil(rows / CELL).cast("int")
     deal = lambda k: F.pmod(F.xxhash64("vec_id"), k).cast("int")
     upto = lambda k: F.explode(F.sequence(F.lit(0), k - 1))
     open_ = both.where("n_core < n").withColumns({"rows": cells(F.col("n") - F.col("n_core")), "cols": cells(F.col("n"))})
-    side = open_.where("NOT core").select("root", deal(F.col("rows")).alias("row"), upto(F.col("cols")).alias("col"), "vec_id", "core", "x", F.lit(0).alias("side"))
-    other = open_.select("root", upto(F.col("rows")).alias("row"), deal(F.col("cols")).alias("col"), "vec_id", "core", "x", F.lit(1).alias("side"))
+    side = open_.where("NOT core").select("root", deal(F.col("rows")).alias("row"), upto(F.col("cols")).alias("col"), "vec_id", "core", "x", "w", F.lit(0).alias("side"))
+    other = open_.select("root", upto(F.col("rows")).alias("row"), deal(F.col("cols")).alias("col"), "vec_id", "core", "x", "w", F.lit(1).alias("side"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (table := whole(batches)) is None:
@@ -225,6 +247,7 @@ def exact_links(members: DataFrame, threshold: float) -> DataFrame:
         keys = [table.column(c).to_numpy() for c in ("root", "row", "col")]
         turn = np.lexsort((table.column("side").to_numpy(), *keys))
         keys, table = [k[turn] for k in keys], table.take(pa.array(turn))
+        w = table.column("w").to_numpy()
         ids, core, kind, x = table.column("vec_id").to_numpy(), table.column("core").to_numpy(), table.column("side").to_numpy(), matrix(table.column("x"))
         at = np.flatnonzero(first(*keys))
         out: list[tuple[np.ndarray, np.ndarray]] = []
@@ -233,17 +256,17 @@ def exact_links(members: DataFrame, threshold: float) -> DataFrame:
             i, j = np.nonzero((x[a:mid] @ x[mid:b].T >= threshold - 1e-9) & (ids[a:mid, None] != ids[None, mid:b]))
             good = cosines(x[a:mid][i], x[mid:b][j]) >= threshold
             i, j = i[good] + a, j[good] + mid
-            out += [(ids[a:mid], np.bincount(i - a, minlength=mid - a)), (ids[mid:b][core[mid:b]], np.bincount(j - mid, minlength=b - mid)[core[mid:b]])]
+            out += [(ids[a:mid], np.bincount(i - a, w[j], minlength=mid - a)), (ids[mid:b][core[mid:b]], np.bincount(j - mid, w[i], minlength=b - mid)[core[mid:b]])]
         v, n = (np.concatenate(x) for x in zip(*out))
         yield pa.RecordBatch.from_arrays([pa.array(v[n > 0]), pa.array(n[n > 0].astype(np.int64))], names=["vec_id", "n"])
 
     counted = side.union(other).repartition("root", "row", "col").mapInArrow(compare, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("more"))
-    base = both.select("vec_id", F.when(F.col("core"), F.col("n_core") - 1).otherwise(0).alias("base"))
+    base = both.select("vec_id", (F.when(F.col("core"), F.col("w_core")).otherwise(F.col("w")) - 1).alias("base"))
     return base.join(counted, "vec_id", "left").select("vec_id", (F.col("base") + F.coalesce("more", F.lit(0))).cast("long").alias("n_links"))
 
 
 def recall(vectors: DataFrame, links: DataFrame, threshold: float, queries: int = 512) -> float:
-    """Links found over links there are, for about ``queries`` vectors drawn by a hash of the id, against all rows."""
+    """Links found over links there are, for about ``queries`` distinct vectors drawn by a hash of the id, against all rows."""
     share = int(min(1.0, queries / max(1, vectors.count())) * (1 << 30))
     asked = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < share).toPandas()
     ids = asked["vec_id"].to_numpy()
@@ -255,8 +278,8 @@ def recall(vectors: DataFrame, links: DataFrame, threshold: float, queries: int
         total = np.zeros(len(ids), np.int64)
         for batch in batches:
             if len(batch):
-                other = batch.column("vec_id").to_numpy()
-                total += ((block.value @ matrix(batch.column("x")).T >= threshold) & (ids[:, None] != other[None])).sum(1)
+                other, w = batch.column("vec_id").to_numpy(), batch.column("w").to_numpy()
+                total += (block.value @ matrix(batch.column("x")).T >= threshold) @ w - (ids[:, None] == other[None]).sum(1)
         yield pa.RecordBatch.from_arrays([pa.array([total.sum()])], names=["n"])
 
     there = vectors.mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
@@ -284,19 +307,21 @@ def near_vectors(
     those that compare lowest). An empty table gives an empty result.
     """
     every = table.select(F.col(id_col).cast("long").alias("vec_id"))
-    vectors = stored(unit_vectors(table, id_col, vector_col).groupBy("vec_id").agg(F.min("x").alias("x")), "vectors")
+    rows = stored(unit_vectors(table, id_col, vector_col).groupBy("vec_id").agg(F.min("x").alias("x")), "rows")
+    vectors = stored(rows.groupBy("x").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("w")).select("vec_id", F.col("vec_id").alias("own"), "x", "w"), "vectors")
+    names = rows.join(vectors.select("x", F.col("vec_id").alias("node")), "x").select("vec_id", "node")
     n = vectors.count()
     graph = stored(best_lists(first_graph(vectors, n, seed), threshold), "graph")
     done = 0
     while True:
         for done in range(done + 1, done + rounds + 1):
             graph = descend(graph, vectors, threshold, seed + done)
-        roots = components(checked(graph, vectors, threshold))
-        members = stored(roots.withColumnRenamed("node", "vec_id").join(vectors, "vec_id"), "members")
+        roots = joined(checked(graph, vectors, threshold), vectors, threshold, rounds, seed + done)
+        members = stored(vectors.select("vec_id", "x", "w").join(roots.withColumnRenamed("node", "vec_id"), "vec_id", "left").withColumn("root", F.coalesce("root", "vec_id")), "members")
         links = stored(exact_links(members, threshold), "links")
         if done >= most_rounds or recall(vectors, links, threshold) >= least_recall:
             break
-    grouped = members.select("vec_id", "root").join(links, "vec_id")
-    out = every.join(grouped, "vec_id", "left")
+    grouped = members.select(F.col("vec_id").alias("node"), "root").join(links.withColumnRenamed("vec_id", "node"), "node")
+    out = every.join(names.join(grouped, "node").select("vec_id", "root", "n_links"), "vec_id", "left")
     component = F.coalesce("root", "vec_id").alias("component_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
