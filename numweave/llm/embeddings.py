@@ -266,7 +266,8 @@ def exact_links(members: DataFrame, threshold: float) -> DataFrame:
 
 
 def recall(vectors: DataFrame, links: DataFrame, threshold: float, queries: int = 512) -> float:
-    """Links found over links there are, for about ``queries`` distinct vectors drawn by a hash of the id, against all rows."""
+    """Share of vectors whose links are all found, of about ``queries`` distinct vectors drawn by a hash of the id, as far
+    as they link with another distinct one, against all rows. Each counts once, however large its group."""
     share = int(min(1.0, queries / max(1, vectors.count())) * (1 << 30))
     asked = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < share).toPandas()
     ids = asked["vec_id"].to_numpy()
@@ -275,16 +276,20 @@ def recall(vectors: DataFrame, links: DataFrame, threshold: float, queries: int
     block = vectors.sparkSession.sparkContext.broadcast(np.frombuffer(b"".join(asked["x"]), "<f8").reshape(len(ids), -1))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(ids), np.int64)
+        nodes, total = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
         for batch in batches:
             if len(batch):
                 other, w = batch.column("vec_id").to_numpy(), batch.column("w").to_numpy()
-                total += (block.value @ matrix(batch.column("x")).T >= threshold) @ w - (ids[:, None] == other[None]).sum(1)
-        yield pa.RecordBatch.from_arrays([pa.array([total.sum()])], names=["n"])
+                close = (block.value @ matrix(batch.column("x")).T >= threshold + 1e-9) & (ids[:, None] != other[None])
+                nodes += close.sum(1)
+                total += close @ w
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, nodes, total)], names=["vec_id", "nodes", "total"])
 
-    there = vectors.mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
-    found = links.where(F.col("vec_id").isin([int(x) for x in ids])).agg(F.sum("n_links")).first()[0] or 0
-    return found / there if there else 1.0
+    there = vectors.mapInArrow(count, "vec_id long, nodes long, total long").groupBy("vec_id").agg(F.sum("nodes").alias("nodes"), F.sum("total").alias("total")).where("nodes > 0").toPandas()
+    found = links.where(F.col("vec_id").isin([int(x) for x in ids])).select("vec_id", "n_links").toPandas().set_index("vec_id")["n_links"]
+    own = asked.set_index("vec_id")["w"] - 1
+    whole_ = [found.get(v, 0) - own[v] >= n for v, n in zip(there["vec_id"], there["total"])]
+    return float(np.mean(whole_)) if whole_ else 1.0
 
 
 def near_vectors(
@@ -302,7 +307,8 @@ def near_vectors(
     The graph starts from blocks of neighbours along random hyperplanes, and each round joins neighbours of neighbours;
     saturated lists grow. Its edges at the threshold, checked in doubles, give components; links are then counted
     exactly within each component, so no link reported is below the threshold, and dense groups need no long lists. The
-    recall against brute force of a few hundred vectors decides on further rounds. Rows whose vector is null, zero, of
+    share of a few hundred vectors that have all their links, by brute force, decides on further rounds, which add blocks
+    along new hyperplanes; a RuntimeError tells that ``most_rounds`` were too few. Rows whose vector is null, zero, of
     odd length or not finite, or whose id is null, link with nothing; rows that share an id are one vector (the first of
     those that compare lowest). An empty table gives an empty result.
     """
@@ -319,8 +325,11 @@ def near_vectors(
         roots = joined(checked(graph, vectors, threshold), vectors, threshold, rounds, seed + done)
         members = stored(vectors.select("vec_id", "x", "w").join(roots.withColumnRenamed("node", "vec_id"), "vec_id", "left").withColumn("root", F.coalesce("root", "vec_id")), "members")
         links = stored(exact_links(members, threshold), "links")
-        if done >= most_rounds or recall(vectors, links, threshold) >= least_recall:
+        if (share := recall(vectors, links, threshold)) >= least_recall:
             break
+        if done >= most_rounds:
+            raise RuntimeError(f"after {done} rounds {share:.3f} of the audited vectors have all their links, less than {least_recall}")
+        graph = stored(best_lists(graph.union(first_graph(vectors, n, seed + 1000 * done)), threshold), "graph")
     grouped = members.select(F.col("vec_id").alias("node"), "root").join(links.withColumnRenamed("vec_id", "node"), "node")
     out = every.join(names.join(grouped, "node").select("vec_id", "root", "n_links"), "vec_id", "left")
     component = F.coalesce("root", "vec_id").alias("component_id")
