@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,16 +19,26 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> Dat
     return rows.select(F.xxhash64("line").alias("key"), "doc", "at", "site")
 
 
-def wide_lines(lines: DataFrame, min_sites: int = 10, rsd: float = 0.2, margin: float = 2.0) -> DataFrame:
+def wide_lines(lines: DataFrame, min_sites: int = 10) -> DataFrame:
     """(key, first): lines on ``min_sites`` distinct sites or more, with the smallest document that has them.
 
-    One HyperLogLog sketch per line hash (a few longs each, merged map-side) settles lines whose estimate is over
-    ``margin`` times the threshold or under its ``margin``-th part. The lines between, some five standard errors to
-    either side, get exact counts: distinct (line, site) pairs are made before anything meets by line alone.
+    One HyperLogLog sketch per line hash (a few longs each, merged map-side) settles what it can settle for certain; all
+    other lines get exact counts: distinct (line, site) pairs are made before anything meets by line alone.
+
+    Certainly under: fewer occurrences than ``min_sites``, or the same site in all of them. Certainly over: an estimate
+    of twice ``min_sites``. The sketch has 3.2 registers or more for each site of the threshold, so with fewer sites
+    than that at most 0.32 of its m registers are filled, and its estimate, there m * ln(m / empty), is under 1.25 times
+    ``min_sites``.
     """
-    sketched = lines.groupBy("key").agg(F.approx_count_distinct("site", rsd).alias("sites"), F.min("doc").alias("first"))
-    sketched = stored(sketched.where(F.col("sites") >= min_sites / margin), "wide")
-    near = sketched.where(F.col("sites") <= min_sites * margin).select("key")
+    bits = max(5, math.ceil(math.log2(3.2 * min_sites)))
+    rsd = 1.106 / 2 ** (bits / 2 - 0.25)
+    site = F.xxhash64("site")
+    sketched = lines.groupBy("key").agg(
+        F.count("*").alias("n"), F.min(site).alias("low"), F.max(site).alias("high"),
+        F.approx_count_distinct("site", rsd).alias("sites"), F.min("doc").alias("first"),
+    )
+    sketched = stored(sketched.where((F.col("n") >= min_sites) & ((F.col("low") != F.col("high")) | F.lit(min_sites <= 1))).select("key", "sites", "first"), "wide")
+    near = sketched.where(F.col("sites") < 2 * min_sites).select("key")
     pairs = lines.select("key", "site").join(near, "key", "left_semi").select(F.struct("key", "site").alias("pair"))
     exact = pairs.groupBy("pair").agg(F.lit(1).alias("one")).groupBy(F.col("pair.key").alias("key")).agg(F.count("*").alias("exact"))
     return stored(sketched.join(exact, "key", "left").where(F.coalesce("exact", "sites") >= min_sites).select("key", "first"), "wide")
