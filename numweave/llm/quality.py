@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 SPACE = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -56,11 +58,6 @@ def repeated_words(words: Column, k: int = WINDOW) -> Column:
     return F.when(n > k, let(hashes, lambda h: let(windows(h), some))).otherwise(F.lit(0).cast("bigint"))
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with the value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id``, the measurements and ``fail_bits``, every rule evaluated once.
 
