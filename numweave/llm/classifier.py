@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import chunks, small_batches, stored, utf8
+from .common import chunks, stored, utf8
 
 BAD, GOOD, ABSTAIN = 0, 1, 2
 #: Heuristic labellers in the order of a pattern's digits. Measure; bad at or over; good at or under (None: never).
@@ -148,7 +148,6 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     The scorer reads every whole text. Null and empty texts, and those without words, are not kept: score 0. Rows that
     share an id are judged one by one; null ids never enter the sample. An empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     model = docs.sparkSession.sparkContext.broadcast(fit_scorer(rows, sample))
 
@@ -164,7 +163,6 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
 
 def good_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 3000) -> DataFrame:
     """The rows of ``docs`` that ``classify`` keeps, whole and in their own columns; no shuffle."""
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     model = docs.sparkSession.sparkContext.broadcast(fit_scorer(rows, sample))
 

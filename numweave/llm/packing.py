@@ -11,8 +11,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
-
 TIERS = (256, 512, 1024, 2048)
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -139,7 +137,6 @@ def pack(
     Step groups take sequences of any tier until each holds ``step_tokens``. Tasks pack on their own: no shuffle, and
     a lost task packs the same again. Each input row, repeated ones and null ids included, is packed by itself.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, packer = encoder(tokenizer), None

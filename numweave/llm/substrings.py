@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, small_batches, stored, utf8
+from .common import chunks, stored, utf8
 
 GRAM = 16
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
@@ -409,7 +409,6 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if length < 2 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} at least")
     spark = docs.sparkSession
-    small_batches(spark)
     parts = parts or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     known = rows.where("doc IS NOT NULL")

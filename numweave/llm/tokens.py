@@ -8,8 +8,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
-
 START = "▁"
 #: Words whose counts a task remembers.
 MOST_WORDS = 200_000
@@ -93,11 +91,11 @@ class Counts(dict):
 
 
 def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", start: str = START) -> DataFrame:
-    """(doc_id, n_words, n_tokens) of each row. Words are separated by white space; each starts with ``start``.
+    """(doc_id, n_words, n_tokens) of each row. Words are separated by any Unicode white space, as in ``str.split``, not
+    by ASCII blanks alone as in the other operators; each starts with ``start``.
 
     Null and empty texts have 0 of both. Rows are independent: no shuffle; the automaton is built once a task.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts(pieces_of(model), start)
@@ -105,4 +103,4 @@ def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
             words = [len(x := (t.as_py() or "").split()) and (len(x), sum(map(counts.__getitem__, x))) or (0, 0) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([x[k] for x in words], pa.int64()) for k in (0, 1))], names=["doc_id", "n_words", "n_tokens"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_words long, n_tokens long")
