@@ -71,26 +71,29 @@ def without_vertices(edges: DataFrame, gone: DataFrame) -> DataFrame:
     return edges.join(gone, "i", "left_anti").join(gone.withColumnRenamed("i", "j"), "j", "left_anti")
 
 
-def match(edges: DataFrame, tail: int = 20_000) -> DataFrame:
+def match(edges: DataFrame, tail: int = 1000) -> DataFrame:
     """Locally dominant matching as (i, j, w), i < j. edges: (i, j, w, tie), both directions.
 
     In each round every vertex points to its heaviest living edge (by weight, then tie; the maximum is combined
     map-side, so hubs are harmless), edges that both ends point to are taken, and edges of taken vertices go. As the
     order is strict, the result is that of taking edges greedily from the heaviest, at least half the greatest weight.
-    Each round is written to the shared folder. A path of rising weights would need as many rounds as it has edges, so
-    once ``tail`` directed edges or fewer live, one task takes them greedily.
+    A round writes one table to the shared folder, of the edges that live on and those taken. A path of rising weights
+    would need as many rounds as it has edges, so once ``tail`` directed edges or fewer live, one task takes them
+    greedily; the result is the same whatever the tail.
     """
-    live = stored(edges.select("i", "j", "w", "tie"), "live")
-    found = []
-    while live.count() > tail:
+    live = edges.select("i", "j", "w", "tie")
+    n, found = None, []
+    while n is None or n > tail:
         best = heaviest_edge(live)
         back = best.select(F.col("j").alias("i"), F.col("i").alias("j"))
-        taken = stored(best.where("i < j").join(back, ["i", "j"]), "taken")
-        if taken.isEmpty():
+        taken = best.join(back, ["i", "j"])
+        rest = without_vertices(live, taken.select("i")).select("i", "j", "w", "tie", F.lit(False).alias("taken"))
+        both = stored(rest.union(taken.where("i < j").select("i", "j", "w", F.lit(None).cast(live.schema["tie"].dataType), F.lit(True))), "matched")
+        n, n_taken = both.agg(F.count_if(~F.col("taken")), F.count_if("taken")).first()
+        if n and not n_taken:
             raise ValueError("no edge is the heaviest at both ends: the order isn't strict, or edges lack their other direction")
-        found.append(taken)
-        gone = stored(taken.select("i").union(taken.select("j")), "gone")
-        live = stored(without_vertices(live, gone), "live")
+        found.append(both.where("taken").select("i", "j", "w"))
+        live = both.where("NOT taken").select("i", "j", "w", "tie")
     out = live.where("i < j").withColumn("all", F.lit(0)).groupBy("all").applyInPandas(greedy, "i long, j long, w double")
     for x in found:
         out = out.unionByName(x)

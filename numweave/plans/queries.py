@@ -405,7 +405,7 @@ MATCH = """, e AS (SELECT i, j, w, row_number() OVER (ORDER BY w DESC, i + j + C
 
 def matched(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     edges = stored(views.order_graph(spark, sf_dir))
-    return stored(G.match(G.with_ties(edges, 1_000_000))), edges
+    return stored(G.match(G.with_ties(edges, 1_000_000), tail=64)), edges
 
 
 @query(with_views("g", MATCH + " SELECT i, j, w FROM m WHERE i IS NOT NULL", recursive=True))
@@ -627,20 +627,23 @@ def qr(spark, sf_dir):
 
 # ---- transforms and stencils
 
-DFT = """, f AS (SELECT k.range AS i, sum(s.re * cos(2 * pi() * ((s.i * k.range) % 1024) / 1024)) AS re, sum(-s.re * sin(2 * pi() * ((s.i * k.range) % 1024) / 1024)) AS im FROM s, range(1024) k GROUP BY k.range)
+DFT = """, f AS (SELECT k.i, sum(s.re * cos(2 * pi() * ((s.i * k.i) % n) / n)) AS re, sum(-s.re * sin(2 * pi() * ((s.i * k.i) % n) / n)) AS im
+      FROM s, s AS k, (SELECT count(*) AS n FROM s) GROUP BY k.i)
     SELECT i, round(re, 4) + 0.0 AS re, round(im, 4) + 0.0 AS im FROM f"""
 
 
 @query(with_views("s", DFT))
 def fft(spark, sf_dir):
-    return tidy(spectral.fft(stored(views.hourly_signal(spark, sf_dir)), views.SIGNAL), 4, "re", "im")
+    x = stored(views.hourly_signal(spark, sf_dir))
+    return tidy(spectral.fft(x, x.count()), 4, "re", "im")
 
 
 @query(with_views("s", "SELECT i, re, 0.0 AS im, 0.0 AS error FROM s"))
 def ifft(spark, sf_dir):
     x = stored(views.hourly_signal(spark, sf_dir))
-    back = spectral.ifft(stored(spectral.fft(x, views.SIGNAL)), views.SIGNAL)
-    return tidy(back, 4, "re", "im").join(tidy(V.max_abs_error(back, x, views.SIGNAL), 4, "value").select(F.col("value").alias("error")))
+    n = x.count()
+    back = spectral.ifft(stored(spectral.fft(x, n)), n)
+    return tidy(back, 4, "re", "im").join(tidy(V.max_abs_error(back, x, n), 4, "value").select(F.col("value").alias("error")))
 
 
 @query(with_views("s", """, b AS (SELECT i // 64 AS key, i % 64 AS j, re FROM s),

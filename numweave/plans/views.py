@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.index import div
 
 NATIONS = 25
-SIGNAL = 1024
 GRID = 32
 
 
@@ -67,11 +66,12 @@ def order_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hourly_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(i, re, im) of length 1024: events in each hour since the first; hours without events and the rest are 0."""
+    """(i, re, im): events in each hour since the first, from 0 on; the length is the least power of two, 64 at least,
+    that holds the hours to the last event. Hours without events and the rest are 0."""
     hours = table(spark, sf_dir, "events").select(div(F.unix_timestamp("ts"), 3600).alias("h"))
-    first = hours.agg(F.min("h")).first()[0] or 0
+    first, last = (x or 0 for x in hours.agg(F.min("h"), F.max("h")).first())
     counts = hours.groupBy((F.col("h") - first).alias("i")).agg(F.count("*").cast("double").alias("re"))
-    places = spark.range(SIGNAL).select(F.col("id").alias("i"))
+    places = spark.range(max(64, 1 << (last - first).bit_length())).select(F.col("id").alias("i"))
     return places.join(counts, "i", "left").select("i", F.coalesce("re", F.lit(0.0)).alias("re"), F.lit(0.0).alias("im"))
 
 
@@ -101,9 +101,9 @@ SQL = {
         UNION ALL SELECT a.range, b.range, CASE WHEN a.range = b.range THEN 25.0 ELSE 0.0 END FROM range(25) a, range(25) b) GROUP BY i, j)""",
     "g": """g AS (SELECT a.l_suppkey AS i, b.l_suppkey AS j, CAST(count(*) AS DOUBLE) AS w, CAST(a.l_suppkey % 4 AS INTEGER) AS part
         FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey GROUP BY a.l_suppkey, b.l_suppkey)""",
-    "s": """s AS (SELECT r.range AS i, coalesce(c.n, 0.0) AS re FROM range(1024) r LEFT JOIN (
-        SELECT h - (SELECT min(CAST(floor(epoch(ts) / 3600) AS BIGINT)) FROM events) AS i, CAST(count(*) AS DOUBLE) AS n
-        FROM (SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS h FROM events) GROUP BY h) c ON c.i = r.range)""",
+    "s": """s AS (WITH e AS (SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS h FROM events), b AS (SELECT min(h) AS a, max(h) AS z FROM e),
+        r AS (SELECT unnest(range(greatest(64, CAST(pow(2, ceil(log2(z - a + 1))) AS BIGINT)))) AS i FROM b)
+        SELECT r.i, coalesce(c.n, 0.0) AS re FROM r LEFT JOIN (SELECT h - a AS i, CAST(count(*) AS DOUBLE) AS n FROM e, b GROUP BY ALL) c USING (i))""",
     "q": """q AS (SELECT i, j, sum(v) AS v FROM (SELECT l_partkey % 32 AS i, l_suppkey % 32 AS j, l_quantity AS v FROM lineitem
         UNION ALL SELECT a.range, b.range, 0.0 FROM range(32) a, range(32) b) GROUP BY i, j)""",
     "runs": """runs AS (SELECT l_returnflag AS experiment, CAST(l_linenumber * 1000 AS INTEGER) AS n, CAST(l_linenumber AS INTEGER) AS p,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder is set only where none is configured, as in tests."""
+    """``spark.checkpoint.dir``. Where none is configured a temporary folder is taken, as in tests, but only with a local
+    master: executors of a cluster would each write to a disk of their own."""
     context = spark.sparkContext._jsc.sc()
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         there = context.getCheckpointDir()
+        if not there.isDefined() and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = there.get() if there.isDefined() else tempfile.mkdtemp(prefix="numweave-")
     if not context.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
