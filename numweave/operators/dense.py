@@ -2,11 +2,13 @@
 
 A matrix is held as one row of doubles for each index. A stage works on a panel of columns; panel and pivot rows are
 kept to ``PANEL_MB``, by fewer columns where rows are many, and that bound lets the driver factor a panel and broadcast
-it. Each stage maps the rows with it, without a shuffle, and writes them to the shared folder.
+it. The finished part of a stage is written once; only the trailing rows, without the finished columns, go on to the next
+stage, mapped without a shuffle and written to the shared folder.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,9 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import shared_dir, stored
 from .blocks import combine, matmul
-from .sparse import spmv
 from .vector import frobenius_norm, transpose
 
 EPS = 1e-15
@@ -36,11 +37,6 @@ def slices(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch
             yield batch.slice(k, most)
 
 
-def bound_batches(a: DataFrame, n: int) -> None:
-    """Rows are n doubles wide, so few go to Python at once."""
-    a.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(max(1, min(10_000, (64 << 20) // (8 * max(1, n))))))
-
-
 def packed(x: np.ndarray) -> pa.Array:
     """Each row of a matrix as bytes."""
     offsets = np.arange(len(x) + 1, dtype=np.int32) * (8 * x.shape[1])
@@ -53,8 +49,6 @@ def unpacked(column: pa.Array, n: int) -> np.ndarray:
 
 def to_rows(a: DataFrame, n: int) -> DataFrame:
     """(pos, i, row): n doubles for each row that holds an entry; duplicates add up."""
-    bound_batches(a, n)
-
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, n):
             cells = batch.column("x")
@@ -79,74 +73,120 @@ def from_rows(rows: DataFrame, n: int, index: str = "pos") -> DataFrame:
 
 
 def mapped(rows: DataFrame, n: int, change) -> DataFrame:
-    """change(pos, i, matrix) -> (pos, matrix) for some rows at a time."""
+    """change(pos, i, matrix) -> (pos, i, matrix) for some rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, n):
-            i = batch.column("i").to_numpy()
-            pos, x = change(batch.column("pos").to_numpy(), i, unpacked(batch.column("row"), n).copy())
+            pos, i, x = change(batch.column("pos").to_numpy(), batch.column("i").to_numpy(), unpacked(batch.column("row"), n).copy())
             yield pa.RecordBatch.from_arrays([pa.array(pos), pa.array(i), packed(x)], names=["pos", "i", "row"])
 
     return rows.mapInArrow(run, ROWS)
 
 
-def gathered(rows: DataFrame, where: str, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and columns [a, b) of the rows in order of their place; callers bound the size."""
+def gathered(rows: DataFrame, where: str | None, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, indices and columns [a, b) of the rows in order of their place; callers bound the size."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("pos"), pa.array([r[8 * a : 8 * b] for r in batch.column("row").to_pylist()], pa.binary())], names=["pos", "row"])
+            yield pa.RecordBatch.from_arrays([batch.column("pos"), batch.column("i"), pa.array([r[8 * a : 8 * b] for r in batch.column("row").to_pylist()], pa.binary())], names=["pos", "i", "row"])
 
-    got = rows.where(where).mapInArrow(cut, "pos long, row binary").toArrow().sort_by("pos")
-    return got.column("pos").to_numpy(), np.frombuffer(b"".join(got.column("row").to_pylist())).reshape(len(got), b - a)
+    got = (rows.where(where) if where else rows).mapInArrow(cut, ROWS).toArrow().sort_by("pos")
+    return got.column("pos").to_numpy(), got.column("i").to_numpy(), np.frombuffer(b"".join(got.column("row").to_pylist())).reshape(len(got), b - a)
 
 
-def full_rows(a: DataFrame, n: int) -> DataFrame:
-    """Rows 0 .. n-1, those without entries as zeros."""
+def full_rows(a: DataFrame, n: int, columns: int | None = None) -> DataFrame:
+    """Rows 0 .. n-1 of n or so many columns, those without entries as zeros."""
     zeros = a.sparkSession.range(n).select(F.col("id").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0.0).alias("v"))
-    return to_rows(a.select("i", "j", "v").union(zeros), n)
+    return to_rows(a.select("i", "j", "v").union(zeros), columns or n)
 
 
-def lu(a: DataFrame, n: int, block: int = 256) -> tuple[DataFrame, DataFrame]:
-    """(L below and U on and over the diagonal as triples, (i, pi)) with A(pi(i), j) = (L U)(i, j).
+class Pieces:
+    """Finished parts of factors in the shared folder: rows (i, first column, doubles), by kind and stage."""
+
+    def __init__(self, spark):
+        self.spark, self.path = spark, f"{shared_dir(spark)}/pieces-{uuid.uuid4().hex}"
+
+    def add(self, kind: str, stage: int, i: np.ndarray, first: int, x: np.ndarray) -> None:
+        if x.size:
+            rows = pa.table({"i": pa.array(i, pa.int64()), "first": pa.array(np.full(len(i), first)), "row": packed(x)})
+            self.spark.createDataFrame(rows).write.parquet(f"{self.path}/{kind}/stage={stage}")
+
+    def of(self, kind: str, stage: int | None = None) -> DataFrame:
+        schema = "i long, first long, row binary"
+        if stage is None:
+            return self.spark.read.schema(schema + ", stage int").parquet(f"{self.path}/{kind}").drop("stage")
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{kind}/stage={stage}")
+
+
+def cells_of(pieces: DataFrame) -> DataFrame:
+    """Triples of the entries of pieces that are not 0."""
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, first, row in zip(*(c.to_pylist() for c in batch.columns)):
+                x = np.frombuffer(row)
+                j = np.flatnonzero(x)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), i)), pa.array(first + j), pa.array(x[j])], names=["i", "j", "v"])
+
+    return pieces.select("i", "first", "row").mapInArrow(cells, "i long, j long, v double")
+
+
+def eliminated(a: DataFrame, n: int, block: int, right: int = 0) -> tuple[Pieces, np.ndarray, list[tuple[int, int]]]:
+    """LU by panels of n rows with ``right`` more columns, which take part as right-hand sides: the pieces (kind panel: L
+    and the corner of U by row of A; kind top: U beyond the corner, and the right-hand sides), the row of A at each place
+    (n numbers), and the stages' columns.
 
-    Right-looking by panels. The pivot is the greatest absolute value of the column, of equals the first row; a pivot
-    of 1e-15 or less is an error that names the stage.
+    The pivot is the greatest absolute value of the column, of equals the first row; a pivot of 1e-15 or less is an error
+    that names the stage.
     """
-    rows, width = stored(full_rows(a, n), "lu"), panel_width(n, block)
+    rows, width = stored(full_rows(a, n, n + right), "lu"), panel_width(n, block)
+    pieces, row_at, stages = Pieces(rows.sparkSession), np.zeros(n, np.int64), []
     for k0 in range(0, n, width):
-        k1 = min(n, k0 + width)
-        place, panel = gathered(rows, f"pos >= {k0}", k0, k1)
+        k1, wide = min(n, k0 + width), n + right - k0
+        w = k1 - k0
+        place, own, panel = gathered(rows, None, 0, w)
         panel, order = panel.copy(), np.arange(len(place))
-        for k in range(k1 - k0):
+        for k in range(w):
             r = k + int(np.argmax(np.abs(panel[k:, k])))
             if abs(panel[r, k]) <= EPS:
                 raise ValueError(f"singular at stage {k0 + k}")
             panel[[k, r]], order[[k, r]] = panel[[r, k]], order[[r, k]]
             panel[k + 1 :, k] /= panel[k, k]
             panel[k + 1 :, k + 1 :] -= np.outer(panel[k + 1 :, k], panel[k, k + 1 :])
-        old = place[order]
-        new_of = np.empty(len(old), np.int64)
-        new_of[old - k0] = np.arange(k0, n)
-        top = old[: k1 - k0]
-        at, right = gathered(rows, f"pos IN ({','.join(map(str, top))})", k1, n)
-        unit = np.tril(panel[: k1 - k0], -1) + np.eye(k1 - k0)
-        upper = np.linalg.solve(unit, right[np.searchsorted(at, top)]) if k1 < n else np.zeros((k1 - k0, 0))
-        told = rows.sparkSession.sparkContext.broadcast((new_of, panel, upper))
-
-        def step(pos, i, x, k0=k0, k1=k1, told=told):
-            new_of, panel, upper = told.value
-            live = pos >= k0
-            pos = pos.copy()
-            pos[live] = new_of[pos[live] - k0]
-            x[live, k0:k1] = panel[pos[live] - k0]
-            top, low = live & (pos < k1), pos >= k1
-            x[top, k1:] = upper[pos[top] - k0]
-            x[low, k1:] -= x[low, k0:k1] @ upper
-            return pos, x
-
-        rows = stored(mapped(rows, n, step), "lu")
-    return from_rows(rows, n), rows.select(F.col("pos").alias("i"), F.col("i").alias("pi"))
+        row_at[k0:] = own[order]
+        pieces.add("panel", k0, own[order], k0, panel)
+        new_of = np.empty(len(order), np.int64)
+        new_of[order] = np.arange(k0, n)
+        top = place[order[:w]]
+        at, _, beyond = gathered(rows, f"pos IN ({','.join(map(str, top))})", w, wide)
+        unit = np.tril(panel[:w], -1) + np.eye(w)
+        upper = np.linalg.solve(unit, beyond[np.searchsorted(at, top)]) if wide > w else np.zeros((w, 0))
+        pieces.add("top", k0, own[order[:w]], k1, upper)
+        stages.append((k0, k1))
+        if k1 < n:
+            told = rows.sparkSession.sparkContext.broadcast((new_of, panel[w:], upper))
+
+            def step(pos, i, x, k0=k0, k1=k1, w=w, told=told):
+                new_of, low, upper = told.value
+                pos = new_of[pos - k0]
+                live = pos >= k1
+                pos = pos[live]
+                return pos, i[live], x[live, w:] - low[pos - k1] @ upper
+
+            rows = stored(mapped(rows, wide, step), "lu")
+    return pieces, row_at, stages
+
+
+def lu(a: DataFrame, n: int, block: int = 256) -> tuple[DataFrame, DataFrame]:
+    """(L below and U on and over the diagonal as triples, (i, pi)) with A(pi(i), j) = (L U)(i, j); see ``eliminated``."""
+    pieces, row_at, stages = eliminated(a, n, block)
+    spark = a.sparkSession
+    pi = spark.createDataFrame(pa.table({"i": pa.array(np.arange(n)), "pi": pa.array(row_at)}))
+    parts = pieces.of("panel")
+    if len(stages) > 1:
+        parts = parts.union(pieces.of("top"))
+    placed = parts.withColumnRenamed("i", "pi").join(pi, "pi").select("i", "first", "row")
+    return cells_of(placed), pi
 
 
 def identity(spark, n: int) -> DataFrame:
@@ -185,52 +225,91 @@ def verify_lu(a: DataFrame, factors: DataFrame, pi: DataFrame, n: int, block: in
 def cholesky(a: DataFrame, n: int, block: int = 256) -> DataFrame:
     """R upper with R' R = A for A symmetric positive definite; otherwise an error that names the stage."""
     rows, width = stored(full_rows(a, n), "cholesky"), panel_width(n, block)
+    pieces = Pieces(rows.sparkSession)
     for k0 in range(0, n, width):
         k1 = min(n, k0 + width)
-        _, panel = gathered(rows, f"pos >= {k0}", k0, k1)
+        w = k1 - k0
+        place, _, panel = gathered(rows, None, 0, w)
         try:
-            top = np.linalg.cholesky(panel[: k1 - k0])
+            top = np.linalg.cholesky(panel[:w])
         except np.linalg.LinAlgError:
             raise ValueError(f"not positive definite in columns {k0} to {k1 - 1}") from None
-        left = np.vstack([top, np.linalg.solve(top, panel[k1 - k0 :].T).T])
-        told = rows.sparkSession.sparkContext.broadcast(left)
+        left = np.vstack([top, np.linalg.solve(top, panel[w:].T).T])
+        pieces.add("panel", k0, place, k0, left)
+        if k1 < n:
+            told = rows.sparkSession.sparkContext.broadcast(left[w:])
+
+            def step(pos, i, x, k1=k1, w=w, told=told):
+                live = pos >= k1
+                pos = pos[live]
+                return pos, i[live], x[live, w:] - told.value[pos - k1] @ told.value.T
+
+            rows = stored(mapped(rows, n - k0, step), "cholesky")
+    return transpose(cells_of(pieces.of("panel")))
+
+
+def column_blocks(lower: DataFrame, n: int, width: int) -> DataFrame:
+    """(block, i, row): the rows' parts in each block of columns, as doubles, stored by block so that a stage reads its own."""
+    cells = lower.where(f"i < {n} AND j <= i").groupBy(F.floor(F.col("j") / width).cast("int").alias("block"), "i").agg(F.collect_list(F.struct((F.col("j") % width).cast("int").alias("k"), "v")).alias("x"))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, width):
+            cells = batch.column("x")
+            flat, row = cells.flatten(), np.repeat(np.arange(len(batch)), cells.value_lengths().to_numpy())
+            x = np.zeros((len(batch), width))
+            np.add.at(x, (row, flat.field("k").to_numpy()), flat.field("v").to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("i"), packed(x)], names=["block", "i", "row"])
+
+    spark, path = lower.sparkSession, f"{shared_dir(lower.sparkSession)}/blocks-{uuid.uuid4().hex}"
+    schema = "i long, row binary, block int"
+    cells.mapInArrow(fill, "block int, i long, row binary").repartition("block", F.pmod(F.xxhash64("i"), F.lit(16))).write.partitionBy("block").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def parts_of(rows: DataFrame, x: np.ndarray, corner: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows (i, row): i, the first ``corner`` entries, and the product of the entries after these with x."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, corner + len(told.value)):
+            m = unpacked(batch.column("row"), corner + len(told.value)) if len(batch) else np.zeros((0, corner + len(told.value)))
+            yield pa.RecordBatch.from_arrays([batch.column("i"), packed(m[:, :corner]), pa.array(m[:, corner:] @ told.value)], names=["i", "row", "v"])
+
+    told = rows.sparkSession.sparkContext.broadcast(x)
+    got = rows.select("i", "row").mapInArrow(run, "i long, row binary, v double").toArrow().sort_by("i")
+    return got.column("i").to_numpy(), np.frombuffer(b"".join(got.column("row").to_pylist())).reshape(len(got), corner), got.column("v").to_numpy()
+
+
+def vector_of(b: DataFrame, n: int) -> np.ndarray:
+    """A vector of n places, absent ones 0; n is that of a dense matrix, so it is small beside one."""
+    out = np.zeros(n)
+    got = b.where(f"i >= 0 AND i < {n}").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+    out[got.column("i").to_numpy()] = np.nan_to_num(got.column("v").to_numpy())
+    return out
 
-        def step(pos, i, x, k0=k0, k1=k1, told=told):
-            left, live = told.value, pos >= k0
-            x[live, k0:k1] = left[pos[live] - k0]
-            low = pos >= k1
-            x[low, k1:] -= x[low, k0:k1] @ left[k1 - k0 :].T
-            x[live & ~low, k1:] = 0
-            return pos, x
 
-        rows = stored(mapped(rows, n, step), "cholesky")
-    return transpose(from_rows(rows, n).where("i >= j"))
+def vector_frame(spark, x: np.ndarray) -> DataFrame:
+    return spark.createDataFrame(pa.table({"i": pa.array(np.arange(len(x))), "v": pa.array(x)}))
 
 
 def trisolv(lower: DataFrame, b: DataFrame, n: int, block: int = 256) -> DataFrame:
-    """x with L x = b, L lower with its diagonal. Forward by blocks: the driver solves one small triangle, the rest of
-    the right-hand side takes its part of the product."""
+    """x with L x = b, L lower with its diagonal. Forward by blocks of columns, each read once: the driver solves the small
+    triangle, tasks multiply what lies below it. The vector itself (n numbers) is held by the driver."""
     width = panel_width(n, block)
-    spark = lower.sparkSession
-    rest = stored(spark.range(n).select(F.col("id").alias("i")).join(b, "i", "left").select("i", F.coalesce("v", F.lit(0.0)).alias("v")), "rest")
-    found = None
+    blocks, rest = column_blocks(lower, n, width), vector_of(b, n)
+    x = np.zeros(n)
     for k0 in range(0, n, width):
         k1 = min(n, k0 + width)
-        inside = f"i >= {k0} AND i < {k1}"
-        corner, right = np.zeros((k1 - k0, k1 - k0)), np.zeros(k1 - k0)
-        for i, j, v in lower.where(f"{inside} AND j >= {k0} AND j <= i").select("i", "j", "v").collect():
-            corner[i - k0, j - k0] += v
-        for i, v in rest.where(inside).collect():
-            right[i - k0] = v
-        if (np.abs(np.diag(corner)) <= EPS).any():
+        own = blocks.where(f"block = {k0 // width}")
+        i, corner, _ = parts_of(own.where(f"i < {k1}"), np.zeros(0), width)
+        full = np.zeros((k1 - k0, k1 - k0))
+        full[i - k0] = corner[:, : k1 - k0]
+        if (np.abs(np.diag(full)) <= EPS).any():
             raise ValueError(f"singular in rows {k0} to {k1 - 1}")
-        x = np.linalg.solve(corner, right)
-        part = spark.createDataFrame([(k0 + k, float(v)) for k, v in enumerate(x)], "i long, v double")
-        found = part if found is None else found.union(part)
+        x[k0:k1] = np.linalg.solve(full, rest[k0:k1])
         if k1 < n:
-            below = lower.where(f"i >= {k1} AND j >= {k0} AND j < {k1}")
-            rest = stored(combine((1.0, rest.where(f"i >= {k1}")), (-1.0, spmv(below, part))), "rest")
-    return found if found is not None else rest
+            i, _, v = parts_of(own.where(f"i >= {k1}"), np.append(x[k0:k1], np.zeros(width - (k1 - k0))), 0)
+            rest[i] -= v
+    return vector_frame(lower.sparkSession, x)
 
 
 def backsolv(upper: DataFrame, b: DataFrame, n: int, block: int = 256) -> DataFrame:
@@ -240,10 +319,21 @@ def backsolv(upper: DataFrame, b: DataFrame, n: int, block: int = 256) -> DataFr
 
 
 def solve(a: DataFrame, b: DataFrame, n: int, block: int = 256) -> DataFrame:
-    """x with A x = b, by LU."""
-    factors, pi = lu(a, n, block)
-    low, up = split_lu(stored(factors, "factors"), n)
-    return backsolv(up, trisolv(low, permuted_rows(b, pi), n, block), n, block)
+    """x with A x = b, by LU. The right-hand side goes along as one more column, so only U is left to solve, backward by
+    the stages' rows: each is read once, tasks multiply what lies right of its corner."""
+    right = b.select("i", F.lit(n).cast("long").alias("j"), "v")
+    pieces, row_at, stages = eliminated(a.select("i", "j", "v").union(right), n, block, 1)
+    place = np.empty(n, np.int64)
+    place[row_at] = np.arange(n)
+    x = np.zeros(n + 1)
+    x[n] = -1.0
+    for k0, k1 in reversed(stages):
+        top = row_at[k0:k1].tolist()
+        i, corner, _ = parts_of(pieces.of("panel", k0).where(F.col("i").isin(top)), np.zeros(0), k1 - k0)
+        upper = np.triu(corner[np.argsort(place[i])])
+        i, _, v = parts_of(pieces.of("top", k0), x[k1:], 0)
+        x[k0:k1] = np.linalg.solve(upper, -v[np.argsort(place[i])])
+    return vector_frame(a.sparkSession, x[:n])
 
 
 def toeplitz_solve(r: DataFrame, n: int, block: int = 256) -> DataFrame:
@@ -284,6 +374,6 @@ def qr(a: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
         if (np.abs(np.diag(own)) <= EPS).any():
             raise ValueError("the columns are dependent")
         inverse, r = np.linalg.inv(own), own @ r
-        rows = stored(mapped(rows, n, lambda pos, i, x, inverse=inverse: (pos, x @ inverse)), "qr")
+        rows = stored(mapped(rows, n, lambda pos, i, x, inverse=inverse: (pos, i, x @ inverse)), "qr")
     upper = rows.sparkSession.createDataFrame([(i, j, float(r[i, j])) for i in range(n) for j in range(i, n)], "i long, j long, v double")
     return from_rows(rows, n, "i"), upper
