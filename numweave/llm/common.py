@@ -57,3 +57,24 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str, most: int) -> Iterator[
                 held, size = [], 0
     if held:
         yield pa.Table.from_batches(held)
+
+
+def by_key(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The runs of equal integer keys of a sorted partition, one after another."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        new = np.any([np.append(True, c[1:] != c[:-1]) for c in columns], axis=0)
+        cut = [*np.flatnonzero(new).tolist(), len(batch)]
+        for a, b in zip(cut, cut[1:]):
+            now = tuple(c[a] for c in columns)
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)
