@@ -9,6 +9,7 @@ suffixes of its segments, derives longest-previous-factor arrays, and reports th
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,14 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, stored, utf8
+from .common import by_key, chunks, stored, utf8
 
 GRAM = 16
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 #: Most hot anchors that are broadcast, at eight bytes each.
-MOST_HOT = 1 << 18
-#: Anchors collected before a map task combines and sends them; text bytes worked on at once.
-FLUSH, PIECE = 1_500_000, 2_000_000
+MOST_HOT = 1 << 22
+#: Anchors collected before a map task combines and sends them; text bytes worked on at once; windows of hot anchors that
+#: a task remembers as sent.
+FLUSH, PIECE, SEEN = 1_500_000, 2_000_000, 200_000
+#: Text bytes to a part, the unit that a task compares at once, and most tasks of a shuffle; a task has several parts then.
+PART, MOST_TASKS = 1 << 23, 1 << 16
 
 
 def gram_hashes(text: np.ndarray) -> np.ndarray:
@@ -135,12 +139,25 @@ def contents(hashes: np.ndarray, first: np.ndarray, n: np.ndarray, length: int)
     return (sums[ends] - sums[ends - n]) ^ (hashes[first] * MIX[1]) ^ n.astype(np.uint64)
 
 
+def alike(data: np.ndarray, first: np.ndarray, size: np.ndarray, order: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Of segments in order, whether each has the very bytes of the first of its group (groups begin at ``new``)."""
+    at = np.flatnonzero(new)
+    lead = np.repeat(order[at], np.diff(np.append(at, len(order))))
+    good = size[order] == size[lead]
+    other = np.flatnonzero(good & (order != lead))
+    if len(other):
+        n = size[order[other]]
+        differ = data[ragged(first[order[other]], n)] != data[ragged(first[lead[other]], n)]
+        good[other] = np.add.reduceat(differ, np.cumsum(n) - n) == 0
+    return good
+
+
 # ---- anchors that documents share
 
 
 def send_anchors(batches: Iterator[pa.RecordBatch], length: int, parts: int) -> Iterator[pa.RecordBatch]:
     """Anchors of a task's documents, combined: an anchor goes out once, for its smallest document, with a count. That
-    several documents here share it is known at once, and goes to the next step as it is (part -1)."""
+    several documents here share it is known at once, and goes to the next step as it is (a negative part)."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
 
@@ -153,7 +170,7 @@ def send_anchors(batches: Iterator[pa.RecordBatch], length: int, parts: int) ->
         at = np.flatnonzero(firsts(anchor))
         count = np.diff(np.append(at, len(anchor)))
         many = np.repeat(count > 1, count)
-        rows = [(-1, doc[many].tobytes(), anchor[many].tobytes(), b"")] if many.any() else []
+        rows = [(-1 - len(anchor) % 1024, doc[many].tobytes(), anchor[many].tobytes(), b"")] if many.any() else []
         anchor, doc = anchor[at], doc[at]
         part = (anchor % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
@@ -184,12 +201,27 @@ def send_anchors(batches: Iterator[pa.RecordBatch], length: int, parts: int) ->
 
 
 def meet_anchors(batches: Iterator[pa.RecordBatch], hot: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """(kind, bucket, data, anchor, n): shared anchors by bucket of documents (kind 0), as their low 32 bits (others
-    that have these too cost work, not results); anchors with over ``hot`` documents (kind 1); the number of all (2)."""
-    anchors, docs, counts, known = [], [], [], []
+    """(kind, bucket, data, anchor, n), part by part: shared anchors by bucket of documents (kind 0), as their low 32 bits
+    (others that have these too cost work, not results); anchors with over ``hot`` documents (kind 1); the number of all
+    (2). Kinds 1 and 2 have bucket -1."""
+    known: list[tuple[np.ndarray, np.ndarray]] = []
     names = ["kind", "bucket", "data", "anchor", "n"]
-    for batch in batches:
-        for part, d, a, c in zip(*(x.to_pylist() for x in batch.columns)):
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        doc, anchor = (np.concatenate(x) for x in zip(*known))
+        known.clear()
+        bucket, low = doc % buckets, (anchor & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        order = np.lexsort((low, doc, bucket))
+        bucket, doc, low = bucket[order], doc[order], low[order]
+        cut = np.flatnonzero(firsts(bucket))
+        rows = [(int(bucket[a]), pack(doc[a:b], low[a:b])) for a, b in zip(cut, [*cut[1:], len(doc)])]
+        for k in range(0, len(rows), 256):
+            ids, data = zip(*rows[k : k + 256])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), pa.array(ids, pa.int64()), pa.array(data, pa.binary()), *[pa.nulls(len(ids), pa.int64())] * 2], names=names)
+
+    for table in by_key(batches, ["part"]):
+        anchors, docs, counts = [], [], []
+        for part, d, a, c in zip(*(x.to_pylist() for x in table.columns)):
             if part < 0:
                 known.append((np.frombuffer(d, "<i8"), np.frombuffer(a, "<u8")))
                 continue
@@ -199,42 +231,36 @@ def meet_anchors(batches: Iterator[pa.RecordBatch], hot: int, buckets: int) -> I
             count, more = np.ones(n, np.int64), np.frombuffer(c, "<u4")
             count[more[: len(more) // 2]] = more[len(more) // 2 :]
             counts.append(count)
-    if anchors:
-        anchor, doc, count = np.concatenate(anchors), np.concatenate(docs), np.concatenate(counts)
-        order = np.argsort(anchor, kind="stable")
-        anchor, doc, count = anchor[order], doc[order], count[order]
-        at = np.flatnonzero(firsts(anchor))
-        size = np.diff(np.append(at, len(anchor)))
-        total = np.add.reduceat(count, at)
-        shared = np.repeat(size > 1, size)
-        known.append((doc[shared], anchor[shared]))
-        many = np.flatnonzero(total > hot)
-        kind = np.append(np.ones(len(many), np.int32), np.int32(2))
-        which = np.append(anchor[at[many]].astype(np.int64), 0)
-        number = np.append(total[many], count.sum())
-        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.nulls(len(kind), pa.int64()), pa.nulls(len(kind), pa.binary()), pa.array(which), pa.array(number)], names=names)
+        if anchors:
+            anchor, doc, count = np.concatenate(anchors), np.concatenate(docs), np.concatenate(counts)
+            order = np.argsort(anchor, kind="stable")
+            anchor, doc, count = anchor[order], doc[order], count[order]
+            at = np.flatnonzero(firsts(anchor))
+            size = np.diff(np.append(at, len(anchor)))
+            total = np.add.reduceat(count, at)
+            shared = np.repeat(size > 1, size)
+            known.append((doc[shared], anchor[shared]))
+            many = np.flatnonzero(total > hot)
+            kind = np.append(np.ones(len(many), np.int32), np.int32(2))
+            which = np.append(anchor[at[many]].astype(np.int64), 0)
+            number = np.append(total[many], count.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.full(len(kind), -1)), pa.nulls(len(kind), pa.binary()), pa.array(which), pa.array(number)], names=names)
+        if sum(len(x[0]) for x in known) > 2 * FLUSH:
+            yield from flush()
     if known:
-        doc, anchor = (np.concatenate(x) for x in zip(*known))
-        bucket, low = doc % buckets, (anchor & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        order = np.lexsort((low, doc, bucket))
-        bucket, doc, low = bucket[order], doc[order], low[order]
-        cut = np.flatnonzero(firsts(bucket))
-        rows = [(int(bucket[a]), pack(doc[a:b], low[a:b])) for a, b in zip(cut, [*cut[1:], len(doc)])]
-        for k in range(0, len(rows), 256):
-            ids, data = zip(*rows[k : k + 256])
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), pa.array(ids, pa.int64()), pa.array(data, pa.binary()), *[pa.nulls(len(ids), pa.int64())] * 2], names=names)
+        yield from flush()
 
 
 def gather_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each document with shared anchors; the other rows as they are."""
-    names, held = ["doc", "anchors", "anchor", "n"], []
-    for batch in batches:
-        for kind, bucket, data, anchor, n in zip(*(x.to_pylist() for x in batch.columns)):
-            if kind:
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())), pa.array([anchor if kind == 1 else None], pa.int64()), pa.array([n])], names=names)
-            else:
-                held.append(unpack(data))
-    if held:
+    """One row for each document with shared anchors, bucket by bucket; the other rows as they are."""
+    names = ["doc", "anchors", "anchor", "n"]
+    for table in by_key(batches, ["bucket"]):
+        held = [unpack(x) for x in table.column("data").to_pylist() if x is not None]
+        if not held:
+            hot = table.column("kind").to_numpy() == 1
+            anchor = pa.array(table.column("anchor").to_numpy(), mask=~hot)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(table), pa.int64()), pa.nulls(len(table), pa.list_(pa.int32())), anchor, table.column("n").combine_chunks()], names=names)
+            continue
         doc, low = (np.concatenate([y.astype(np.int64) for y in x]) for x in zip(*held))
         order = np.lexsort((low, doc))
         order = order[firsts(doc[order], low[order])]
@@ -248,7 +274,9 @@ def gather_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def send_segments(batches: Iterator[pa.RecordBatch], length: int, parts: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Segments of shared anchors with their bytes. Of equal segments in one chunk only the smallest document's go out;
-    the others are covered (part -1). Segments of hot anchors are dealt out window by window."""
+    the others are covered (a negative part). Segments of hot anchors are dealt out window by window; of these a task
+    remembers which it has sent for which document, and later documents' are covered too, without meeting there."""
+    seen_hash, seen_doc, seen = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, length), np.uint8)
     for chunk in chunks(batches, "text", PIECE):
         chunk = chunk.filter(chunk.column("anchors").is_valid())
         if not len(chunk):
@@ -260,21 +288,40 @@ def send_segments(batches: Iterator[pa.RecordBatch], length: int, parts: int, ho
         row, first, n, anchor = row[keep], first[keep], n[keep], anchor[keep]
         if not len(row):
             continue
-        split = np.isin(anchor, hot)
+        split = np.zeros(len(anchor), bool)
+        if len(hot):
+            split = hot[np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)] == anchor
+        windows = 0
         if split.any():
             w, k = ragged(first[split], n[split]), n[split]
             own = np.repeat(anchor[split], k) ^ (window_hashes(hashes, w, length) >> np.uint64(16))
             row, first = np.append(row[~split], np.repeat(row[split], k)), np.append(first[~split], w)
             n, anchor = np.append(n[~split], np.ones(len(w), np.int64)), np.append(anchor[~split], own)
+            windows = len(w)
         doc = chunk.column("doc").to_numpy()[row]
         start = first - at[row]
         content = contents(hashes, first, n, length)
         order = np.lexsort((doc, content))
         new = firsts(content[order])
         least = np.repeat(doc[order][new], np.diff(np.append(np.flatnonzero(new), len(order))))
-        later = order[doc[order] > least]
-        sent = order[doc[order] == least]
-        rows = [(-1, pack(doc[later], start[later], n[later]))] if len(later) else []
+        same = alike(text, first, n + length - 1, order, new)
+        later = order[same & (doc[order] > least)]
+        sent = order[~same | (doc[order] == least)]
+        if windows:
+            x = sent[sent >= len(n) - windows]
+            if len(seen):
+                at = np.minimum(np.searchsorted(seen_hash, content[x]), len(seen) - 1)
+                known = (seen_hash[at] == content[x]) & (seen_doc[at] < doc[x])
+                known[known] = (text[first[x[known]][:, None] + np.arange(length)] == seen[at[known]]).all(1)
+                later, sent = np.append(later, x[known]), np.append(sent[sent < len(n) - windows], x[~known])
+                x = x[~known]
+            if len(seen) < SEEN:
+                x = x[: SEEN - len(seen)]
+                seen_hash, seen_doc = np.append(seen_hash, content[x]), np.append(seen_doc, doc[x])
+                seen = np.concatenate([seen, text[first[x][:, None] + np.arange(length)]])
+                by = np.argsort(seen_hash, kind="stable")
+                seen_hash, seen_doc, seen = seen_hash[by], seen_doc[by], seen[by]
+        rows = [(-1 - len(text) % 1024, pack(doc[later], start[later], n[later]))] if len(later) else []
         part = (anchor[sent] % np.uint64(parts)).astype(np.int64)
         by = np.lexsort((anchor[sent], part))
         sent, part = sent[by], part[by]
@@ -333,26 +380,24 @@ def earlier_windows(doc: np.ndarray, n: np.ndarray, data: np.ndarray, length: in
 
 
 def meet_segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(doc, starts, ends) of what an earlier document covers."""
+    """(doc, starts, ends) of what an earlier document covers, part by part."""
     names = ["doc", "starts", "ends"]
-    held: dict[int, list[list[np.ndarray]]] = {}
-    for batch in batches:
-        for part, data in zip(*(c.to_pylist() for c in batch.columns)):
-            held.setdefault(part, []).append(unpack(data))
-    for x in held.pop(-1, []):
-        doc, start, n = (y.astype(np.int64) for y in x)
-        yield pa.RecordBatch.from_arrays(lists(doc, start, start + n + length - 1), names=names)
-    while held:
-        doc, start, n, data = (np.concatenate(x) for x in zip(*held.popitem()[1]))
-        doc, start, n = (x.astype(np.int64) for x in (doc, start, n))
+    for table in by_key(batches, ["part"]):
+        held = [[y.astype(np.int64) if k < 3 else y for k, y in enumerate(unpack(x))] for x in table.column("data").to_pylist()]
+        if table.column("part")[0].as_py() < 0:
+            doc, start, n = (np.concatenate(x) for x in zip(*held))
+            yield pa.RecordBatch.from_arrays(lists(doc, start, start + n + length - 1), names=names)
+            continue
+        doc, start, n, data = (np.concatenate(x) for x in zip(*held))
         size = n + length - 1
         begin = np.cumsum(size) - size
         content = contents(gram_hashes(data), begin, n, length)
         order = np.lexsort((doc, content))
         new = firsts(content[order])
         least = np.repeat(doc[order][new], np.diff(np.append(np.flatnonzero(new), len(order))))
-        later = order[doc[order] > least]
-        kept = order[doc[order] == least]
+        same = alike(data, begin, size, order, new)
+        later = order[same & (doc[order] > least)]
+        kept = order[~same | (doc[order] == least)]
         kept = kept[np.argsort(doc[kept], kind="stable")]
         segment, window = earlier_windows(doc[kept], n[kept], data[ragged(begin[kept], size[kept])], length)
         by = np.lexsort((window, segment))
@@ -405,31 +450,36 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     take nothing from others. Rows with one id count as one document: none is cut for the other's sake, and each loses
     the ranges found in any of them. Documents meet by anchor only, combined in each task before the shuffle. An anchor
     in very many documents (over 1000, and fewer than MOST_HOT such anchors in all) is dealt out by whole windows.
+
+    Copies of whole texts are told by SHA-256 and go at once; equal segments that meet are compared byte by byte, and only
+    the first of them goes on. Suffixes are ordered to the depth of ``length`` bytes, over windows that repeat within a
+    part, so the factor arrays tell "``length`` or less", which is all that is asked.
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} at least")
     spark = docs.sparkSession
-    parts = parts or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     known = rows.where("doc IS NOT NULL")
     # later copies of a whole text go as a whole; of their group only the first is compared
-    named = stored(known.where(F.octet_length("text") >= length).select("doc", F.octet_length("text").cast("long").alias("n"), F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g")), "named")
-    first = stored(named.groupBy("h", "g", "n").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last"), "first")
-    copies = named.join(first, ["h", "g", "n"]).where("doc > first").select("doc", F.array(F.lit(0).cast("long")).alias("starts"), F.array("n").alias("ends"))
+    named = stored(known.where(F.octet_length("text") >= length).select("doc", F.octet_length("text").cast("long").alias("n"), F.unhex(F.sha2("text", 256)).alias("h")), "named")
+    first = stored(named.groupBy("h", "n").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last"), "first")
+    copies = named.join(first, ["h", "n"]).where("doc > first").select("doc", F.array(F.lit(0).cast("long")).alias("starts"), F.array("n").alias("ends"))
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((named.agg(F.sum("n")).first()[0] or 0) / PART))
+    tasks = min(parts, MOST_TASKS)
     sent = known.mapInArrow(lambda x: send_anchors(x, length, parts), "part int, docs binary, anchors binary, counts binary")
     spread = lambda payload: F.when(F.col("part") < 0, F.xxhash64(payload)).otherwise(F.col("part").cast("long"))
-    met = sent.repartition(spread("docs")).mapInArrow(lambda x: meet_anchors(x, 1000, max(1, parts // 8)), "kind int, bucket long, data binary, anchor long, n long")
-    met = met.repartition(F.coalesce("bucket", "anchor", "n"))
+    met = sent.repartition(tasks, spread("docs")).sortWithinPartitions("part").mapInArrow(lambda x: meet_anchors(x, 1000, parts), "kind int, bucket long, data binary, anchor long, n long")
+    met = met.repartition(tasks, F.when(F.col("bucket") < 0, F.xxhash64("anchor", "n")).otherwise(F.col("bucket"))).sortWithinPartitions("bucket")
     met = stored(met.mapInArrow(gather_anchors, "doc long, anchors array<int>, anchor long, n long"), "anchors")
     total = met.where("doc IS NULL AND anchor IS NULL").agg(F.sum("n")).first()[0] or 0
-    hot_rows = met.where(F.col("anchor").isNotNull() & (F.col("n") > total / MOST_HOT)).select("anchor").collect()
-    hot = spark.sparkContext.broadcast(np.array(sorted(x[0] for x in hot_rows), np.uint64))
+    hot_rows = met.where(F.col("anchor").isNotNull() & (F.col("n") > total / MOST_HOT)).select("anchor").toArrow()
+    hot = spark.sparkContext.broadcast(np.sort(hot_rows.column(0).to_numpy().astype(np.uint64)))
     by_doc = met.where("doc IS NOT NULL").select("doc", "anchors").join(copies.select("doc"), "doc", "left_anti")
     # both joins read this one exchange of the texts, so nothing is filtered between it and Python
     placed = rows.repartition("doc")
     found = placed.join(by_doc.hint("shuffle_hash"), "doc", "left")
     segments = found.mapInArrow(lambda x: send_segments(x, length, parts, hot.value), "part int, data binary")
-    covered = segments.repartition(spread("data")).mapInArrow(lambda x: meet_segments(x, length), "doc long, starts array<long>, ends array<long>")
+    covered = segments.repartition(tasks, spread("data")).sortWithinPartitions("part").mapInArrow(lambda x: meet_segments(x, length), "doc long, starts array<long>, ends array<long>")
     ranges = covered.union(copies).groupBy("doc").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
     return placed.join(ranges.hint("shuffle_hash"), "doc", "left").select("doc", "text", "starts", "ends")
 
