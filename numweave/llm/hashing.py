@@ -7,12 +7,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import chunks, utf8
+from .common import chunks, stored, utf8
 
 WORDS, GRAMS, FLAGS = 1 << 17, 1 << 16, 3
 SIZE = WORDS + GRAMS + FLAGS
 PIECE = 1_000_000
+#: Most features of a sample that is brought to the driver, at twelve bytes each.
+MOST_FEATURES = 8_000_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -49,10 +52,10 @@ def word_hashes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out ^ (out >> np.uint64(32))
 
 
-def features(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def features(text: np.ndarray, at: np.ndarray, level: float = np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, feature, value) of the rows' words, byte trigrams and repeat flags; and the number of words of each row.
 
-    A row's values of a word sum to count / sqrt(words); those of a trigram to 10 * share; a flag (the word repeats the
+    A row's values of a word sum to count / sqrt(words), or sqrt(level) * share in rows over ``level`` words; those of a trigram to 10 * share; a flag (the word repeats the
     one before, or the one before that) to 10 * share of words.
     """
     n = len(at) - 1
@@ -71,7 +74,7 @@ def features(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     grams = wide[place] | wide[place + 1] << np.uint64(8) | wide[place + 2] << np.uint64(16)
     grams = WORDS + ((grams * ODD) >> np.uint64(48)).astype(np.int64)
     total = np.maximum(1, np.bincount(gram_row, minlength=n))
-    rows, ids, values = [row, gram_row], [words, grams], [1 / np.sqrt(np.maximum(1, count))[row], 10 / total[gram_row]]
+    rows, ids, values = [row, gram_row], [words, grams], [(np.sqrt(np.minimum(np.maximum(1, count), level)) / np.maximum(1, count))[row], 10 / total[gram_row]]
     for k in (1, 2):
         same = np.flatnonzero((hashes[k:] == hashes[:-k]) & (row[k:] == row[:-k])) + k
         rows.append(row[same])
@@ -80,7 +83,7 @@ def features(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(rows), np.concatenate(ids), np.concatenate(values), count
 
 
-def scored(docs: DataFrame, weights: np.ndarray, bias: np.ndarray) -> DataFrame:
+def scored(docs: DataFrame, weights: np.ndarray, bias: np.ndarray, level: float = np.inf) -> DataFrame:
     """(doc_id, n_words, logits) of docs (doc_id, text). weights: features by classes; of fixed size, so broadcast."""
     model = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), bias))
 
@@ -88,7 +91,7 @@ def scored(docs: DataFrame, weights: np.ndarray, bias: np.ndarray) -> DataFrame:
         weights, bias = model.value
         for chunk in chunks(batches, "text", PIECE):
             text, at = utf8(chunk.column("text").combine_chunks())
-            row, ids, values, count = features(text, at)
+            row, ids, values, count = features(text, at, level)
             logits = np.stack([np.bincount(row, weights[ids, k] * values, len(at) - 1) + bias[k] for k in range(len(bias))], 1)
             flat = pa.array(np.round(logits, 9).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, len(bias), dtype=np.int32)), flat)
@@ -97,13 +100,17 @@ def scored(docs: DataFrame, weights: np.ndarray, bias: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, logits array<double>")
 
 
-def gathered(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
-    """Features of a bounded sample (text, target) on the driver: row, feature, value, and the targets."""
+def gathered(sample: DataFrame, level: float = np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+    """Features of a bounded sample (doc_id, text, target) on the driver: row, feature, value, and the targets.
+
+    Of rows that share an id one counts, so that the sample has no more rows than ids were drawn. Where it has more than
+    MOST_FEATURES in all, as with very long texts, a share of it is taken, by a hash of the id.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text", PIECE):
             text, at = utf8(chunk.column("text").combine_chunks())
-            row, ids, values, _ = features(text, at)
+            row, ids, values, _ = features(text, at, level)
             key, back = np.unique(row * SIZE + ids, return_inverse=True)
             total = np.bincount(back, values, len(key))
             offsets = pa.array(np.searchsorted(key, np.arange(len(at)) * SIZE).astype(np.int32))
@@ -111,7 +118,11 @@ def gathered(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, lis
             yield pa.RecordBatch.from_arrays([*columns, chunk.column("target").combine_chunks(), chunk.column("doc_id").combine_chunks()], names=["ids", "values", "target", "doc_id"])
 
     kind = sample.schema["target"].dataType.simpleString()
-    got = sample.select("doc_id", "text", "target").mapInArrow(run, f"ids array<int>, values array<float>, target {kind}, doc_id long").toArrow().sort_by("doc_id")
+    one = sample.groupBy("doc_id").agg(F.min(F.struct("text", "target")).alias("row")).select("doc_id", "row.text", "row.target")
+    found = stored(one.mapInArrow(run, f"ids array<int>, values array<float>, target {kind}, doc_id long"), "sample")
+    size = found.agg(F.sum(F.size("ids"))).first()[0] or 0
+    kept = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < int(min(1.0, MOST_FEATURES / max(1, size)) * (1 << 30))
+    got = found.where(kept).toArrow().sort_by("doc_id")
     size = np.array([len(x) for x in got.column("ids")], np.int64)
     flat = lambda c, kind: np.array(got.column(c).combine_chunks().flatten() if len(got) else [], kind)
     return np.repeat(np.arange(len(size), dtype=np.int32), size), flat("ids", np.int32), flat("values", np.float32), got.column("target").to_pylist()
