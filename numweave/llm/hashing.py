@@ -52,10 +52,11 @@ def word_hashes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out ^ (out >> np.uint64(32))
 
 
-def features(text: np.ndarray, at: np.ndarray, level: float = np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def features(text: np.ndarray, at: np.ndarray, level: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, feature, value) of the rows' words, byte trigrams and repeat flags; and the number of words of each row.
 
-    A row's values of a word sum to count / sqrt(words), or sqrt(level) * share in rows over ``level`` words; those of a trigram to 10 * share; a flag (the word repeats the
+    A row's values of a word sum to count / sqrt(words), or with ``level`` to 1 / sqrt(1 + words / level), however often
+    the word comes: a score then rests on which words are there and hardly on the length of the text. The values of a trigram to 10 * share; a flag (the word repeats the
     one before, or the one before that) to 10 * share of words.
     """
     n = len(at) - 1
@@ -74,7 +75,12 @@ def features(text: np.ndarray, at: np.ndarray, level: float = np.inf) -> tuple[n
     grams = wide[place] | wide[place + 1] << np.uint64(8) | wide[place + 2] << np.uint64(16)
     grams = WORDS + ((grams * ODD) >> np.uint64(48)).astype(np.int64)
     total = np.maximum(1, np.bincount(gram_row, minlength=n))
-    rows, ids, values = [row, gram_row], [words, grams], [(np.sqrt(np.minimum(np.maximum(1, count), level)) / np.maximum(1, count))[row], 10 / total[gram_row]]
+    if level:
+        there = np.unique(row * WORDS + words)
+        word_row, words, worth = there // WORDS, there % WORDS, 1 / np.sqrt(1 + count / level)
+    else:
+        word_row, worth = row, 1 / np.sqrt(np.maximum(1, count))
+    rows, ids, values = [word_row, gram_row], [words, grams], [worth[word_row], 10 / total[gram_row]]
     for k in (1, 2):
         same = np.flatnonzero((hashes[k:] == hashes[:-k]) & (row[k:] == row[:-k])) + k
         rows.append(row[same])
@@ -83,7 +89,7 @@ def features(text: np.ndarray, at: np.ndarray, level: float = np.inf) -> tuple[n
     return np.concatenate(rows), np.concatenate(ids), np.concatenate(values), count
 
 
-def scored(docs: DataFrame, weights: np.ndarray, bias: np.ndarray, level: float = np.inf) -> DataFrame:
+def scored(docs: DataFrame, weights: np.ndarray, bias: np.ndarray, level: float | None = None) -> DataFrame:
     """(doc_id, n_words, logits) of docs (doc_id, text). weights: features by classes; of fixed size, so broadcast."""
     model = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), bias))
 
@@ -100,7 +106,7 @@ def scored(docs: DataFrame, weights: np.ndarray, bias: np.ndarray, level: float
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, logits array<double>")
 
 
-def gathered(sample: DataFrame, level: float = np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+def gathered(sample: DataFrame, level: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
     """Features of a bounded sample (doc_id, text, target) on the driver: row, feature, value, and the targets.
 
     Of rows that share an id one counts, so that the sample has no more rows than ids were drawn. Where it has more than
@@ -128,9 +134,13 @@ def gathered(sample: DataFrame, level: float = np.inf) -> tuple[np.ndarray, np.n
     return np.repeat(np.arange(len(size), dtype=np.int32), size), flat("ids", np.int32), flat("values", np.float32), got.column("target").to_pylist()
 
 
-def fit(row: np.ndarray, ids: np.ndarray, values: np.ndarray, targets: np.ndarray, steps: int = 120, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Softmax regression on class probabilities (rows by classes), by full-batch AdaGrad: weights and bias."""
+def fit(row: np.ndarray, ids: np.ndarray, values: np.ndarray, targets: np.ndarray, steps: int = 120, rate: float = 0.5, decay: float = 1e-4, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Softmax regression on class probabilities (rows by classes), by full-batch AdaGrad: weights and bias. Features that
+    less than the share ``least`` of the rows have (each row names a feature once) get no weight."""
     n, k = targets.shape
+    if least and n:
+        often = (np.bincount(ids, minlength=SIZE) >= least * n)[ids]
+        row, ids, values = row[often], ids[often], values[often]
     weights, bias = np.zeros((SIZE, k)), np.log(np.maximum(targets.mean(0) if n else np.full(k, 1 / k), 1e-6))
     if not n:
         return weights, bias
