@@ -1,4 +1,9 @@
-"""Near duplicates by exact Jaccard similarity of word shingles; prefixes of the shingle sets bound who is compared."""
+"""Near duplicates by exact Jaccard similarity of word shingles: SimHash links, and pairs that share a prefix shingle.
+
+SimHash and its vantage-point trees (``simhash.links``) find most near copies cheaply, but a similarity of 0.8 can leave
+far more than a few bits different. So its links, verified, are where the exact search starts from: of two texts that
+they do not join, those meet that share one of the first shingles of their sets.
+"""
 
 from __future__ import annotations
 
@@ -11,10 +16,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import fresh, stored
 from .components import components
 
-SEED = 42
+SEED = simhash.SEED
 #: Documents whose shingles are counted to tell common ones, and most common shingles sent to the executors. Both touch
 #: the order of shingles only, so the work and never the result.
 SAMPLE, COMMON = 1 << 13, 1 << 17
@@ -24,17 +30,16 @@ CENTRES = 3
 
 def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
     """XXH64 of the distinct shingles, ascending. Words as in SimHash; fewer words than a shingle has are one shingle."""
+    return set_and_print(text, shingle)[0]
+
+
+def set_and_print(text: str | None, shingle: int) -> tuple[np.ndarray, int]:
+    """The shingle set, and the SimHash fingerprint of all shingles."""
     words = (text or "").encode().lower().split()
     if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    digest = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return np.array([digest(joined, SEED)], np.uint64)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1) - 1
-    starts = ends - sizes
-    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist())], np.uint64))
+        return np.zeros(0, np.uint64), 0
+    hashes = simhash.digests(words, shingle)
+    return np.unique(hashes), simhash.majority(hashes)
 
 
 def node_of(found: np.ndarray) -> int:
@@ -65,30 +70,32 @@ def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarr
 
 
 def prefixes(docs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """(doc_id, node, n, keys): the set's name and size, and its first shingles, rare ones before common ones."""
+    """(doc_id, node, fp, n, keys): the set's name, the fingerprint, the set's size, and its first shingles, rare ones
+    before common ones."""
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = common.value
         for batch in batches:
-            nodes, sizes, keys = [], [], []
+            nodes, prints, sizes, keys = [], [], [], []
             for x in batch.column("text"):
-                found = shingle_set(x.as_py(), shingle)
+                found, fp = set_and_print(x.as_py(), shingle)
                 nodes.append(node_of(found))
+                prints.append(fp)
                 sizes.append(len(found))
                 if len(known) and len(found):
                     at = np.minimum(np.searchsorted(known, found), len(known) - 1)
                     found = found[np.argsort(np.where(known[at] == found, counts[at], 0), kind="stable")]
                 keys.append(found[: prefix_size(len(found), least)].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary())], names=["doc_id", "node", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary())], names=["doc_id", "node", "fp", "n", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, node long, n int, keys binary")
+    return docs.mapInArrow(run, "doc_id long, node long, fp long, n int, keys binary")
 
 
 def shared(nodes: DataFrame, least: float, centres: int | None) -> DataFrame:
     """Pairs (a, b) of nodes (columns node, root, n, keys) that share a prefix shingle and can reach the similarity by
-    size and by the shingle's places. With ``centres``, of each shingle only pairs with its first few nodes, and a loop
-    (a, a) for each node where that leaves pairs out; without, all pairs of different roots."""
+    size and by the shingle's places, and have different roots. With ``centres``, of each shingle only pairs with its
+    first few nodes, and a loop (a, a) for each node where that leaves pairs out; without, all pairs."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,7 +123,7 @@ def shared(nodes: DataFrame, least: float, centres: int | None) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
         for a, b in zip(cut, [*cut[1:], len(key)]):
-            if centres is None and (root[a:b] == root[a]).all():
+            if (root[a:b] == root[a]).all():
                 continue
             step = max(1, (1 << 20) // (b - a))
             last = b - 1 if centres is None else min(b - 1, a + centres)
@@ -124,8 +131,7 @@ def shared(nodes: DataFrame, least: float, centres: int | None) -> DataFrame:
                 i = np.arange(k, min(k + step, last))
                 good = np.arange(a, b)[None] > i[:, None]
                 good &= np.minimum(rest[i, None], rest[None, a:b]) * (1 + least) >= least * (n[i, None] + n[None, a:b]) - 1e-6
-                if centres is None:
-                    good &= root[i, None] != root[None, a:b]
+                good &= root[i, None] != root[None, a:b]
                 x, y = np.nonzero(good)
                 out.append(np.stack([node[i[x]], node[a + y]], 1))
                 size += len(x)
@@ -166,20 +172,33 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int,
     return stored(both.select("a", "b", "x", "y").mapInArrow(close, "a long, b long"), "links")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+def print_pairs(nodes: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b) of nodes whose fingerprints (column fp) are equal or linked within the radius, by the trees of
+    ``simhash.links``: each node with the first of its fingerprint, and the first ones of linked fingerprints."""
+    first = stored(nodes.groupBy("fp").agg(F.min("node").alias("lead")), "prints")
+    same = nodes.join(first, "fp").where("node != lead").select(F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b"))
+    near = simhash.links(first.select("fp"), radius)
+    near = near.join(first.select(F.col("fp").alias("a"), F.col("lead").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("lead").alias("y")), "b")
+    return stored(same.union(near.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))).distinct(), "near")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, radius: int = 3) -> DataFrame:
     """(doc_id, component_id) of each row with an id: the smallest id that links reach.
 
     Texts link at a Jaccard similarity of ``least`` or more between their sets of ``shingle`` words. No pair is missed:
-    two such sets share a shingle of their prefixes. Equal sets are one node. First the nodes of a prefix shingle meet a
-    few of them; then those that share one and are not yet in one component meet all. Texts without words (null, empty)
+    two such sets share a shingle of their prefixes. Equal sets are one node. First nodes meet whose fingerprints are
+    within ``radius`` bits; then those that share a prefix shingle and are not yet in one component meet a few there, and
+    in the end all. No pair counts that is under ``least``, whatever its fingerprints. Texts without words (null, empty)
     have the empty set and link with each other only. Rows with a null id are left out.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
     found = stored(prefixes(docs, shingle, least), "prefixes")
-    nodes = stored(found.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
-    met = shared(nodes.withColumn("root", F.col("node")), least, CENTRES)
-    links = verified(met.where("a != b"), docs, nodes, shingle, least)
-    roots = components(links)
+    nodes = stored(found.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+    links = verified(print_pairs(nodes, radius), docs, nodes, shingle, least)
+    rooted = nodes.join(stored(components(links), "roots"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    met = shared(rooted, least, CENTRES)
+    links = stored(links.union(verified(met.where("a != b"), docs, nodes, shingle, least)), "links")
+    roots = stored(components(links), "roots")
     left = nodes.join(met.where("a = b").select(F.col("a").alias("node")), "node", "left_semi").join(roots, "node", "left")
     more = shared(left.withColumn("root", F.coalesce("root", "node")), least, None).join(met, ["a", "b"], "left_anti")
     roots = components(links.union(verified(stored(more, "more"), docs, nodes, shingle, least)))

@@ -26,15 +26,24 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     words = (text or "").encode().lower().split()
     if not words:
         return 0
+    return majority(digests(words, shingle))
+
+
+def digests(words: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; fewer words than a shingle has are one shingle."""
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], "<u8")
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist())]
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8), bitorder="little").reshape(-1, 64)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist())], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
+    bits = np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64)
     return int(np.packbits(2 * bits.sum(0, np.int64) > len(hashes), bitorder="little").view("<u8")[0])
 
 
