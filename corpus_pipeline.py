@@ -10,7 +10,7 @@ from numweave.llm import classifier, lines, mixing, packing, shingles
 from numweave.llm.common import stored, table
 
 #: Token weights of the mixture after the filters.
-WEIGHTS = {"clean": 0.97, "low": 0.01, "toxic": 0.02}
+WEIGHTS = {"clean": 0.95, "low": 0.01, "toxic": 0.04}
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates: five-word Jaccard of 0.8 or more."""
+    """One document, that of the smallest id, of each group of near duplicates: five-word Jaccard of 0.8 or more,
+    from SimHash links on."""
     return shingles.one_of_each(docs)
 
 
