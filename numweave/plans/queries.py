@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,16 +18,23 @@ from ..operators import order as O
 from ..operators import sparse as S
 from ..operators import spectral, stats, stencil
 from ..operators import vector as V
+from ..sources import readers, writers
 from ..sources.writers import format_matrix_dump
-from ..storage import stored
+from ..storage import shared_dir, stored
 from . import views
-from .views import NATIONS as N
 from .views import with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-#: Side of a block in the queries: the trade matrix has 25 rows, so several blocks meet.
-BLOCK = 8
+#: Side of a block of products in the queries.
+BLOCK = 64
+#: Number of suppliers, the side of the trade matrix, in SQL.
+SIDE = "(SELECT count(*) FROM supplier)"
+
+
+def stage(n: int) -> int:
+    """Columns that a factorisation takes at a time: four stages, or more for large matrices."""
+    return min(256, -(-n // 4))
 
 
 def query(sql: str | None):
@@ -232,13 +240,13 @@ def spmv(spark, sf_dir):
 
 
 def distributions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Parts by key of the parts table in threes and of suppliers in fours; every seventh part key has no owner."""
-    v = views.part_sizes(spark, sf_dir).where("i % 7 != 0").select("i", (F.col("i") % 3).cast("int").alias("part"))
+    """Parts by key of the parts table in threes and of suppliers in fours."""
+    v = views.part_sizes(spark, sf_dir).select("i", (F.col("i") % 3).cast("int").alias("part"))
     u = views.suppliers(spark, sf_dir).select("i", F.pmod(F.col("i") + 1, F.lit(4)).cast("int").alias("part"))
     return S.local_index_of(v), S.local_index_of(u)
 
 
-OWNERS = """, dv AS (SELECT p_partkey AS i, CAST(p_partkey % 3 AS INTEGER) AS part FROM part WHERE p_partkey % 7 <> 0),
+OWNERS = """, dv AS (SELECT p_partkey AS i, CAST(p_partkey % 3 AS INTEGER) AS part FROM part),
     du AS (SELECT s_suppkey AS i, CAST((s_suppkey + 1) % 4 AS INTEGER) AS part FROM supplier)"""
 
 
@@ -548,42 +556,78 @@ def outer_update(spark, sf_dir):
 
 @query(with_views("t", "SELECT i, j, round(v, 4) AS v FROM t WHERE v <> 0"))
 def lu_reconstruct(spark, sf_dir):
-    t = views.trade_matrix(spark, sf_dir)
-    factors, pi = D.lu(t, N, BLOCK)
-    return tidy(D.reconstruct_lu(factors, pi, N, BLOCK)).where("v != 0")
+    n = views.n_suppliers(spark, sf_dir)
+    factors, pi = D.lu(views.trade_matrix(spark, sf_dir), n, stage(n))
+    return tidy(D.reconstruct_lu(factors, pi, n, BLOCK)).where("v != 0")
+
+
+#: Gaussian elimination in SQL, a step of the recursion for each column: the pivot is the first of the greatest.
+ELIMINATE = """, m0 AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS r FROM t GROUP BY i)),
+    f AS (SELECT CAST(1 AS BIGINT) AS k, m, list_transform(m, lambda r, x: x - 1) AS pi, len(m) AS n FROM m0
+      UNION ALL SELECT k + 1,
+          list_transform(s, lambda r, i: CASE WHEN i <= k THEN r ELSE list_transform(r, lambda v, j: CASE WHEN j < k THEN v WHEN j = k THEN v / s[k][k] ELSE v - r[k] / s[k][k] * s[k][j] END) END),
+          list_transform(pi, lambda x, i: CASE WHEN i = k THEN pi[p] WHEN i = p THEN pi[k] ELSE x END), n
+        FROM (SELECT k, pi, n, p, list_transform(m, lambda r, i: CASE WHEN i = k THEN m[p] WHEN i = p THEN m[k] ELSE r END) AS s
+          FROM (SELECT k, m, pi, n, k - 1 + list_position(c, list_max(c)) AS p FROM (SELECT k, m, pi, n, list_transform(m[k:], lambda r: abs(r[k])) AS c FROM f WHERE k <= n))))"""
+#: Cells of the last step's matrix.
+CELLS = "c AS (SELECT i - 1 AS i, pi[i] AS pi, unnest(range(n)) AS j, unnest(r) AS v FROM (SELECT n, pi, unnest(range(1, n + 1)) AS i, unnest(m) AS r FROM f WHERE k = n + 1))"
+
+
+@query(with_views("t", ELIMINATE + ", " + CELLS + " SELECT i, j, round(v, 4) + 0.0 AS v, pi FROM c WHERE round(v, 4) <> 0", recursive=True))
+def lu_factors(spark, sf_dir):
+    n = views.n_suppliers(spark, sf_dir)
+    factors, pi = D.lu(views.trade_matrix(spark, sf_dir), n, stage(n))
+    return tidy(factors).where("v != 0").join(pi, "i").select("i", "j", "v", "pi")
 
 
-@query(with_views("t", "SELECT count(DISTINCT i) AS n_pi, true AS small, true AS l_bounded, count(DISTINCT j) AS unit FROM t"))
+@query(with_views("t", ELIMINATE + ", " + CELLS + """ SELECT count(DISTINCT pi) AS n_pi, CAST(1 AS BIGINT) AS residuals, max(abs(CASE WHEN j < i THEN v ELSE 0 END)) <= 1 AS l_bounded,
+    count(DISTINCT i) AS unit, round(sum(CASE WHEN i = j THEN ln(abs(v)) END), 4) AS log_determinant FROM c""", recursive=True))
 def verify_lu(spark, sf_dir):
+    n = views.n_suppliers(spark, sf_dir)
     t = stored(views.trade_matrix(spark, sf_dir))
-    factors, pi = D.lu(t, N, BLOCK)
-    low, _ = D.split_lu(factors, N)
-    norm = D.verify_lu(t, factors, pi, N, BLOCK).select((F.col("value") < 1e-6).alias("small"))
+    factors, pi = D.lu(t, n, stage(n))
+    factors = stored(factors)
+    low, up = D.split_lu(factors, n)
+    norm = D.verify_lu(t, factors, pi, n, BLOCK).agg(F.count_if(F.col("value") < 1e-6).alias("residuals"))
     most = low.agg((F.max(F.abs("v")) <= 1.0).alias("l_bounded"), F.count_if((F.col("i") == F.col("j")) & (F.col("v") == 1.0)).alias("unit"))
-    return pi.agg(F.countDistinct("pi").alias("n_pi")).join(norm).join(most)
+    size = up.where("i = j").agg(F.round(F.sum(F.log(F.abs("v"))), 4).alias("log_determinant"))
+    return pi.agg(F.countDistinct("pi").alias("n_pi")).join(norm).join(most).join(size)
 
 
-@query(with_views("t", "SELECT CAST((i + 1) % 25 AS BIGINT) AS i, j, v FROM t"))
+@query(with_views("t", f"SELECT CAST((i + 1) % {SIDE} AS BIGINT) AS i, j, v FROM t"))
 def permuted_rows(spark, sf_dir):
-    t = views.trade_matrix(spark, sf_dir)
-    turn = D.compose_swaps([(0, k) for k in range(1, N)], N)
-    pi = spark.range(N).select(F.col("id").alias("i"), F.get(F.array(*map(F.lit, turn)), F.col("id").cast("int")).cast("long").alias("pi"))
-    return D.permuted_rows(t, pi).select("i", "j", "v")
+    n = views.n_suppliers(spark, sf_dir)
+    turn = D.compose_swaps([(0, k) for k in range(1, n)], n)
+    pi = spark.createDataFrame(list(enumerate(turn)), "i long, pi long")
+    return D.permuted_rows(views.trade_matrix(spark, sf_dir), pi).select("i", "j", "v")
 
 
-def gram_plus_one(t: DataFrame) -> DataFrame:
-    return B.combine((1.0, B.matmul(V.transpose(t), t, BLOCK)), (1.0, D.identity(t.sparkSession, N)))
+def gram_plus_one(t: DataFrame, n: int) -> DataFrame:
+    return B.combine((1.0, B.matmul(V.transpose(t), t, BLOCK)), (1.0, D.identity(t.sparkSession, n)))
 
 
-SPD = "(SELECT i, j, sum(v) AS v FROM (SELECT * FROM " + product(TR, "t") + " UNION ALL SELECT range, range, 1.0 FROM range(25)) GROUP BY i, j)"
+SPD = "(SELECT i, j, sum(v) AS v FROM (SELECT * FROM " + product(TR, "t") + " UNION ALL SELECT s_suppkey, s_suppkey, 1.0 FROM supplier) GROUP BY i, j)"
 
 
 @query(with_views("t", f"SELECT i, j, round(v, 1) AS v FROM {SPD} WHERE v <> 0"))
 def cholesky(spark, sf_dir):
-    r = stored(D.cholesky(gram_plus_one(views.trade_matrix(spark, sf_dir)), N, BLOCK))
+    n = views.n_suppliers(spark, sf_dir)
+    r = stored(D.cholesky(gram_plus_one(views.trade_matrix(spark, sf_dir), n), n, stage(n)))
     return tidy(B.matmul(V.transpose(r), r, BLOCK), 1).where("v != 0")
 
 
+@query(with_views("t", f""", m0 AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS r FROM {SPD} GROUP BY i)),
+    f AS (SELECT CAST(1 AS BIGINT) AS k, m, len(m) AS n FROM m0
+      UNION ALL SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i < k THEN r
+          WHEN i = k THEN list_transform(r, lambda v, j: CASE WHEN j < k THEN 0.0 ELSE v / sqrt(r[k]) END)
+          ELSE list_transform(r, lambda v, j: CASE WHEN j < k THEN v ELSE v - m[k][i] * m[k][j] / m[k][k] END) END), n FROM f WHERE k <= n),
+    c AS (SELECT i - 1 AS i, unnest(range(n)) AS j, unnest(r) AS v FROM (SELECT n, unnest(range(1, n + 1)) AS i, unnest(m) AS r FROM f WHERE k = n + 1))
+    SELECT i, j, round(v, 2) + 0.0 AS v FROM c WHERE j >= i AND round(v, 2) <> 0""", recursive=True))
+def cholesky_factor(spark, sf_dir):
+    n = views.n_suppliers(spark, sf_dir)
+    return tidy(D.cholesky(gram_plus_one(views.trade_matrix(spark, sf_dir), n), n, stage(n)), 2).where("v != 0")
+
+
 def lower_triangle(t: DataFrame) -> DataFrame:
     """The matrix's lower triangle with a heavy diagonal."""
     return t.where("i >= j").withColumn("v", F.when(F.col("i") == F.col("j"), F.col("v") * 100 + 1).otherwise(F.col("v")))
@@ -591,36 +635,58 @@ def lower_triangle(t: DataFrame) -> DataFrame:
 
 @query(with_views("t", "SELECT j AS i, round(v, 4) AS v FROM t WHERE i = 0"))
 def trisolv(spark, sf_dir):
+    n = views.n_suppliers(spark, sf_dir)
     t = stored(views.trade_matrix(spark, sf_dir))
     low = lower_triangle(t)
-    return tidy(S.spmv(low, D.trisolv(low, views.trade_rows(t, 0), N, BLOCK)))
+    return tidy(S.spmv(low, D.trisolv(low, views.trade_rows(t, 0), n, stage(n))))
 
 
 @query(with_views("t", "SELECT j AS i, round(v, 3) AS v FROM t WHERE i = 0"))
 def solve(spark, sf_dir):
+    n = views.n_suppliers(spark, sf_dir)
     t = stored(views.trade_matrix(spark, sf_dir))
-    return tidy(S.spmv(t, D.solve(t, views.trade_rows(t, 0), N, BLOCK)), 3)
+    return tidy(S.spmv(t, D.solve(t, views.trade_rows(t, 0), n, stage(n))), 3)
 
 
 def decaying_row(t: DataFrame) -> DataFrame:
-    """r_0 heavy, r_k the trade of nation 0 with k: a well-conditioned Toeplitz system of 24 unknowns."""
+    """r_0 heavy, r_k the trade of supplier 0 with k: a Toeplitz system of one unknown less."""
     return views.trade_rows(t, 0).withColumn("v", F.when(F.col("i") == 0, F.col("v") * 100 + 1).otherwise(F.col("v")))
 
 
 @query(with_views("t", "SELECT j - 1 AS i, round(-v, 4) AS v FROM t WHERE i = 0 AND j > 0"))
 def toeplitz_solve(spark, sf_dir):
+    n = views.n_suppliers(spark, sf_dir)
     r = stored(decaying_row(stored(views.trade_matrix(spark, sf_dir))))
-    x = D.toeplitz_solve(r, N - 1, BLOCK)
-    grid = x.select(F.col("i").alias("j"), F.col("v").alias("x")).join(spark.range(N - 1).select(F.col("id").alias("i")))
+    x = D.toeplitz_solve(r, n - 1, stage(n))
+    grid = x.select(F.col("i").alias("j"), F.col("v").alias("x")).join(spark.range(n - 1).select(F.col("id").alias("i")))
     terms = grid.withColumn("d", F.abs(F.col("i") - F.col("j"))).join(r.select(F.col("i").alias("d"), "v"), "d")
     return tidy(terms.groupBy("i").agg(F.sum(F.col("x") * F.col("v")).alias("v")))
 
 
-@query("""SELECT o_orderkey AS i, unnest([0, 1, 2])::BIGINT AS j, round(unnest([1.0, floor(o_totalprice / 1000), CAST(o_custkey % 97 AS DOUBLE)]), 4) + 0.0 AS v FROM orders""")
-def qr(spark, sf_dir):
+def tall_columns(spark, sf_dir) -> DataFrame:
+    """Orders by three columns: 1, the price in thousands, and the customer's key modulo 97."""
     orders = views.table(spark, sf_dir, "orders")
     cells = F.posexplode(F.array(F.lit(1.0), F.floor(F.col("o_totalprice") / 1000).cast("double"), (F.col("o_custkey") % 97).cast("double"))).alias("j", "v")
-    q, r = D.qr(orders.select(F.col("o_orderkey").alias("i"), cells).withColumn("j", F.col("j").cast("long")), 3)
+    return orders.select(F.col("o_orderkey").alias("i"), cells).withColumn("j", F.col("j").cast("long"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS i, floor(o_totalprice / 1000) AS b, CAST(o_custkey % 97 AS DOUBLE) AS c FROM orders),
+    g AS (SELECT CAST(count(*) AS DOUBLE) AS aa, sum(b) AS ab, sum(c) AS ac, sum(b * b) AS bb, sum(b * c) AS bc, sum(c * c) AS cc FROM o),
+    x AS (SELECT sqrt(aa) AS r00, ab / sqrt(aa) AS r01, ac / sqrt(aa) AS r02, * FROM g), y AS (SELECT sqrt(bb - r01 * r01) AS r11, (bc - r01 * r02) / sqrt(bb - r01 * r01) AS r12, * FROM x),
+    z AS (SELECT sqrt(cc - r02 * r02 - r12 * r12) AS r22, * FROM y),
+    q AS (SELECT i, 1 / r00 AS q0, (b - r01 / r00) / r11 AS q1, c, z.* FROM o, z)
+    SELECT 'q' AS factor, i, unnest([0, 1, 2])::BIGINT AS j, round(unnest([q0, q1, (c - r02 * q0 - r12 * q1) / r22]), 7) + 0.0 AS v FROM q
+    UNION ALL SELECT 'r', unnest([0, 0, 0, 1, 1, 2])::BIGINT, unnest([0, 1, 2, 1, 2, 2])::BIGINT, round(unnest([r00, r01, r02, r11, r12, r22]), 5) FROM z""")
+def qr_factors(spark, sf_dir):
+    q, r = D.qr(tall_columns(spark, sf_dir), 3)
+    cells = spark.range(3).withColumnRenamed("id", "j").join(views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i")))
+    q = cells.join(q, ["i", "j"], "left").select(F.lit("q").alias("factor"), "i", "j", rounded(F.coalesce("v", F.lit(0.0)), 7).alias("v"))
+    return q.union(r.select(F.lit("r"), "i", "j", rounded("v", 5)))
+
+
+@query("""SELECT o_orderkey AS i, unnest([0, 1, 2])::BIGINT AS j, round(unnest([1.0, floor(o_totalprice / 1000), CAST(o_custkey % 97 AS DOUBLE)]), 4) + 0.0 AS v FROM orders""")
+def qr(spark, sf_dir):
+    q, r = D.qr(tall_columns(spark, sf_dir), 3)
     entries = q.select("i", F.col("j").alias("k"), F.col("v").alias("q")).join(F.broadcast(r.select(F.col("i").alias("k"), "j", F.col("v").alias("r"))), "k")
     return tidy(entries.groupBy("i", "j").agg(F.sum(F.col("q") * F.col("r")).alias("v")))
 
@@ -676,6 +742,34 @@ def jacobi_cells(spark, sf_dir):
     return tidy(stencil.jacobi_cells(a, b, views.GRID, 1))
 
 
-@query(with_views("t", """SELECT i, string_agg(CASE WHEN (i * 25 + j) % 20 = 0 THEN chr(10) ELSE '' END || printf('%.2f ', v), '' ORDER BY j) AS text FROM t GROUP BY i"""))
+@query(with_views("t", f"""SELECT i, string_agg(CASE WHEN (i * {SIDE} + j) % 20 = 0 THEN chr(10) ELSE '' END || printf('%.2f ', v), '' ORDER BY j) AS text FROM t GROUP BY i"""))
 def matrix_dump(spark, sf_dir):
-    return format_matrix_dump(views.trade_matrix(spark, sf_dir), N)
+    return format_matrix_dump(views.trade_matrix(spark, sf_dir), views.n_suppliers(spark, sf_dir))
+
+
+# ---- written and read again
+
+
+def folder(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(with_views("a", "SELECT i, j, v, part FROM a"))
+def matrix_market_round_trip(spark, sf_dir):
+    path = folder(spark, "market")
+    writers.write_matrix_market(views.supply_matrix(spark, sf_dir), 4, path)
+    return readers.read_matrix_market(spark, path)[0]
+
+
+@query(with_views("a", "SELECT i, j, v FROM a"))
+def triples_round_trip(spark, sf_dir):
+    path = folder(spark, "triples")
+    writers.write_triples(views.supply_matrix(spark, sf_dir).select("i", "j", "v"), path, "csv")
+    return spark.read.csv(path, header=True, schema="i long, j long, v double")
+
+
+@query("SELECT s_suppkey AS i, CAST(s_suppkey % 3 AS INTEGER) AS part, s_suppkey // 3 AS local_ind FROM supplier")
+def distribution_round_trip(spark, sf_dir):
+    path = folder(spark, "distribution")
+    writers.write_vector_distribution(views.suppliers(spark, sf_dir).select("i", F.pmod("i", F.lit(3)).cast("int").alias("part")), 3, path)
+    return readers.read_vector_distribution(spark, path).select("i", "part", F.col("local_ind").cast("long").alias("local_ind"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.index import div
 
-NATIONS = 25
 GRID = 32
 
 
@@ -40,16 +39,21 @@ def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("i"))
 
 
+def n_suppliers(spark: SparkSession, sf_dir: str) -> int:
+    """Suppliers have the keys 0 .. n-1."""
+    return table(spark, sf_dir, "supplier").count()
+
+
 def trade_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """25 by 25: customer nation, supplier nation, quantity; absent cells 0; 25 on the diagonal added."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("long").alias("i"))
-    sellers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("long").alias("j"))
-    cells = lines.join(sellers, "l_suppkey").join(orders, "l_orderkey").join(customers, "o_custkey").select("i", "j", F.col("l_quantity").alias("v"))
-    grid = spark.range(NATIONS * NATIONS).select(div(F.col("id"), NATIONS).alias("i"), (F.col("id") % NATIONS).alias("j"))
-    base = grid.withColumn("v", F.when(F.col("i") == F.col("j"), F.lit(float(NATIONS))).otherwise(0.0))
-    return cells.union(base).groupBy("i", "j").agg(F.sum("v").alias("v"))
+    """Suppliers by suppliers: the quantity that i delivers in orders with lines of j, once for each such line; absent
+    cells 0; on the diagonal the number of suppliers."""
+    n = n_suppliers(spark, sf_dir)
+    lines = table(spark, sf_dir, "lineitem")
+    a = lines.select("l_orderkey", F.col("l_suppkey").alias("i"), F.col("l_quantity").alias("v"))
+    cells = a.join(lines.select("l_orderkey", F.col("l_suppkey").alias("j")), "l_orderkey").where("i != j").groupBy("i", "j").agg(F.sum("v").alias("v"))
+    grid = spark.range(n * n).select(div(F.col("id"), n).alias("i"), (F.col("id") % n).alias("j"))
+    base = grid.withColumn("v", F.when(F.col("i") == F.col("j"), F.lit(float(n))).otherwise(0.0))
+    return cells.select("i", "j", "v").union(base).groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
 def trade_rows(t: DataFrame, row: int) -> DataFrame:
@@ -96,9 +100,9 @@ SQL = {
     "a": "a AS (SELECT l_suppkey AS i, l_partkey AS j, sum(l_quantity) AS v, CAST(l_suppkey % 4 AS INTEGER) AS part FROM lineitem GROUP BY ALL)",
     "pv": "pv AS (SELECT p_partkey AS i, CAST(p_size AS DOUBLE) AS v FROM part)",
     "t": """t AS (SELECT i, j, sum(v) AS v FROM (
-        SELECT CAST(c_nationkey AS BIGINT) AS i, CAST(s_nationkey AS BIGINT) AS j, l_quantity AS v FROM lineitem
-        JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
-        UNION ALL SELECT a.range, b.range, CASE WHEN a.range = b.range THEN 25.0 ELSE 0.0 END FROM range(25) a, range(25) b) GROUP BY i, j)""",
+        SELECT a.l_suppkey AS i, b.l_suppkey AS j, a.l_quantity AS v FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey
+        UNION ALL SELECT a.s_suppkey, b.s_suppkey, CASE WHEN a.s_suppkey = b.s_suppkey THEN CAST((SELECT count(*) FROM supplier) AS DOUBLE) ELSE 0.0 END
+        FROM supplier a, supplier b) GROUP BY i, j)""",
     "g": """g AS (SELECT a.l_suppkey AS i, b.l_suppkey AS j, CAST(count(*) AS DOUBLE) AS w, CAST(a.l_suppkey % 4 AS INTEGER) AS part
         FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey GROUP BY a.l_suppkey, b.l_suppkey)""",
     "s": """s AS (WITH e AS (SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS h FROM events), b AS (SELECT min(h) AS a, max(h) AS z FROM e),

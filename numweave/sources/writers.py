@@ -19,6 +19,28 @@ def write_lu(factors: DataFrame, pi: DataFrame, path: str, kind: str = "parquet"
     pi.repartitionByRange("i").sortWithinPartitions("i").write.format(kind).option("header", True).save(f"{path}/pi")
 
 
+def write_lines(lines: DataFrame, order: list[str], path: str) -> None:
+    """Texts (column line) in files whose names follow the order, so that the folder reads as one file."""
+    lines.orderBy(*order).select("line").write.text(path)
+
+
+def write_matrix_market(a: DataFrame, parts: int, path: str) -> None:
+    """A square matrix (i, j, v, part) as ``read_matrix_market`` reads it: ``n n nz parts``, the parts' starts, entries from 1."""
+    counts = {r.part: r.n for r in a.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    starts = [sum(n for q, n in counts.items() if q < p) for p in range(parts + 1)]
+    n = (a.agg(F.greatest(F.max("i"), F.max("j"))).first()[0] or 0) + 1
+    head = [f"{n} {n} {starts[-1]} {parts}", *map(str, starts)]
+    first = a.sparkSession.createDataFrame([(-1, k, 0, x) for k, x in enumerate(head)], "part int, i long, j long, line string")
+    entries = a.select("part", "i", "j", F.concat_ws(" ", F.col("i") + 1, F.col("j") + 1, "v").alias("line"))
+    write_lines(first.union(entries), ["part", "i", "j"], path)
+
+
+def write_vector_distribution(owners: DataFrame, parts: int, path: str) -> None:
+    """(i, part) for each i of 0 .. n-1 as ``read_vector_distribution`` reads it: ``n parts``, then both from 1."""
+    first = owners.agg(F.concat_ws(" ", F.count("*"), F.lit(parts)).alias("line")).select(F.lit(-1).cast("long").alias("i"), "line")
+    write_lines(first.union(owners.select("i", F.concat_ws(" ", F.col("i") + 1, F.col("part") + 1))), ["i"], path)
+
+
 def write_run_times(df: DataFrame, path: str) -> None:
     """``n,p,time,value`` with a header, in a folder for each p."""
     kept = [c for c in ("n", "tsteps", "p", "time", "value") if c in df.columns]
