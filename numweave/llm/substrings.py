@@ -26,8 +26,8 @@ MOST_HOT = 1 << 22
 #: Anchors collected before a map task combines and sends them; text bytes worked on at once; windows of hot anchors that
 #: a task remembers as sent.
 FLUSH, PIECE, SEEN = 1_500_000, 2_000_000, 200_000
-#: Text bytes to a part, the unit that a task compares at once, and most tasks of a shuffle; a task has several parts then.
-PART, MOST_TASKS = 1 << 23, 1 << 16
+#: Text bytes to a part, the unit that a task compares at once, and most tasks of a shuffle; a task has eight parts or more.
+PART, MOST_TASKS = 1 << 20, 1 << 16
 
 
 def gram_hashes(text: np.ndarray) -> np.ndarray:
@@ -464,8 +464,9 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = stored(known.where(F.octet_length("text") >= length).select("doc", F.octet_length("text").cast("long").alias("n"), F.unhex(F.sha2("text", 256)).alias("h")), "named")
     first = stored(named.groupBy("h", "n").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last"), "first")
     copies = named.join(first, ["h", "n"]).where("doc > first").select("doc", F.array(F.lit(0).cast("long")).alias("starts"), F.array("n").alias("ends"))
-    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((named.agg(F.sum("n")).first()[0] or 0) / PART))
-    tasks = min(parts, MOST_TASKS)
+    size = named.agg(F.sum("n")).first()[0] or 0
+    parts = parts or 8 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / (8 * PART)))
+    tasks = min(math.ceil(parts / 8), MOST_TASKS)
     sent = known.mapInArrow(lambda x: send_anchors(x, length, parts), "part int, docs binary, anchors binary, counts binary")
     spread = lambda payload: F.when(F.col("part") < 0, F.xxhash64(payload)).otherwise(F.col("part").cast("long"))
     met = sent.repartition(tasks, spread("docs")).sortWithinPartitions("part").mapInArrow(lambda x: meet_anchors(x, 1000, parts), "kind int, bucket long, data binary, anchor long, n long")
