@@ -14,11 +14,12 @@ def ordinal(df: DataFrame, order: list[str], group: tuple[str, ...] = (), name:
     """Adds the place (from 0) of each row in the order of its group.
 
     One range shuffle; within a partition places are counted by the row id, and each partition adds the rows of its
-    group before it. No window holds a whole group. ``order`` should be total for the places to be the same again.
+    group before it. No window holds a whole group. ``order`` should be total for the places to be the same again; where
+    it is not, rows with equal keys are dealt out at random, so that a very common value is no task's alone.
     """
     low = (1 << 33) - 1
     keys = [*group, *order]
-    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__m", F.monotonically_increasing_id())
+    dealt = df.withColumn("__r", F.rand(7)).repartitionByRange(*keys, "__r").sortWithinPartitions(*keys).withColumn("__m", F.monotonically_increasing_id())
     dealt = stored(dealt.select(*df.columns, F.shiftright("__m", 33).alias("__p"), F.col("__m").bitwiseAND(F.lit(low)).alias("__k")), "ordered")
     counts = dealt.groupBy(*group, "__p").agg(F.count("*").alias("__n"), F.min("__k").alias("__first"))
     before = F.coalesce(F.sum("__n").over(W.partitionBy(*group).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

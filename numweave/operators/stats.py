@@ -52,7 +52,8 @@ def median_ci_large(df: DataFrame, group: list[str], value: str, alpha: float =
     placed = ordinal(df.select(*group, value).where(F.col(value).isNotNull()), [value], tuple(group), "k")
     counts = placed.groupBy(*group).agg(F.count("*").alias("n")).withColumns({"low": low, "high": high, "mid": F.floor((F.col("n") - 1) / 2), "mid2": F.floor(F.col("n") / 2)})
     at = lambda place: F.max(F.when(F.col("k") == F.col(place), F.col(value)))
-    rows = placed.join(counts, group).groupBy(*group, "n").agg(((at("mid") + at("mid2")) / 2).alias("median"), at("low").alias("a"), at("high").alias("b"))
+    wanted = placed.join(counts, group).where(F.col("k").isin(*(F.col(c) for c in ("low", "high", "mid", "mid2"))))
+    rows = wanted.groupBy(*group, "n").agg(((at("mid") + at("mid2")) / 2).alias("median"), at("low").alias("a"), at("high").alias("b"))
     return rows.select(*group, "n", "median", *interval_ends(convention))
 
 

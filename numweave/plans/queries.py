@@ -725,7 +725,7 @@ def jacobi_sql(steps: int) -> str:
     for k in range(2 * steps):
         source, target = (a, b) if k % 2 == 0 else (b, a)
         near = " ".join(f"LEFT JOIN {source} n{m} ON n{m}.i = c.i + {x} AND n{m}.j = c.j + {y}" for m, (x, y) in enumerate(((0, 1), (0, -1), (1, 0), (-1, 0))))
-        parts.append(f"h{k} AS (SELECT c.i, c.j, CASE WHEN c.i BETWEEN 1 AND 30 AND c.j BETWEEN 1 AND 30 THEN 0.2 * (c.v + n0.v + n1.v + n2.v + n3.v) ELSE o.v END AS v FROM {source} c JOIN {target} o USING (i, j) {near})")
+        parts.append(f"h{k} AS (SELECT c.i, c.j, CASE WHEN c.i BETWEEN 1 AND {SIDE} - 2 AND c.j BETWEEN 1 AND {SIDE} - 2 THEN 0.2 * (c.v + n0.v + n1.v + n2.v + n3.v) ELSE o.v END AS v FROM {source} c JOIN {target} o USING (i, j) {near})")
         a, b = (a, f"h{k}") if k % 2 == 0 else (f"h{k}", b)
     return with_views("q", f", {', '.join(parts)} SELECT i, j, round(v, 4) AS v FROM {a}")
 
@@ -733,13 +733,14 @@ def jacobi_sql(steps: int) -> str:
 @query(jacobi_sql(2))
 def jacobi2d(spark, sf_dir):
     a, b = views.quantity_grid(spark, sf_dir)
-    return tidy(stencil.jacobi2d(a, b, views.GRID, 2, tile=12, depth=2))
+    n = views.n_suppliers(spark, sf_dir)
+    return tidy(stencil.jacobi2d(a, b, n, 2, tile=max(4, n // 8), depth=2))
 
 
 @query(jacobi_sql(1))
 def jacobi_cells(spark, sf_dir):
     a, b = views.quantity_grid(spark, sf_dir)
-    return tidy(stencil.jacobi_cells(a, b, views.GRID, 1))
+    return tidy(stencil.jacobi_cells(a, b, views.n_suppliers(spark, sf_dir), 1))
 
 
 @query(with_views("t", f"""SELECT i, string_agg(CASE WHEN (i * {SIDE} + j) % 20 = 0 THEN chr(10) ELSE '' END || printf('%.2f ', v), '' ORDER BY j) AS text FROM t GROUP BY i"""))

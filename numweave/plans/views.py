@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.index import div
 
-GRID = 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,9 +79,10 @@ def hourly_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quantity_grid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """32 by 32 quantities by part and supplier modulo 32, and the same plus 1."""
-    cells = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % GRID).alias("i"), (F.col("l_suppkey") % GRID).alias("j"), F.col("l_quantity").alias("v"))
-    zeros = spark.range(GRID * GRID).select(div(F.col("id"), GRID).alias("i"), (F.col("id") % GRID).alias("j"), F.lit(0.0).alias("v"))
+    """Quantities by part, modulo the number of suppliers, and supplier, and the same plus 1."""
+    n = n_suppliers(spark, sf_dir)
+    cells = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % n).alias("i"), F.col("l_suppkey").alias("j"), F.col("l_quantity").alias("v"))
+    zeros = spark.range(n * n).select(div(F.col("id"), n).alias("i"), (F.col("id") % n).alias("j"), F.lit(0.0).alias("v"))
     a = cells.union(zeros).groupBy("i", "j").agg(F.sum("v").alias("v"))
     return a, a.withColumn("v", F.col("v") + 1)
 
@@ -108,8 +108,8 @@ SQL = {
     "s": """s AS (WITH e AS (SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS h FROM events), b AS (SELECT min(h) AS a, max(h) AS z FROM e),
         r AS (SELECT unnest(range(greatest(64, CAST(pow(2, ceil(log2(z - a + 1))) AS BIGINT)))) AS i FROM b)
         SELECT r.i, coalesce(c.n, 0.0) AS re FROM r LEFT JOIN (SELECT h - a AS i, CAST(count(*) AS DOUBLE) AS n FROM e, b GROUP BY ALL) c USING (i))""",
-    "q": """q AS (SELECT i, j, sum(v) AS v FROM (SELECT l_partkey % 32 AS i, l_suppkey % 32 AS j, l_quantity AS v FROM lineitem
-        UNION ALL SELECT a.range, b.range, 0.0 FROM range(32) a, range(32) b) GROUP BY i, j)""",
+    "q": """q AS (SELECT i, j, sum(v) AS v FROM (SELECT l_partkey % (SELECT count(*) FROM supplier) AS i, l_suppkey AS j, l_quantity AS v FROM lineitem
+        UNION ALL SELECT a.s_suppkey, b.s_suppkey, 0.0 FROM supplier a, supplier b) GROUP BY i, j)""",
     "runs": """runs AS (SELECT l_returnflag AS experiment, CAST(l_linenumber * 1000 AS INTEGER) AS n, CAST(l_linenumber AS INTEGER) AS p,
         l_extendedprice AS time FROM lineitem)""",
 }
