@@ -33,7 +33,8 @@ def rules() -> tuple[tuple[str, Column], ...]:
 def repeated_words(words: Column, k: int = WINDOW) -> Column:
     """Words in windows of k words that the array holds twice or more.
 
-    A window is the 64-bit hash of its words' hashes. Only arrays with a repeated hash go on: their (hash, place) pairs
+    A window is the 64-bit hash of its words' hashes, and equal hashes count as equal windows: within one text a false
+    match is about as likely as its windows squared in 2 ** 65. Only arrays with a repeated hash go on: their (hash, place) pairs
     are sorted, places with an equal neighbour stay, and each covers k words but for what the next one covers too.
     """
     n = F.size(words)
