@@ -24,6 +24,10 @@ SEED = simhash.SEED
 #: Documents whose shingles are counted to tell common ones, and most common shingles sent to the executors. Both touch
 #: the order of shingles only, so the work and never the result.
 SAMPLE, COMMON = 1 << 13, 1 << 17
+#: Bits of a set's bitmap, which bounds what two sets share.
+BITS = 1024
+#: Most ids of texts that are broadcast.
+FEW = 1 << 20
 #: Texts of each prefix shingle that all others there are compared with first.
 CENTRES = 3
 
@@ -47,6 +51,13 @@ def node_of(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).view(np.int64))
 
 
+def bitmap(found: np.ndarray) -> bytes:
+    """The places of a set's shingles modulo BITS."""
+    out = np.zeros(BITS, bool)
+    out[(found % np.uint64(BITS)).astype(np.int64)] = True
+    return np.packbits(out).tobytes()
+
+
 def prefix_size(n: int, least: float) -> int:
     """Two sets within the similarity share one of so many first shingles, in any one order of all shingles."""
     return n - math.ceil(least * n - 1e-9) + 1
@@ -70,26 +81,27 @@ def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarr
 
 
 def prefixes(docs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """(doc_id, node, fp, n, keys): the set's name, the fingerprint, the set's size, and its first shingles, rare ones
-    before common ones."""
+    """(doc_id, node, fp, n, bits, keys): the set's name, the fingerprint, the set's size and bitmap, and its first
+    shingles, rare ones before common ones."""
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = common.value
         for batch in batches:
-            nodes, prints, sizes, keys = [], [], [], []
+            nodes, prints, sizes, bits, keys = [], [], [], [], []
             for x in batch.column("text"):
                 found, fp = set_and_print(x.as_py(), shingle)
                 nodes.append(node_of(found))
                 prints.append(fp)
                 sizes.append(len(found))
+                bits.append(bitmap(found))
                 if len(known) and len(found):
                     at = np.minimum(np.searchsorted(known, found), len(known) - 1)
                     found = found[np.argsort(np.where(known[at] == found, counts[at], 0), kind="stable")]
                 keys.append(found[: prefix_size(len(found), least)].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary())], names=["doc_id", "node", "fp", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(keys, pa.binary())], names=["doc_id", "node", "fp", "n", "bits", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, node long, fp long, n int, keys binary")
+    return docs.mapInArrow(run, "doc_id long, node long, fp long, n int, bits binary, keys binary")
 
 
 def shared(nodes: DataFrame, least: float, centres: int | None) -> DataFrame:
@@ -144,12 +156,31 @@ def shared(nodes: DataFrame, least: float, centres: int | None) -> DataFrame:
         if size:
             yield pairs()
 
-    entries = nodes.mapInArrow(deal, "key long, node long, root long, n int, place int")
+    entries = nodes.select("node", "root", "n", "keys").mapInArrow(deal, "key long, node long, root long, n int, place int")
     return stored(entries.repartition("key").mapInArrow(meet, "a long, b long").distinct(), "pairs")
 
 
+def possible(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmaps let reach the similarity: a bit that only one set has is a shingle that the
+    other lacks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            n, m = (batch.column(c).to_numpy().astype(np.int64) for c in ("n", "m"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(len(batch), -1) for c in ("x", "y"))
+            shared = np.minimum(n - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+            yield batch.select(["a", "b"]).filter(pa.array(shared * (1 + least) >= least * (n + m) - 1e-6))
+
+    ends = pairs.join(nodes.select(F.col("node").alias("a"), "n", F.col("bits").alias("x")), "a").join(nodes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y")), "b")
+    return stored(ends.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long"), "possible")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, least: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets reach the similarity. The sets are made again, of the texts in pairs only."""
+    """The pairs (a, b) whose shingle sets reach the similarity. The sets are made again, of the texts of possible pairs
+    only."""
+    pairs = possible(pairs, nodes, least)
     asked = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node"), "asked")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +197,9 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int,
                 good[k] = both >= least * (len(x) + len(y) - both) - 1e-9
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    texts = docs.join(asked.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(sets, "node long, x binary")
+    ids = asked.select(F.col("rep").alias("doc_id")).distinct()
+    ids = F.broadcast(ids) if asked.count() <= FEW else ids  # few ids: the texts stay where they are
+    texts = docs.join(ids, "doc_id", "left_semi").mapInArrow(sets, "node long, x binary")
     texts = stored(texts.join(asked, "node", "left_semi").dropDuplicates(["node"]), "sets")
     both = pairs.join(texts.select(F.col("node").alias("a"), "x"), "a").join(texts.select(F.col("node").alias("b"), F.col("x").alias("y")), "b")
     return stored(both.select("a", "b", "x", "y").mapInArrow(close, "a long, b long"), "links")
@@ -193,13 +226,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
     found = stored(prefixes(docs, shingle, least), "prefixes")
-    nodes = stored(found.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+    nodes = stored(found.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("keys").alias("keys")), "nodes")
     links = verified(print_pairs(nodes, radius), docs, nodes, shingle, least)
-    rooted = nodes.join(stored(components(links), "roots"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = nodes.select("node", "n", "keys").join(stored(components(links), "roots"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     met = shared(rooted, least, CENTRES)
     links = stored(links.union(verified(met.where("a != b"), docs, nodes, shingle, least)), "links")
     roots = stored(components(links), "roots")
-    left = nodes.join(met.where("a = b").select(F.col("a").alias("node")), "node", "left_semi").join(roots, "node", "left")
+    left = nodes.select("node", "n", "keys").join(met.where("a = b").select(F.col("a").alias("node")), "node", "left_semi").join(roots, "node", "left")
     more = shared(left.withColumn("root", F.coalesce("root", "node")), least, None).join(met, ["a", "b"], "left_anti")
     roots = components(links.union(verified(stored(more, "more"), docs, nodes, shingle, least)))
     placed = nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
