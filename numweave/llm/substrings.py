@@ -467,9 +467,10 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     size = named.agg(F.sum("n")).first()[0] or 0
     parts = parts or 8 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / (8 * PART)))
     tasks = min(math.ceil(parts / 8), MOST_TASKS)
+    buckets = max(tasks, parts // 64)
     sent = known.mapInArrow(lambda x: send_anchors(x, length, parts), "part int, docs binary, anchors binary, counts binary")
     spread = lambda payload: F.when(F.col("part") < 0, F.xxhash64(payload)).otherwise(F.col("part").cast("long"))
-    met = sent.repartition(tasks, spread("docs")).sortWithinPartitions("part").mapInArrow(lambda x: meet_anchors(x, 1000, parts), "kind int, bucket long, data binary, anchor long, n long")
+    met = sent.repartition(tasks, spread("docs")).sortWithinPartitions("part").mapInArrow(lambda x: meet_anchors(x, 1000, buckets), "kind int, bucket long, data binary, anchor long, n long")
     met = met.repartition(tasks, F.when(F.col("bucket") < 0, F.xxhash64("anchor", "n")).otherwise(F.col("bucket"))).sortWithinPartitions("bucket")
     met = stored(met.mapInArrow(gather_anchors, "doc long, anchors array<int>, anchor long, n long"), "anchors")
     total = met.where("doc IS NULL AND anchor IS NULL").agg(F.sum("n")).first()[0] or 0
