@@ -15,9 +15,9 @@ from .common import by_key, stored
 from .components import components
 
 #: Least and most entries of a neighbour list; candidates a list lends to a local join, and as many from the lists that name it.
-LEAST, MOST, LENT = 8, 64, 8
+LEAST, MOST, LENT = 8, 64, 5
 #: Rows compared at once when the first graph is made, and vectors of one cell in the exact comparison.
-BLOCK, CELL = 256, 1024
+BLOCK, CELL = 256, 256
 TREES = 4
 #: Members of a component that look for neighbours in others, of those with full lists.
 SPEAKERS = 4
@@ -239,15 +239,15 @@ def joined(graph: DataFrame, vectors: DataFrame, threshold: float, rounds: int,
     full = stored(graph.where(F.col("s") >= threshold - SLACK).groupBy(F.col("v").alias("vec_id")).count().where(F.col("count") >= MOST).select("vec_id", F.lit(True).alias("full")), "full")
     while True:
         roots = stored(components(links), "roots")
-        placed = vectors.select("vec_id", "x", "h").join(roots.withColumnRenamed("node", "vec_id"), "vec_id", "left").join(full, "vec_id", "left")
-        placed = stored(placed.select("vec_id", F.coalesce("root", "vec_id").alias("own"), "x", "h", F.coalesce("full", F.lit(False)).alias("full")), "placed")
+        placed = vectors.select("vec_id", "h").join(roots.withColumnRenamed("node", "vec_id"), "vec_id", "left").join(full, "vec_id", "left")
+        placed = stored(placed.select("vec_id", F.coalesce("root", "vec_id").alias("own"), "h", F.coalesce("full", F.lit(False)).alias("full")), "placed")
         turn = Window.partitionBy("own").orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id")
         deep = placed.where("full").withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= SPEAKERS)
-        some = stored(placed.where("NOT full").select("vec_id", "own", "x", "h").union(deep.select("vec_id", "own", "x", "h")), "speakers")
+        some = stored(placed.where("NOT full").select("vec_id", "own", "h").union(deep.select("vec_id", "own", "h")), "speakers")
         across = stored(best_lists(first_graph(some, some.count(), seed), threshold), "graph")
         for k in range(rounds):
             across = descend(across, some, threshold, seed + k)
-        more = stored(checked(across, some, threshold), "across")
+        more = stored(checked(across, vectors, threshold), "across")
         if not more.count():
             return roots
         links, seed = stored(links.union(more), "links"), seed + 1
