@@ -10,24 +10,25 @@ from ..functions.index import block_part
 from ..storage import stored
 
 
-def ordinal(df: DataFrame, order: list[str], group: tuple[str, ...] = (), name: str = "ordinal") -> DataFrame:
-    """Adds the place (from 0) of each row in the order of its group.
+def ordinal(df: DataFrame, order: list[str], group: tuple[str, ...] = (), name: str = "ordinal", keep: list[str] | None = None) -> DataFrame:
+    """Adds the place (from 0) of each row in the order of its group. ``keep``: the columns that go on, the group's among
+    them; all by default.
 
     One range shuffle; within a partition places are counted by the row id, and each partition adds the rows of its
     group before it. No window holds a whole group. ``order`` should be total for the places to be the same again; where
     it is not, rows with equal keys are dealt out at random, so that a very common value is no task's alone.
     """
     low = (1 << 33) - 1
-    keys = [*group, *order]
+    keys, columns = [*group, *order], keep or df.columns
     dealt = df.withColumn("__r", F.rand(7)).repartitionByRange(*keys, "__r").sortWithinPartitions(*keys).withColumn("__m", F.monotonically_increasing_id())
-    dealt = stored(dealt.select(*df.columns, F.shiftright("__m", 33).alias("__p"), F.col("__m").bitwiseAND(F.lit(low)).alias("__k")), "ordered")
+    dealt = stored(dealt.select(*columns, F.shiftright("__m", 33).alias("__p"), F.col("__m").bitwiseAND(F.lit(low)).alias("__k")), "ordered")
     counts = dealt.groupBy(*group, "__p").agg(F.count("*").alias("__n"), F.min("__k").alias("__first"))
     before = F.coalesce(F.sum("__n").over(W.partitionBy(*group).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select(*(F.col(g).alias(f"__g{k}") for k, g in enumerate(group)), F.col("__p").alias("__q"), (before - F.col("__first")).alias("__o"))
     on = F.col("__p") == F.col("__q")
     for k, g in enumerate(group):
         on = on & F.col(g).eqNullSafe(F.col(f"__g{k}"))
-    return dealt.join(offsets, on).select(*df.columns, (F.col("__k") + F.col("__o")).alias(name))
+    return dealt.join(offsets, on).select(*columns, (F.col("__k") + F.col("__o")).alias(name))
 
 
 def sample_places(n: Column, p: int) -> Column:
