@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, embeddings, lines, mixing, packing, quality, secrets, simhash, substrings, tokens
+from . import classifier, collocations, embeddings, lines, mixing, packing, quality, secrets, sharding, simhash, substrings, tokens, tries
 from .common import table
 
 
@@ -51,6 +51,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.placements(table(spark, sf_dir, "documents"), shards=8)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -64,6 +76,9 @@ QUERIES = {
         op8_line_dedup,
         op9_token_counts,
         op10_packing,
+        op11_sharding,
+        op12_collocations,
+        op13_conversation_trie,
     )
 }
 
