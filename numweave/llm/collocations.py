@@ -24,7 +24,7 @@ from .components import components
 #: Most words of a phrase.
 LONGEST = 4
 #: Bytes of text that a task encodes at once; a longer text is cut between pieces, where no phrase reaches across.
-PART = 16_000_000
+PART = 8_000_000
 #: Edges of a bucket, about; a pair of words that may have more is dealt out over several.
 BUCKET = 1 << 20
 #: The lowest bit of a word's code: its piece ends with it.
