@@ -25,6 +25,8 @@ from .components import components
 LONGEST = 4
 #: Bytes of text that a task encodes at once; a longer text is cut between pieces, where no phrase reaches across.
 PART = 8_000_000
+#: Words of a part whose edges are sorted at once.
+SLICE = 1 << 19
 #: Edges of a bucket, about; a pair of words that may have more is dealt out over several.
 BUCKET = 1 << 20
 #: The lowest bit of a word's code: its piece ends with it.
@@ -166,23 +168,24 @@ def mixed_bits(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def edges_of(slot: np.ndarray, last: np.ndarray, own: np.ndarray, f: np.ndarray, buckets: int, bucket: int) -> list[np.ndarray]:
-    """[bucket, a, b, n] of the distinct edges of a part, in this order: a holds the first two words, b the next two, 0
-    where the piece or the run of frequent words ends. ``slot`` names words by their places in ``own`` (ascending numbers)
-    and ``f`` (their counts), 0 no frequent word.
+def edges_of(slot: np.ndarray, last: np.ndarray, starts: int, own: np.ndarray, f: np.ndarray, buckets: int, bucket: int) -> list[np.ndarray]:
+    """[bucket, a, b, n] of the distinct edges from the first ``starts`` words, in this order: a holds the first two words,
+    b the next two, 0 where the piece or the run of frequent words ends. ``slot`` names words by their places in ``own``
+    (ascending numbers) and ``f`` (their counts), 0 no frequent word.
 
     A pair of words goes to one bucket, by its hash, unless the rarer of the two could give it more than ``bucket``
     edges: then its third words are spread (n has SPLIT_PAIR), and where one of these could have as many, its fourth
     words too (SPLIT_THREE).
     """
     n = len(slot)
-    w = np.zeros((LONGEST, n), np.uint64)
+    w = np.zeros((LONGEST, n), np.uint32)
     alive = slot > 0
     for k in range(LONGEST):
         w[k, : n - k] = np.where(alive[: n - k], slot[k:], 0)
         alive[: max(0, n - k - 1)] &= ~last[k : max(k, n - 1)] & (slot[k + 1 :] > 0)
         alive[max(0, n - k - 1) :] = False
-    w = w[:, w[1] > 0]
+    w = w[:, :starts]
+    w = w[:, w[1] > 0].astype(np.uint64)
     low, half = np.uint64(0xFFFFFFFF), np.uint64(32)
     a, b = w[0] << half | w[1], w[2] << half | w[3]
     order = np.lexsort((b, a))
@@ -214,25 +217,29 @@ def unpacked_edges(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def dealt(parts: DataFrame, ids: DataFrame, buckets: int, bucket: int) -> DataFrame:
-    """(bucket, edges): the edges of each part, a row for each bucket."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for codes, ids in zip(batch.column("codes"), batch.column("ids")):
-                codes = unplaned(codes.as_py())
-                place, own, often = (ids.values.field(c).to_numpy() for c in ("place", "id", "f"))
-                order = np.argsort(own)
-                slot = np.zeros(max(int((codes >> END).max()), int(place.max())) + 1, np.int64)
-                slot[place[order]] = np.arange(1, len(order) + 1)
-                home, *edges = edges_of(slot[codes >> END], (codes & END).astype(bool), np.append(0, own[order]).astype(np.uint64), np.append(0, often[order]), buckets, bucket)
-                at = np.flatnonzero(np.append(True, home[1:] != home[:-1])) if len(home) else np.zeros(0, np.int64)
-                for k in range(0, len(at), 256):
-                    cut = np.append(at[k : k + 257], len(home))[:257].tolist()
-                    rows = [packed_edges(*(x[i:j] for x in edges)) for i, j in zip(cut, cut[1:])]
-                    yield pa.RecordBatch.from_arrays([pa.array(home[cut[: len(rows)]]), pa.array(rows, pa.binary())], names=["bucket", "edges"])
-
-    grouped = ids.groupBy("part").agg(F.collect_list(F.struct("place", "id", "f")).alias("ids"))
-    return parts.select("part", "codes").join(grouped, "part").select("codes", "ids").mapInArrow(run, "bucket long, edges binary")
+    """(bucket, edges): the edges of each part, a row for each bucket and slice of the part. Parts and the numbers of their
+    words meet by part, one at a time."""
+
+    def run(part: pa.Table, ids: pa.Table) -> pa.Table:
+        if not len(part) or not len(ids):
+            return pa.table({"bucket": pa.array([], pa.int64()), "edges": pa.array([], pa.binary())})
+        place, own, often = (ids.column(c).to_numpy() for c in ("place", "id", "f"))
+        order = np.argsort(own)
+        place, own, often = place[order], np.append(0, own[order]).astype(np.uint64), np.append(0, often[order])
+        codes = unplaned(part.column("codes")[0].as_py())
+        slot = np.zeros(max(int((codes >> END).max()), int(place.max())) + 1, np.uint32)
+        slot[place] = np.arange(1, len(own), dtype=np.uint32)
+        homes, rows = [], []
+        for k in range(0, len(codes), SLICE):
+            some = codes[k : k + SLICE + LONGEST - 1]
+            home, *edges = edges_of(slot[some >> END], (some & END).astype(bool), min(SLICE, len(codes) - k), own, often, buckets, bucket)
+            at = np.flatnonzero(np.append(True, home[1:] != home[:-1])) if len(home) else np.zeros(0, np.int64)
+            homes.append(home[at])
+            rows += [packed_edges(*(x[i:j] for x in edges)) for i, j in zip(at.tolist(), [*at[1:].tolist(), len(home)])]
+        return pa.table({"bucket": np.concatenate(homes), "edges": pa.array(rows, pa.binary())})
+
+    left, right = parts.select("part", "codes").groupBy("part"), ids.select("part", "place", "id", "f").groupBy("part")
+    return left.cogroup(right).applyInArrow(run, "bucket long, edges binary")
 
 
 def flows(edges: DataFrame, least: int) -> DataFrame:
