@@ -50,40 +50,60 @@ def from_blocks(blocks: DataFrame, block: int = BLOCK) -> DataFrame:
     return blocks.select("bi", "bj", "data").mapInArrow(cells, "i long, j long, v double")
 
 
-def matmul(a: DataFrame, b: DataFrame, block: int = BLOCK) -> DataFrame:
-    """A B as triples. Blocks meet on the inner index; a task multiplies and sums what it holds before products go to
-    their place, where they are summed again. No task holds more than its share of blocks."""
-    left = to_blocks(a, block).select("bi", F.col("bj").alias("bk"), F.col("data").alias("x"))
-    right = to_blocks(b, block).select(F.col("bi").alias("bk"), "bj", F.col("data").alias("y"))
+BLOCKS = "bi long, bj long, data binary"
+
+
+def block_rows(held: dict[tuple[int, int], np.ndarray]) -> pa.RecordBatch:
+    """Blocks by their place as rows; the dictionary is emptied."""
+    keys, data = list(held), [x.tobytes() for x in held.values()]
+    held.clear()
+    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(data, pa.binary())], names=["bi", "bj", "data"])
+
+
+def block_product(a: DataFrame, b: DataFrame, block: int = BLOCK, factor: float = 1.0) -> DataFrame:
+    """factor A B of block tables. Blocks meet on the inner index; a task multiplies and sums what it holds before products
+    go to their place, where they are summed again. No task holds more than its share of blocks."""
+    left = a.select("bi", F.col("bj").alias("bk"), F.col("data").alias("x"))
+    right = b.select(F.col("bi").alias("bk"), "bj", F.col("data").alias("y"))
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             for bi, bj, x, y in zip(*(c.to_pylist() for c in batch.columns)):
                 product = np.frombuffer(x).reshape(block, block) @ np.frombuffer(y).reshape(block, block)
+                if factor != 1.0:
+                    product *= factor
                 held[bi, bj] = held[bi, bj] + product if (bi, bj) in held else product
                 if len(held) > HELD:
-                    yield sent(held)
+                    yield block_rows(held)
         if held:
-            yield sent(held)
+            yield block_rows(held)
+
+    return block_sum(left.join(right, "bk").select("bi", "bj", "x", "y").mapInArrow(multiply, BLOCKS))
+
+
+def block_sum(blocks: DataFrame) -> DataFrame:
+    """Blocks of one place added up. They come sorted by place, so a task holds one sum at a time."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             for bi, bj, data in zip(*(c.to_pylist() for c in batch.columns)):
-                x = np.frombuffer(data)
-                held[bi, bj] = held[bi, bj] + x if (bi, bj) in held else x
+                if (bi, bj) in held:
+                    held[bi, bj] = held[bi, bj] + np.frombuffer(data)
+                    continue
+                if held:
+                    yield block_rows(held)
+                held[bi, bj] = np.frombuffer(data)
         if held:
-            yield sent(held)
+            yield block_rows(held)
 
-    def sent(held: dict[tuple[int, int], np.ndarray]) -> pa.RecordBatch:
-        keys, data = list(held), [x.tobytes() for x in held.values()]
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array(data, pa.binary())], names=["bi", "bj", "data"])
+    return blocks.repartition("bi", "bj").sortWithinPartitions("bi", "bj").mapInArrow(add, BLOCKS)
 
-    schema = "bi long, bj long, data binary"
-    products = left.join(right, "bk").select("bi", "bj", "x", "y").mapInArrow(multiply, schema)
-    return from_blocks(products.repartition("bi", "bj").mapInArrow(add, schema), block)
+
+def matmul(a: DataFrame, b: DataFrame, block: int = BLOCK) -> DataFrame:
+    """A B as triples, multiplied by blocks."""
+    return from_blocks(block_product(to_blocks(a, block), to_blocks(b, block), block), block)
 
 
 def combine(*terms: tuple[float, DataFrame]) -> DataFrame:

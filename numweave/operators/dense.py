@@ -1,9 +1,9 @@
-"""Dense factorisations over rows: LU with partial pivoting, Cholesky, triangular and general solves, tall QR.
+"""Dense factorisations: LU by rows with a reduction tree for the pivots, Cholesky by tiles, triangular and general solves by
+inverting blocks, tall QR.
 
-A matrix is held as one row of doubles for each index. A stage works on a panel of columns; panel and pivot rows are
-kept to ``PANEL_MB``, by fewer columns where rows are many, and that bound lets the driver factor a panel and broadcast
-it. The finished part of a stage is written once; only the trailing rows, without the finished columns, go on to the next
-stage, mapped without a shuffle and written to the shared folder.
+LU holds a row of doubles for each index. A stage works on a panel of columns. Its pivots come from a tree over tasks;
+the pivot rows, at most ``PANEL_MB`` of them, are what is broadcast, and every other row is changed where it lies. What
+is finished is written once. Cholesky and the triangular solves hold square blocks and join them.
 """
 
 from __future__ import annotations
@@ -13,16 +13,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.errors import PythonException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.index import div
 from ..storage import shared_dir, stored
-from .blocks import combine, matmul
+from .blocks import BLOCKS, block_product, block_rows, combine, from_blocks, matmul, to_blocks
 from .vector import frobenius_norm, transpose
 
 EPS = 1e-15
 PANEL_MB = 64
 ROWS = "pos long, i long, row binary"
+#: Tasks whose best rows meet in one task of the next round of a pivot tree.
+ARITY = 4
 
 
 def panel_width(n: int, block: int) -> int:
@@ -83,41 +88,12 @@ def mapped(rows: DataFrame, n: int, change) -> DataFrame:
     return rows.mapInArrow(run, ROWS)
 
 
-def gathered(rows: DataFrame, where: str | None, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places, indices and columns [a, b) of the rows in order of their place; callers bound the size."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("pos"), batch.column("i"), pa.array([r[8 * a : 8 * b] for r in batch.column("row").to_pylist()], pa.binary())], names=["pos", "i", "row"])
-
-    got = (rows.where(where) if where else rows).mapInArrow(cut, ROWS).toArrow().sort_by("pos")
-    return got.column("pos").to_numpy(), got.column("i").to_numpy(), np.frombuffer(b"".join(got.column("row").to_pylist())).reshape(len(got), b - a)
-
-
 def full_rows(a: DataFrame, n: int, columns: int | None = None) -> DataFrame:
     """Rows 0 .. n-1 of n or so many columns, those without entries as zeros."""
     zeros = a.sparkSession.range(n).select(F.col("id").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0.0).alias("v"))
     return to_rows(a.select("i", "j", "v").union(zeros), columns or n)
 
 
-class Pieces:
-    """Finished parts of factors in the shared folder: rows (i, first column, doubles), by kind and stage."""
-
-    def __init__(self, spark):
-        self.spark, self.path = spark, f"{shared_dir(spark)}/pieces-{uuid.uuid4().hex}"
-
-    def add(self, kind: str, stage: int, i: np.ndarray, first: int, x: np.ndarray) -> None:
-        if x.size:
-            rows = pa.table({"i": pa.array(i, pa.int64()), "first": pa.array(np.full(len(i), first)), "row": packed(x)})
-            self.spark.createDataFrame(rows).write.parquet(f"{self.path}/{kind}/stage={stage}")
-
-    def of(self, kind: str, stage: int | None = None) -> DataFrame:
-        schema = "i long, first long, row binary"
-        if stage is None:
-            return self.spark.read.schema(schema + ", stage int").parquet(f"{self.path}/{kind}").drop("stage")
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{kind}/stage={stage}")
-
-
 def cells_of(pieces: DataFrame) -> DataFrame:
     """Triples of the entries of pieces that are not 0."""
 
@@ -131,62 +107,162 @@ def cells_of(pieces: DataFrame) -> DataFrame:
     return pieces.select("i", "first", "row").mapInArrow(cells, "i long, j long, v double")
 
 
-def eliminated(a: DataFrame, n: int, block: int, right: int = 0) -> tuple[Pieces, np.ndarray, list[tuple[int, int]]]:
-    """LU by panels of n rows with ``right`` more columns, which take part as right-hand sides: the pieces (kind panel: L
-    and the corner of U by row of A; kind top: U beyond the corner, and the right-hand sides), the row of A at each place
-    (n numbers), and the stages' columns.
+def pivoted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, factors) of elimination with partial pivoting over the columns of x: which row comes to each place, of equals
+    the first, and L below and U on and over the diagonal. A column without a pivot over EPS is left as it is."""
+    x, order = x.copy(), np.arange(len(x))
+    for k in range(min(x.shape)):
+        r = k + int(np.argmax(np.abs(x[k:, k])))
+        if r != k:
+            x[[k, r]], order[[k, r]] = x[[r, k]], order[[r, k]]
+        if abs(x[k, k]) > EPS:
+            x[k + 1 :, k] /= x[k, k]
+            x[k + 1 :, k + 1 :] -= np.outer(x[k + 1 :, k], x[k, k + 1 :])
+    return order, x
 
-    The pivot is the greatest absolute value of the column, of equals the first row; a pivot of 1e-15 or less is an error
-    that names the stage.
+
+def pivot_rows(rows: DataFrame, w: int, places: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The w pivot rows (their i, in order) of a panel, rows (i, head) with w doubles each, and the factors of their corner.
+
+    Without ``places`` by a tree: each task eliminates its own rows and keeps its w pivots, ARITY tasks' pivots meet in
+    one task of the next round, and so on; the last one's are the panel's. With ``places`` (the present place of each i)
+    one task eliminates the whole panel, whose size is bounded, as partial pivoting has it.
     """
-    rows, width = stored(full_rows(a, n, n + right), "lu"), panel_width(n, block)
-    pieces, row_at, stages = Pieces(rows.sparkSession), np.zeros(n, np.int64), []
+    schema = "g int, i long, head binary"
+    told = rows.sparkSession.sparkContext.broadcast(places)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+        held = [x for x in batches if len(x)]
+        i = np.concatenate([x.column("i").to_numpy() for x in held]) if held else np.zeros(0, np.int64)
+        x = unpacked(pa.chunked_array([x.column("head") for x in held], pa.binary()), w)
+        order = np.argsort(i if told.value is None else told.value[i])
+        return i[order], x[order]
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        i, x = own(batches)
+        kept = pivoted(x)[0][:w] if len(i) > w else np.arange(len(i))
+        group = TaskContext.get().partitionId() // ARITY
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kept), group, np.int32)), pa.array(i[kept]), packed(x[kept])], names=["g", "i", "head"])
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        i, x = own(batches)
+        order, factors = pivoted(x)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(w, dtype=np.int32)), pa.array(i[order[:w]]), packed(factors[:w])], names=["g", "i", "head"])
+
+    rows = rows.select("i", "head")
+    if places is None:
+        parts = rows.rdd.getNumPartitions()
+        rows = rows.mapInArrow(best, schema)
+        while parts > ARITY:
+            parts = -(-parts // ARITY)
+            rows = rows.repartition(parts, "g").mapInArrow(best, schema)
+    got = rows.repartition(1).mapInArrow(last, schema).toArrow().sort_by("g")
+    return got.column("i").to_numpy(), unpacked(got.column("head"), w)
+
+
+class Elimination:
+    """The finished parts of an LU factorisation in the shared folder, rows (i, first column, doubles) by row of A: the
+    corners (L and U of the pivot rows), what lies beyond them (U and right-hand sides), and what lies below (L)."""
+
+    def __init__(self, spark, n: int):
+        self.spark, self.n, self.path, self.row_at = spark, n, f"{shared_dir(spark)}/lu-{uuid.uuid4().hex}", np.arange(n)
+
+    def write(self, kind: str, stage: int, rows: DataFrame) -> None:
+        rows.write.parquet(f"{self.path}/{kind}/stage={stage}")
+
+    def read(self, kind: str, stage: int | None = None, row: str = "row") -> DataFrame:
+        below = "" if stage is None else f"/stage={stage}"
+        table = self.spark.read.schema(f"i long, first long, {row} binary{', head binary, rest binary' * (row != 'row')}" + ", stage int" * (stage is None)).parquet(f"{self.path}/{kind}{below}")
+        return table.drop("stage")
+
+    def parts(self) -> DataFrame:
+        """All rows of parts, by row of A."""
+        kinds = [self.read("corner"), self.read("beyond")]
+        if self.stages > 1:
+            kinds.append(self.read("below", row="low").select("i", "first", F.col("low").alias("row")))
+        out = kinds[0].select("i", "first", "row")
+        for x in kinds[1:]:
+            out = out.union(x.select("i", "first", "row"))
+        return out
+
+    def places(self) -> DataFrame:
+        """(i, pi): row pi of A is at place i; n numbers."""
+        return self.spark.createDataFrame(pa.table({"i": pa.array(np.arange(self.n)), "pi": pa.array(self.row_at)}))
+
+    def placed(self) -> DataFrame:
+        """All rows of parts, by place."""
+        return self.parts().withColumnRenamed("i", "pi").join(self.places(), "pi").select("i", "first", "row")
+
+
+def halves(rows: DataFrame, n: int, w: int) -> DataFrame:
+    """(i, head, rest) of rows of n doubles, cut after w."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, n):
+            x = unpacked(batch.column("row"), n)
+            yield pa.RecordBatch.from_arrays([batch.column("i"), packed(x[:, :w]), packed(x[:, w:])], names=["i", "head", "rest"])
+
+    return rows.mapInArrow(cut, "i long, head binary, rest binary")
+
+
+def eliminated(a: DataFrame, n: int, block: int, right: int = 0, pivoting: str = "tournament") -> Elimination:
+    """LU of n rows by panels of columns, with ``right`` more columns, which take part as right-hand sides.
+
+    ``tournament``: a panel's pivots come from a tree over tasks (``pivot_rows``); entries of L may pass 1 a little.
+    ``partial``: the pivot is the greatest absolute value of its column, of equals the first row; the panel, bounded by
+    PANEL_MB, goes through one task. A pivot of 1e-15 or less is an error that names the stage. The driver sees the
+    order of the rows (n numbers), corners of block by block, and the pivot rows that it broadcasts.
+    """
+    spark, width, total = a.sparkSession, panel_width(n + right, block), n + right
+    out, place_of = Elimination(spark, n), np.arange(n)
+    out.stages = -(-n // width)
+    w = min(n, width)
+    rows = stored(halves(full_rows(a, n, total), total, w), "lu")
     for k0 in range(0, n, width):
-        k1, wide = min(n, k0 + width), n + right - k0
-        w = k1 - k0
-        place, own, panel = gathered(rows, None, 0, w)
-        panel, order = panel.copy(), np.arange(len(place))
-        for k in range(w):
-            r = k + int(np.argmax(np.abs(panel[k:, k])))
-            if abs(panel[r, k]) <= EPS:
-                raise ValueError(f"singular at stage {k0 + k}")
-            panel[[k, r]], order[[k, r]] = panel[[r, k]], order[[r, k]]
-            panel[k + 1 :, k] /= panel[k, k]
-            panel[k + 1 :, k + 1 :] -= np.outer(panel[k + 1 :, k], panel[k, k + 1 :])
-        row_at[k0:] = own[order]
-        pieces.add("panel", k0, own[order], k0, panel)
-        new_of = np.empty(len(order), np.int64)
-        new_of[order] = np.arange(k0, n)
-        top = place[order[:w]]
-        at, _, beyond = gathered(rows, f"pos IN ({','.join(map(str, top))})", w, wide)
-        unit = np.tril(panel[:w], -1) + np.eye(w)
-        upper = np.linalg.solve(unit, beyond[np.searchsorted(at, top)]) if wide > w else np.zeros((w, 0))
-        pieces.add("top", k0, own[order[:w]], k1, upper)
-        stages.append((k0, k1))
-        if k1 < n:
-            told = rows.sparkSession.sparkContext.broadcast((new_of, panel[w:], upper))
-
-            def step(pos, i, x, k0=k0, k1=k1, w=w, told=told):
-                new_of, low, upper = told.value
-                pos = new_of[pos - k0]
-                live = pos >= k1
-                pos = pos[live]
-                return pos, i[live], x[live, w:] - low[pos - k1] @ upper
-
-            rows = stored(mapped(rows, wide, step), "lu")
-    return pieces, row_at, stages
-
-
-def lu(a: DataFrame, n: int, block: int = 256) -> tuple[DataFrame, DataFrame]:
+        k1 = k0 + w
+        wide, after = total - k1, min(width, n - k1)
+        chosen, corner = pivot_rows(rows, w, place_of if pivoting == "partial" else None)
+        if (found := np.flatnonzero(np.abs(np.diag(corner)) <= EPS)).size or len(chosen) < w:
+            raise ValueError(f"singular at stage {k0 + int(found[0]) if found.size else k0 + len(chosen)}")
+        for k, i in enumerate(chosen.tolist(), k0):
+            there, other = place_of[i], out.row_at[k]
+            out.row_at[[k, there]], place_of[[i, other]] = (i, other), (k, there)
+        out.write("corner", k0, spark.createDataFrame(pa.table({"i": pa.array(chosen), "first": pa.array(np.full(w, k0)), "row": packed(corner)})).coalesce(1))
+
+        def beyond(batches: Iterator[pa.RecordBatch], w=w, wide=wide, chosen=chosen, corner=corner, k1=k1) -> Iterator[pa.RecordBatch]:
+            held = [x for x in batches if len(x)]
+            if held:
+                i = np.concatenate([x.column("i").to_numpy() for x in held])
+                x = np.concatenate([unpacked(x.column("rest"), wide) for x in held])[np.argsort(i)][np.argsort(np.argsort(chosen))]
+                x = np.linalg.solve(np.tril(corner, -1) + np.eye(w), x)
+                yield pa.RecordBatch.from_arrays([pa.array(chosen), pa.array(np.full(w, k1)), packed(x)], names=["i", "first", "row"])
+
+        top = rows.where(F.col("i").isin(chosen.tolist())).select("i", "rest").repartition(1)
+        out.write("beyond", k0, top.mapInArrow(beyond, "i long, first long, row binary"))
+        if k1 == n:
+            break
+        got = out.read("beyond", k0).toArrow()
+        order = {i: k for k, i in enumerate(got.column("i").to_pylist())}
+        told = spark.sparkContext.broadcast((np.sort(chosen), corner, unpacked(got.column("row"), wide)[[order[i] for i in chosen.tolist()]]))
+
+        def step(batches: Iterator[pa.RecordBatch], w=w, wide=wide, after=after, told=told, k0=k0) -> Iterator[pa.RecordBatch]:
+            gone, corner, upper = told.value
+            for batch in slices(batches, w + wide):
+                i = batch.column("i").to_numpy()
+                live = gone[np.minimum(np.searchsorted(gone, i), len(gone) - 1)] != i
+                low = np.linalg.solve(np.triu(corner).T, unpacked(batch.column("head"), w)[live].T).T
+                x = unpacked(batch.column("rest"), wide)[live] - low @ upper
+                yield pa.RecordBatch.from_arrays([pa.array(i[live]), pa.array(np.full(len(x), k0)), *map(packed, (low, x[:, :after], x[:, after:]))], names=["i", "first", "low", "head", "rest"])
+
+        out.write("below", k0, rows.mapInArrow(step, "i long, first long, low binary, head binary, rest binary"))
+        rows, w = out.read("below", k0, "low"), after
+    return out
+
+
+def lu(a: DataFrame, n: int, block: int = 256, pivoting: str = "tournament") -> tuple[DataFrame, DataFrame]:
     """(L below and U on and over the diagonal as triples, (i, pi)) with A(pi(i), j) = (L U)(i, j); see ``eliminated``."""
-    pieces, row_at, stages = eliminated(a, n, block)
-    spark = a.sparkSession
-    pi = spark.createDataFrame(pa.table({"i": pa.array(np.arange(n)), "pi": pa.array(row_at)}))
-    parts = pieces.of("panel")
-    if len(stages) > 1:
-        parts = parts.union(pieces.of("top"))
-    placed = parts.withColumnRenamed("i", "pi").join(pi, "pi").select("i", "first", "row")
-    return cells_of(placed), pi
+    done = eliminated(a, n, block, 0, pivoting)
+    return cells_of(done.placed()), done.places()
 
 
 def identity(spark, n: int) -> DataFrame:
@@ -222,118 +298,196 @@ def verify_lu(a: DataFrame, factors: DataFrame, pi: DataFrame, n: int, block: in
     return frobenius_norm(combine((1.0, reconstruct_lu(factors, pi, n, block)), (-1.0, a)))
 
 
-def cholesky(a: DataFrame, n: int, block: int = 256) -> DataFrame:
-    """R upper with R' R = A for A symmetric positive definite; otherwise an error that names the stage."""
-    rows, width = stored(full_rows(a, n), "cholesky"), panel_width(n, block)
-    pieces = Pieces(rows.sparkSession)
-    for k0 in range(0, n, width):
-        k1 = min(n, k0 + width)
-        w = k1 - k0
-        place, _, panel = gathered(rows, None, 0, w)
-        try:
-            top = np.linalg.cholesky(panel[:w])
-        except np.linalg.LinAlgError:
-            raise ValueError(f"not positive definite in columns {k0} to {k1 - 1}") from None
-        left = np.vstack([top, np.linalg.solve(top, panel[w:].T).T])
-        pieces.add("panel", k0, place, k0, left)
-        if k1 < n:
-            told = rows.sparkSession.sparkContext.broadcast(left[w:])
-
-            def step(pos, i, x, k1=k1, w=w, told=told):
-                live = pos >= k1
-                pos = pos[live]
-                return pos, i[live], x[live, w:] - told.value[pos - k1] @ told.value.T
-
-            rows = stored(mapped(rows, n - k0, step), "cholesky")
-    return transpose(cells_of(pieces.of("panel")))
-
-
-def column_blocks(lower: DataFrame, n: int, width: int) -> DataFrame:
-    """(block, i, row): the rows' parts in each block of columns, as doubles, stored by block so that a stage reads its own."""
-    cells = lower.where(f"i < {n} AND j <= i").groupBy(F.floor(F.col("j") / width).cast("int").alias("block"), "i").agg(F.collect_list(F.struct((F.col("j") % width).cast("int").alias("k"), "v")).alias("x"))
+def told_of(error: PythonException, words: str) -> str | None:
+    """What a task's ValueError says, if it has the words."""
+    return next((line.removeprefix("ValueError: ") for line in str(error).splitlines() if line.startswith("ValueError: ") and words in line), None)
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, width):
-            cells = batch.column("x")
-            flat, row = cells.flatten(), np.repeat(np.arange(len(batch)), cells.value_lengths().to_numpy())
-            x = np.zeros((len(batch), width))
-            np.add.at(x, (row, flat.field("k").to_numpy()), flat.field("v").to_numpy())
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("i"), packed(x)], names=["block", "i", "row"])
 
-    spark, path = lower.sparkSession, f"{shared_dir(lower.sparkSession)}/blocks-{uuid.uuid4().hex}"
-    schema = "i long, row binary, block int"
-    cells.mapInArrow(fill, "block int, i long, row binary").repartition("block", F.pmod(F.xxhash64("i"), F.lit(16))).write.partitionBy("block").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+def cholesky(a: DataFrame, n: int, block: int = 256) -> DataFrame:
+    """R upper with R' R = A for A symmetric positive definite (its lower triangle is read); otherwise an error that names
+    the columns.
 
+    By square tiles (bi, bj) of the lower triangle: a stage factors its diagonal tile in a task, sends that to each tile
+    below, and joins the finished column with the trailing tiles by their row and by their column. The factor's columns
+    are written once; no tile goes through the driver.
+    """
+    tiles = stored(to_blocks(a.where(f"i >= j AND i < {n}").select("i", "j", "v"), block), "tiles")
+    spark, path, count = a.sparkSession, f"{shared_dir(a.sparkSession)}/cholesky-{uuid.uuid4().hex}", -(-n // block)
+
+    def diagonal(k: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = {}
+            for data in (x for batch in batches for x in batch.column("data").to_pylist()):
+                x = np.frombuffer(data).reshape(block, block).copy()
+                inside = min(block, n - k * block)
+                x[range(inside, block), range(inside, block)] = 1.0
+                try:
+                    held[k, k] = np.linalg.cholesky(np.tril(x) + np.tril(x, -1).T)
+                except np.linalg.LinAlgError:
+                    raise ValueError(f"not positive definite in columns {k * block} to {min(n, (k + 1) * block) - 1}") from None
+            yield block_rows(held)
+
+        return run
+
+    def column(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bi, bj, x, corner in zip(*(c.to_pylist() for c in batch.columns)):
+                x, corner = (np.frombuffer(y).reshape(block, block) for y in (x, corner))
+                yield block_rows({(bi, bj): np.linalg.solve(corner, x.T).T.copy()})
 
-def parts_of(rows: DataFrame, x: np.ndarray, corner: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows (i, row): i, the first ``corner`` entries, and the product of the entries after these with x."""
+    def trailing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bi, bj, x, left, right in zip(*(c.to_pylist() for c in batch.columns)):
+                x, left, right = (None if y is None else np.frombuffer(y).reshape(block, block) for y in (x, left, right))
+                if x is None:
+                    x = np.zeros((block, block))
+                yield block_rows({(bi, bj): x if left is None or right is None else x - left @ right.T})
+
+    read = lambda part: spark.read.schema(BLOCKS).parquet(f"{path}/{part}")
+    try:
+        for k in range(count):
+            tiles.where((F.col("bi") == k) & (F.col("bj") == k)).mapInArrow(diagonal(k), BLOCKS).write.parquet(f"{path}/column={k}/diagonal")
+            corner = read(f"column={k}/diagonal")
+            if not corner.take(1):
+                raise ValueError(f"not positive definite in columns {k * block} to {min(n, (k + 1) * block) - 1}")
+            if k + 1 == count:
+                break
+            sent = corner.select(F.explode(F.sequence(F.lit(k + 1).cast("long"), F.lit(count - 1).cast("long"))).alias("bi"), F.col("data").alias("corner"))
+            tiles.where((F.col("bj") == k) & (F.col("bi") > k)).join(sent, "bi").select("bi", "bj", "data", "corner").mapInArrow(column, BLOCKS).write.parquet(f"{path}/column={k}/below")
+            done = read(f"column={k}/below")
+            left, right = (done.select(F.col("bi").alias(c), F.col("data").alias(x)) for c, x in (("bi", "left"), ("bj", "right")))
+            pairs = done.select("bi", F.explode(F.sequence(F.lit(k + 1).cast("long"), "bi")).alias("bj"))
+            pairs = pairs.join(done.select(F.col("bi").alias("bj")), "bj", "left_semi")
+            rest = tiles.where(F.col("bj") > k).join(pairs, ["bi", "bj"], "full")
+            rest = rest.join(left, "bi", "left").join(right, "bj", "left").select("bi", "bj", "data", "left", "right")
+            tiles = stored(rest.mapInArrow(trailing, BLOCKS), "tiles")
+    except PythonException as error:
+        if said := told_of(error, "not positive definite in columns"):
+            raise ValueError(said) from None
+        raise
+    whole = spark.read.schema(BLOCKS + ", column int").parquet(*(f"{path}/column={k}/{part}" for k in range(count) for part in ("diagonal", "below")[: 1 + (k + 1 < count)]))
+    return transpose(from_blocks(whole, block)).where(f"i < {n} AND j < {n}")
+
+
+def tiled(pieces: DataFrame, n: int, block: int) -> DataFrame:
+    """Square blocks of pieces (i, first, row) of the rows of an n by n matrix, by strips of a block's width."""
+
+    def strips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, first, row in zip(*(c.to_pylist() for c in batch.columns)):
+                x = np.frombuffer(row)[: n - first]
+                if not len(x):
+                    continue
+                whole = np.zeros((first + len(x) - 1) // block * block + block - first // block * block)
+                whole[first % block : first % block + len(x)] = x
+                count = len(whole) // block
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(count, i // block)), pa.array(first // block + np.arange(count)), pa.array(np.full(count, i % block)), packed(whole.reshape(count, block))], names=["bi", "bj", "r", "strip"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, corner + len(told.value)):
-            m = unpacked(batch.column("row"), corner + len(told.value)) if len(batch) else np.zeros((0, corner + len(told.value)))
-            yield pa.RecordBatch.from_arrays([batch.column("i"), packed(m[:, :corner]), pa.array(m[:, corner:] @ told.value)], names=["i", "row", "v"])
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bi, bj, parts in zip(*(c.to_pylist() for c in batch.columns)):
+                x = np.zeros((block, block))
+                for part in parts:
+                    x[part["r"]] += np.frombuffer(part["strip"])
+                yield block_rows({(bi, bj): x})
 
-    told = rows.sparkSession.sparkContext.broadcast(x)
-    got = rows.select("i", "row").mapInArrow(run, "i long, row binary, v double").toArrow().sort_by("i")
-    return got.column("i").to_numpy(), np.frombuffer(b"".join(got.column("row").to_pylist())).reshape(len(got), corner), got.column("v").to_numpy()
+    rows = pieces.select("i", "first", "row").mapInArrow(strips, "bi long, bj long, r long, strip binary")
+    return rows.groupBy("bi", "bj").agg(F.collect_list(F.struct("r", "strip")).alias("parts")).mapInArrow(fill, BLOCKS)
 
 
-def vector_of(b: DataFrame, n: int) -> np.ndarray:
-    """A vector of n places, absent ones 0; n is that of a dense matrix, so it is small beside one."""
-    out = np.zeros(n)
-    got = b.where(f"i >= 0 AND i < {n}").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
-    out[got.column("i").to_numpy()] = np.nan_to_num(got.column("v").to_numpy())
-    return out
+def inverted(lower: DataFrame, n: int, block: int) -> DataFrame:
+    """Blocks of the inverse of a lower triangle, given by blocks; what lies over the diagonal is not read.
 
+    The blocks on the diagonal are inverted first. A round joins neighbouring inverses two and two: of [A 0; C B] the
+    missing part is -B^-1 C A^-1, two products of blocks for all pairs at once. So the rounds are as many as the count of
+    blocks can be halved. A diagonal entry of 1e-15 or less is an error that names its rows.
+    """
+    count = -(-n // block)
+
+    def corners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, data in zip(batch.column("bi").to_pylist(), batch.column("data").to_pylist()):
+                x = np.tril(np.frombuffer(data).reshape(block, block))
+                inside = min(block, n - k * block)
+                x[range(inside, block), range(inside, block)] = 1.0
+                if (np.abs(np.diag(x)) <= EPS).any():
+                    raise ValueError(f"singular in rows {k * block} to {k * block + inside - 1}")
+                yield block_rows({(k, k): np.linalg.inv(x)})
+
+    lower = lower.where("bi >= bj")
+    try:
+        inverse = stored(lower.where("bi = bj").mapInArrow(corners, BLOCKS), "inverse")
+    except PythonException as error:
+        if said := told_of(error, "singular in rows"):
+            raise ValueError(said) from None
+        raise
+    if (there := inverse.count()) < count:
+        raise ValueError(f"singular: {count - there} blocks on the diagonal are empty")
+    size = 1
+    while size < count:
+        pair = (div(F.col("bi"), 2 * size) == div(F.col("bj"), 2 * size)) & (F.col("bi") % (2 * size) >= size) & (F.col("bj") % (2 * size) < size)
+        missing = block_product(inverse, block_product(lower.where(pair), inverse, block), block, -1.0)
+        inverse, size = stored(inverse.union(missing), "inverse"), 2 * size
+    return inverse
+
+
+def times_vector(blocks: DataFrame, b: DataFrame, n: int, block: int) -> DataFrame:
+    """(i, v): a matrix of blocks times a vector (i, v), absent entries 0. Pieces of the vector meet blocks by column."""
+    pieces = b.where(f"i >= 0 AND i < {n}").groupBy(div(F.col("i"), block).alias("bj")).agg(F.collect_list(F.struct((F.col("i") % block).alias("k"), F.coalesce("v", F.lit(0.0)).alias("v"))).alias("x"))
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bi, data, part in zip(*(c.to_pylist() for c in batch.columns)):
+                x = np.zeros(block)
+                np.add.at(x, [p["k"] for p in part], [p["v"] for p in part])
+                y = np.frombuffer(data).reshape(block, block) @ x
+                inside = min(block, n - bi * block)
+                yield pa.RecordBatch.from_arrays([pa.array(bi * block + np.arange(inside)), pa.array(y[:inside])], names=["i", "v"])
 
-def vector_frame(spark, x: np.ndarray) -> DataFrame:
-    return spark.createDataFrame(pa.table({"i": pa.array(np.arange(len(x))), "v": pa.array(x)}))
+    sums = blocks.join(pieces, "bj").select("bi", "data", "x").mapInArrow(multiply, "i long, v double").groupBy("i").agg(F.sum("v").alias("v"))
+    return b.sparkSession.range(n).select(F.col("id").alias("i")).join(sums, "i", "left").select("i", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
 def trisolv(lower: DataFrame, b: DataFrame, n: int, block: int = 256) -> DataFrame:
-    """x with L x = b, L lower with its diagonal. Forward by blocks of columns, each read once: the driver solves the small
-    triangle, tasks multiply what lies below it. The vector itself (n numbers) is held by the driver."""
-    width = panel_width(n, block)
-    blocks, rest = column_blocks(lower, n, width), vector_of(b, n)
-    x = np.zeros(n)
-    for k0 in range(0, n, width):
-        k1 = min(n, k0 + width)
-        own = blocks.where(f"block = {k0 // width}")
-        i, corner, _ = parts_of(own.where(f"i < {k1}"), np.zeros(0), width)
-        full = np.zeros((k1 - k0, k1 - k0))
-        full[i - k0] = corner[:, : k1 - k0]
-        if (np.abs(np.diag(full)) <= EPS).any():
-            raise ValueError(f"singular in rows {k0} to {k1 - 1}")
-        x[k0:k1] = np.linalg.solve(full, rest[k0:k1])
-        if k1 < n:
-            i, _, v = parts_of(own.where(f"i >= {k1}"), np.append(x[k0:k1], np.zeros(width - (k1 - k0))), 0)
-            rest[i] -= v
-    return vector_frame(lower.sparkSession, x)
+    """x with L x = b, L lower with its diagonal, through the inverse of its blocks (``inverted``)."""
+    blocks = stored(to_blocks(lower.where(f"i < {n} AND j <= i").select("i", "j", "v"), block), "lower")
+    return times_vector(inverted(blocks, n, block), b, n, block)
+
+
+def turned(a: DataFrame, n: int) -> DataFrame:
+    """A matrix or vector with its indices counted from the end."""
+    return a.select(*((F.lit(n - 1) - F.col(c)).alias(c) if c in ("i", "j") else c for c in a.columns))
 
 
 def backsolv(upper: DataFrame, b: DataFrame, n: int, block: int = 256) -> DataFrame:
     """x with U x = b: the forward solve with both indices turned round."""
-    turn = lambda c: (F.lit(n - 1) - F.col(c)).alias(c)
-    return trisolv(upper.select(turn("i"), turn("j"), "v"), b.select(turn("i"), "v"), n, block).select(turn("i"), "v")
+    return turned(trisolv(turned(upper.select("i", "j", "v"), n), turned(b.select("i", "v"), n), n, block), n)
 
 
 def solve(a: DataFrame, b: DataFrame, n: int, block: int = 256) -> DataFrame:
-    """x with A x = b, by LU. The right-hand side goes along as one more column, so only U is left to solve, backward by
-    the stages' rows: each is read once, tasks multiply what lies right of its corner."""
+    """x with A x = b, by LU. The right-hand side goes along as one more column, so only U is left to solve: its blocks are
+    turned round, which makes them a lower triangle, and inverted."""
     right = b.select("i", F.lit(n).cast("long").alias("j"), "v")
-    pieces, row_at, stages = eliminated(a.select("i", "j", "v").union(right), n, block, 1)
-    place = np.empty(n, np.int64)
-    place[row_at] = np.arange(n)
-    x = np.zeros(n + 1)
-    x[n] = -1.0
-    for k0, k1 in reversed(stages):
-        top = row_at[k0:k1].tolist()
-        i, corner, _ = parts_of(pieces.of("panel", k0).where(F.col("i").isin(top)), np.zeros(0), k1 - k0)
-        upper = np.triu(corner[np.argsort(place[i])])
-        i, _, v = parts_of(pieces.of("top", k0), x[k1:], 0)
-        x[k0:k1] = np.linalg.solve(upper, -v[np.argsort(place[i])])
-    return vector_frame(a.sparkSession, x[:n])
+    done = eliminated(a.select("i", "j", "v").union(right), n, block, 1)
+    placed, last = stored(done.placed(), "placed"), n - 1
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, first, row in zip(*(c.to_pylist() for c in batch.columns)):
+                x = np.frombuffer(row)
+                if first + len(x) == n + 1:
+                    yield pa.RecordBatch.from_arrays([pa.array([last - i]), pa.array(x[-1:])], names=["i", "v"])
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, first, np.frombuffer(row)[: n - first]) for i, first, row in zip(*(c.to_pylist() for c in batch.columns))]
+            rows = [(last - i, n - first - len(x), x[::-1].tobytes()) for i, first, x in rows if len(x)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["i", "first", "row"])
+
+    y = placed.mapInArrow(ends, "i long, v double")
+    lower = tiled(placed.mapInArrow(around, "i long, first long, row binary"), n, block)
+    return turned(times_vector(inverted(stored(lower, "lower"), n, block), y, n, block), n)
 
 
 def toeplitz_solve(r: DataFrame, n: int, block: int = 256) -> DataFrame:

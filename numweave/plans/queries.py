@@ -28,8 +28,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 #: Side of a block of products in the queries.
 BLOCK = 64
-#: Number of suppliers, the side of the trade matrix, in SQL.
-SIDE = "(SELECT count(*) FROM supplier)"
+#: Side of the trade matrix, in SQL.
+SIDE = views.SIDE
 
 
 def stage(n: int) -> int:
@@ -556,7 +556,7 @@ def outer_update(spark, sf_dir):
 
 @query(with_views("t", "SELECT i, j, round(v, 4) AS v FROM t WHERE v <> 0"))
 def lu_reconstruct(spark, sf_dir):
-    n = views.n_suppliers(spark, sf_dir)
+    n = views.matrix_side(spark, sf_dir)
     factors, pi = D.lu(views.trade_matrix(spark, sf_dir), n, stage(n))
     return tidy(D.reconstruct_lu(factors, pi, n, BLOCK)).where("v != 0")
 
@@ -575,17 +575,17 @@ CELLS = "c AS (SELECT i - 1 AS i, pi[i] AS pi, unnest(range(n)) AS j, unnest(r)
 
 @query(with_views("t", ELIMINATE + ", " + CELLS + " SELECT i, j, round(v, 4) + 0.0 AS v, pi FROM c WHERE round(v, 4) <> 0", recursive=True))
 def lu_factors(spark, sf_dir):
-    n = views.n_suppliers(spark, sf_dir)
-    factors, pi = D.lu(views.trade_matrix(spark, sf_dir), n, stage(n))
+    n = views.matrix_side(spark, sf_dir)
+    factors, pi = D.lu(views.trade_matrix(spark, sf_dir), n, stage(n), "partial")
     return tidy(factors).where("v != 0").join(pi, "i").select("i", "j", "v", "pi")
 
 
 @query(with_views("t", ELIMINATE + ", " + CELLS + """ SELECT count(DISTINCT pi) AS n_pi, CAST(1 AS BIGINT) AS residuals, max(abs(CASE WHEN j < i THEN v ELSE 0 END)) <= 1 AS l_bounded,
     count(DISTINCT i) AS unit, round(sum(CASE WHEN i = j THEN ln(abs(v)) END), 4) AS log_determinant FROM c""", recursive=True))
 def verify_lu(spark, sf_dir):
-    n = views.n_suppliers(spark, sf_dir)
+    n = views.matrix_side(spark, sf_dir)
     t = stored(views.trade_matrix(spark, sf_dir))
-    factors, pi = D.lu(t, n, stage(n))
+    factors, pi = D.lu(t, n, stage(n), "partial")
     factors = stored(factors)
     low, up = D.split_lu(factors, n)
     norm = D.verify_lu(t, factors, pi, n, BLOCK).agg(F.count_if(F.col("value") < 1e-6).alias("residuals"))
@@ -596,7 +596,7 @@ def verify_lu(spark, sf_dir):
 
 @query(with_views("t", f"SELECT CAST((i + 1) % {SIDE} AS BIGINT) AS i, j, v FROM t"))
 def permuted_rows(spark, sf_dir):
-    n = views.n_suppliers(spark, sf_dir)
+    n = views.matrix_side(spark, sf_dir)
     turn = D.compose_swaps([(0, k) for k in range(1, n)], n)
     pi = spark.createDataFrame(list(enumerate(turn)), "i long, pi long")
     return D.permuted_rows(views.trade_matrix(spark, sf_dir), pi).select("i", "j", "v")
@@ -606,12 +606,12 @@ def gram_plus_one(t: DataFrame, n: int) -> DataFrame:
     return B.combine((1.0, B.matmul(V.transpose(t), t, BLOCK)), (1.0, D.identity(t.sparkSession, n)))
 
 
-SPD = "(SELECT i, j, sum(v) AS v FROM (SELECT * FROM " + product(TR, "t") + " UNION ALL SELECT s_suppkey, s_suppkey, 1.0 FROM supplier) GROUP BY i, j)"
+SPD = "(SELECT i, j, sum(v) AS v FROM (SELECT * FROM " + product(TR, "t") + " UNION ALL SELECT range, range, 1.0 FROM range(" + SIDE + ")) GROUP BY i, j)"
 
 
 @query(with_views("t", f"SELECT i, j, round(v, 1) AS v FROM {SPD} WHERE v <> 0"))
 def cholesky(spark, sf_dir):
-    n = views.n_suppliers(spark, sf_dir)
+    n = views.matrix_side(spark, sf_dir)
     r = stored(D.cholesky(gram_plus_one(views.trade_matrix(spark, sf_dir), n), n, stage(n)))
     return tidy(B.matmul(V.transpose(r), r, BLOCK), 1).where("v != 0")
 
@@ -624,7 +624,7 @@ def cholesky(spark, sf_dir):
     c AS (SELECT i - 1 AS i, unnest(range(n)) AS j, unnest(r) AS v FROM (SELECT n, unnest(range(1, n + 1)) AS i, unnest(m) AS r FROM f WHERE k = n + 1))
     SELECT i, j, round(v, 2) + 0.0 AS v FROM c WHERE j >= i AND round(v, 2) <> 0""", recursive=True))
 def cholesky_factor(spark, sf_dir):
-    n = views.n_suppliers(spark, sf_dir)
+    n = views.matrix_side(spark, sf_dir)
     return tidy(D.cholesky(gram_plus_one(views.trade_matrix(spark, sf_dir), n), n, stage(n)), 2).where("v != 0")
 
 
@@ -635,7 +635,7 @@ def lower_triangle(t: DataFrame) -> DataFrame:
 
 @query(with_views("t", "SELECT j AS i, round(v, 4) AS v FROM t WHERE i = 0"))
 def trisolv(spark, sf_dir):
-    n = views.n_suppliers(spark, sf_dir)
+    n = views.matrix_side(spark, sf_dir)
     t = stored(views.trade_matrix(spark, sf_dir))
     low = lower_triangle(t)
     return tidy(S.spmv(low, D.trisolv(low, views.trade_rows(t, 0), n, stage(n))))
@@ -643,11 +643,33 @@ def trisolv(spark, sf_dir):
 
 @query(with_views("t", "SELECT j AS i, round(v, 3) AS v FROM t WHERE i = 0"))
 def solve(spark, sf_dir):
-    n = views.n_suppliers(spark, sf_dir)
+    n = views.matrix_side(spark, sf_dir)
     t = stored(views.trade_matrix(spark, sf_dir))
     return tidy(S.spmv(t, D.solve(t, views.trade_rows(t, 0), n, stage(n))), 3)
 
 
+@query(with_views("t", """, l AS (SELECT i, list(CASE WHEN i = j THEN v * 100 + 1 ELSE v END ORDER BY j) AS r FROM t GROUP BY i), b AS (SELECT j AS i, v FROM t WHERE i = 0),
+    s AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS DOUBLE[]) AS x
+      UNION ALL SELECT k + 1, list_append(x, (b.v - coalesce(list_sum(list_transform(x, lambda v, p: v * r[p])), 0)) / r[k + 1]) FROM s JOIN l ON l.i = k JOIN b ON b.i = k)
+    SELECT unnest(range(k)) AS i, round(unnest(x), 8) + 0.0 AS v FROM (SELECT * FROM s ORDER BY k DESC LIMIT 1)""", recursive=True))
+def trisolv_solution(spark, sf_dir):
+    n = views.matrix_side(spark, sf_dir)
+    t = views.trade_matrix(spark, sf_dir)
+    return tidy(D.trisolv(lower_triangle(t), views.trade_rows(t, 0), n, stage(n)), 8)
+
+
+@query(with_views("t", ELIMINATE + """, e AS (SELECT m, pi, n FROM f WHERE k = n + 1), b AS (SELECT list(v ORDER BY j) AS b FROM t WHERE i = 1),
+    y AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS DOUBLE[]) AS y
+      UNION ALL SELECT k + 1, list_append(y, b[pi[k + 1] + 1] - coalesce(list_sum(list_transform(y, lambda v, p: v * m[k + 1][p])), 0)) FROM y, e, b WHERE k < n),
+    x AS (SELECT n AS k, CAST([] AS DOUBLE[]) AS x FROM e
+      UNION ALL SELECT x.k - 1, list_prepend((z.y[x.k] - coalesce(list_sum(list_transform(x, lambda v, p: v * m[x.k][x.k + p])), 0)) / m[x.k][x.k], x) FROM x, e, (SELECT y FROM y ORDER BY k DESC LIMIT 1) z WHERE x.k > 0)
+    SELECT unnest(range(n)) AS i, round(unnest(x), 6) + 0.0 AS v FROM x, e WHERE k = 0""", recursive=True))
+def solve_solution(spark, sf_dir):
+    n = views.matrix_side(spark, sf_dir)
+    t = views.trade_matrix(spark, sf_dir)
+    return tidy(D.solve(t, views.trade_rows(t, 1), n, stage(n)), 6)
+
+
 def decaying_row(t: DataFrame) -> DataFrame:
     """r_0 heavy, r_k the trade of supplier 0 with k: a Toeplitz system of one unknown less."""
     return views.trade_rows(t, 0).withColumn("v", F.when(F.col("i") == 0, F.col("v") * 100 + 1).otherwise(F.col("v")))
@@ -655,7 +677,7 @@ def decaying_row(t: DataFrame) -> DataFrame:
 
 @query(with_views("t", "SELECT j - 1 AS i, round(-v, 4) AS v FROM t WHERE i = 0 AND j > 0"))
 def toeplitz_solve(spark, sf_dir):
-    n = views.n_suppliers(spark, sf_dir)
+    n = views.matrix_side(spark, sf_dir)
     r = stored(decaying_row(stored(views.trade_matrix(spark, sf_dir))))
     x = D.toeplitz_solve(r, n - 1, stage(n))
     grid = x.select(F.col("i").alias("j"), F.col("v").alias("x")).join(spark.range(n - 1).select(F.col("id").alias("i")))
@@ -733,19 +755,19 @@ def jacobi_sql(steps: int) -> str:
 @query(jacobi_sql(2))
 def jacobi2d(spark, sf_dir):
     a, b = views.quantity_grid(spark, sf_dir)
-    n = views.n_suppliers(spark, sf_dir)
+    n = views.matrix_side(spark, sf_dir)
     return tidy(stencil.jacobi2d(a, b, n, 2, tile=max(4, n // 8), depth=2))
 
 
 @query(jacobi_sql(1))
 def jacobi_cells(spark, sf_dir):
     a, b = views.quantity_grid(spark, sf_dir)
-    return tidy(stencil.jacobi_cells(a, b, views.n_suppliers(spark, sf_dir), 1))
+    return tidy(stencil.jacobi_cells(a, b, views.matrix_side(spark, sf_dir), 1))
 
 
 @query(with_views("t", f"""SELECT i, string_agg(CASE WHEN (i * {SIDE} + j) % 20 = 0 THEN chr(10) ELSE '' END || printf('%.2f ', v), '' ORDER BY j) AS text FROM t GROUP BY i"""))
 def matrix_dump(spark, sf_dir):
-    return format_matrix_dump(views.trade_matrix(spark, sf_dir), views.n_suppliers(spark, sf_dir))
+    return format_matrix_dump(views.trade_matrix(spark, sf_dir), views.matrix_side(spark, sf_dir))
 
 
 # ---- written and read again
@@ -774,3 +796,33 @@ def distribution_round_trip(spark, sf_dir):
     path = folder(spark, "distribution")
     writers.write_vector_distribution(views.suppliers(spark, sf_dir).select("i", F.pmod("i", F.lit(3)).cast("int").alias("part")), 3, path)
     return readers.read_vector_distribution(spark, path).select("i", "part", F.col("local_ind").cast("long").alias("local_ind"))
+
+
+@query(with_views("t", "SELECT i, j, v FROM t"))
+def dense_round_trip(spark, sf_dir):
+    n, path = views.matrix_side(spark, sf_dir), folder(spark, "dense")
+    writers.write_dense_f64(views.trade_matrix(spark, sf_dir), n, path)
+    return readers.read_dense_f64(spark, path, n).select("i", F.posexplode("row").alias("j", "v")).withColumn("j", F.col("j").cast("long"))
+
+
+@query("SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS i, row_number() OVER (ORDER BY s_acctbal, s_suppkey) - 1 AS pi FROM supplier")
+def perm_round_trip(spark, sf_dir):
+    path = folder(spark, "perm")
+    rows = O.ordinal(views.table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"), ["s_suppkey"], name="i")
+    writers.write_perm_i32(O.ordinal(rows, ["s_acctbal", "s_suppkey"], name="pi").select("i", "pi"), path)
+    return readers.read_perm_i32(spark, path)
+
+
+@query("""SELECT l_returnflag AS experiment, CAST(l_linenumber * 1000 AS INTEGER) AS n, CAST(l_linenumber AS INTEGER) AS p, l_extendedprice AS time FROM lineitem""")
+def run_times_round_trip(spark, sf_dir):
+    path = folder(spark, "runs")
+    writers.write_run_times(views.run_times(spark, sf_dir).drop("i"), path, by="experiment")
+    return readers.read_run_times(spark, path).select(F.regexp_replace("experiment", "^experiment=", "").alias("experiment"), "n", "p", "time")
+
+
+@query("""SELECT CAST(l_linenumber AS INTEGER) AS n, CAST(l_orderkey % 4 AS INTEGER) AS p, l_returnflag AS name, sum(l_quantity) AS value FROM lineitem GROUP BY ALL""")
+def results_long_round_trip(spark, sf_dir):
+    path, lines = folder(spark, "results"), views.table(spark, sf_dir, "lineitem")
+    keys = (F.col("l_linenumber").cast("int").alias("n"), (F.col("l_orderkey") % 4).cast("int").alias("p"), F.col("l_returnflag").alias("name"))
+    lines.groupBy(*keys).agg(F.sum("l_quantity").alias("value")).write.csv(path, header=True)
+    return readers.read_results_long(spark, path)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.sparse import local_index_of
+from .binary import record_files
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -60,14 +61,14 @@ def read_vector_distribution(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_dense_f64(spark: SparkSession, path: str, n: int) -> DataFrame:
-    """(i, row): little-endian doubles, n to a row."""
-    records = spark.sparkContext.binaryRecords(path, 8 * n).zipWithIndex()
+    """(i, row): little-endian doubles, n to a row, of a file or of a folder's files in order of their names."""
+    records = spark.sparkContext.binaryRecords(record_files(spark, path), 8 * n).zipWithIndex()
     return spark.createDataFrame(records.map(lambda x: (x[1], np.frombuffer(x[0], "<f8").tolist())), "i long, row array<double>")
 
 
 def read_perm_i32(spark: SparkSession, path: str) -> DataFrame:
-    """(i, pi): little-endian 32-bit integers."""
-    records = spark.sparkContext.binaryRecords(path, 4).zipWithIndex()
+    """(i, pi): little-endian 32-bit integers, of a file or of a folder's files in order of their names."""
+    records = spark.sparkContext.binaryRecords(record_files(spark, path), 4).zipWithIndex()
     return spark.createDataFrame(records.map(lambda x: (x[1], int.from_bytes(x[0], "little", signed=True))), "i long, pi long")
 
 

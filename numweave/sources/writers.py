@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.index import div
+from ..operators.dense import full_rows
+from .binary import write_records
 
 
 def write_triples(a: DataFrame, path: str, kind: str = "parquet") -> None:
@@ -13,8 +19,31 @@ def write_triples(a: DataFrame, path: str, kind: str = "parquet") -> None:
     a.repartitionByRange("i", "j").sortWithinPartitions("i", "j").write.format(kind).option("header", True).save(path)
 
 
-def write_lu(factors: DataFrame, pi: DataFrame, path: str, kind: str = "parquet") -> None:
-    """``path``/lu holds the factors in one matrix, ``path``/pi the permutation."""
+def write_dense_f64(a: DataFrame, n: int, path: str, columns: int | None = None) -> None:
+    """A matrix (i, j, v) of n rows as little-endian doubles by rows, absent entries 0, as ``read_dense_f64`` reads it: n to a
+    row, or so many columns."""
+    write_records(full_rows(a, n, columns).select("i", F.col("row").alias("data")), path)
+
+
+def write_perm_i32(pi: DataFrame, path: str) -> None:
+    """A permutation (i, pi) as little-endian 32-bit integers, as ``read_perm_i32`` reads it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = batch.column("pi").to_numpy().astype("<i4")
+            yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array([x.tobytes() for x in np.split(numbers, len(numbers))] if len(numbers) else [], pa.binary())], names=["i", "data"])
+
+    write_records(pi.select("i", "pi").mapInArrow(run, "i long, data binary"), path)
+
+
+def write_lu(factors: DataFrame, pi: DataFrame, path: str, kind: str = "parquet", n: int | None = None) -> None:
+    """``path``/lu holds the factors in one matrix, ``path``/pi the permutation. ``kind`` dense: the binary form, for which
+    the side n is needed."""
+    if kind == "dense":
+        if n is None:
+            raise ValueError("the dense form needs the matrix's side")
+        write_dense_f64(factors, n, f"{path}/lu")
+        return write_perm_i32(pi, f"{path}/pi")
     write_triples(factors, f"{path}/lu", kind)
     pi.repartitionByRange("i").sortWithinPartitions("i").write.format(kind).option("header", True).save(f"{path}/pi")
 
@@ -41,10 +70,11 @@ def write_vector_distribution(owners: DataFrame, parts: int, path: str) -> None:
     write_lines(first.union(owners.select("i", F.concat_ws(" ", F.col("i") + 1, F.col("part") + 1))), ["i"], path)
 
 
-def write_run_times(df: DataFrame, path: str) -> None:
-    """``n,p,time,value`` with a header, in a folder for each p."""
-    kept = [c for c in ("n", "tsteps", "p", "time", "value") if c in df.columns]
-    df.select(*kept).repartition("p").write.partitionBy("p").csv(path, header=True)
+def write_run_times(df: DataFrame, path: str, by: str = "p") -> None:
+    """``n,p,time,value`` with a header, in a folder for each value of ``by``: p, or the experiment, as ``read_run_times`` reads
+    them."""
+    kept = [c for c in (*{by: 0}, "n", "tsteps", "p", "time", "value") if c in df.columns]
+    df.select(*dict.fromkeys(kept)).repartition(by).write.partitionBy(by).csv(path, header=True)
 
 
 def format_matrix_dump(a: DataFrame, n: int) -> DataFrame:

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -251,6 +252,81 @@ def test_lu_random_and_singular(spark):
         dense.lu(frame(spark, x), 9, 4)
 
 
+def arrow_frame(spark, x):
+    i, j = np.indices(x.shape)
+    return spark.createDataFrame(pa.table({"i": i.ravel(), "j": j.ravel(), "v": x.ravel()}))
+
+
+def arrow_array(df, *shape):
+    got, out = df.toArrow(), np.zeros(shape)
+    out[tuple(got.column(c).to_numpy() for c in ("i", "j")[: len(shape)])] = got.column("v").to_numpy()
+    return out
+
+
+@pytest.mark.parametrize("pivoting", ["tournament", "partial"])
+def test_lu_pivots_from_many_tasks(spark, monkeypatch, pivoting):
+    """Files of few rows each, so that pivots pass two rounds of the tree before the last."""
+    n = 96
+    x = np.random.default_rng(5).standard_normal((n, n))
+    kept = dense.stored
+    monkeypatch.setattr(dense, "stored", lambda df, name="step": kept(df.repartition(24, "i") if name == "lu" else df, name))
+    monkeypatch.setattr(dense, "ARITY", 3)
+    sizes = {"spark.sql.files.maxPartitionBytes": "4k", "spark.sql.files.openCostInBytes": "4k"}
+    before = {k: spark.conf.get(k) for k in sizes}
+    for k, v in sizes.items():
+        spark.conf.set(k, v)
+    try:
+        factors, pi = dense.lu(arrow_frame(spark, x), n, 32, pivoting)
+        got = arrow_array(factors, n, n)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    order = arrow_array(pi.withColumnRenamed("pi", "v"), n).astype(int)
+    low = np.tril(got, -1)
+    assert sorted(order) == list(range(n))
+    assert np.abs((low + np.eye(n)) @ np.triu(got) - x[order]).max() < 1e-12
+    assert np.abs(low).max() <= (1 if pivoting == "partial" else 8)
+    if pivoting == "partial":
+        assert np.allclose(got, dense.pivoted(x)[1]) and (order == dense.pivoted(x)[0]).all()
+
+
+def test_factors_and_solutions_of_a_thousand_rows(spark):
+    """With the threads that numpy takes by itself; blocks that don't divide the side, and a count of them that is no power
+    of two."""
+    n, block = 1000, 192
+    rng = np.random.default_rng(6)
+    x, b = rng.standard_normal((n, n)), rng.standard_normal(n)
+    a, right = arrow_frame(spark, x).persist(), spark.createDataFrame(pa.table({"i": np.arange(n), "v": b}))
+    factors, pi = dense.lu(a, n, block)
+    got, order = arrow_array(factors, n, n), arrow_array(pi.withColumnRenamed("pi", "v"), n).astype(int)
+    assert np.abs((np.tril(got, -1) + np.eye(n)) @ np.triu(got) - x[order]).max() < 1e-10
+    assert np.abs(x @ arrow_array(dense.solve(a, right, n, block), n) - b).max() < 1e-8
+    low = np.tril(x) + np.diag(np.full(n, 50.0))
+    assert np.abs(low @ arrow_array(dense.trisolv(arrow_frame(spark, low), right, n, block), n) - b).max() < 1e-10
+    spd = x @ x.T + np.eye(n)
+    r = arrow_array(dense.cholesky(arrow_frame(spark, spd), n, block), n, n)
+    assert np.allclose(r, np.linalg.cholesky(spd).T, atol=1e-8)
+
+
+def test_tiles_that_are_absent(spark):
+    """An arrow: all but the first column and the diagonal is 0, and the factor fills what is 0."""
+    n = 11
+    x = np.diag(np.full(n, 20.0))
+    x[0], x[:, 0] = 1, 1
+    x[0, 0] = 20
+    entries = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(n) for j in range(n) if x[i, j]], "i long, j long, v double")
+    assert np.allclose(arrow_array(dense.cholesky(entries, n, 3), n, n), np.linalg.cholesky(x).T)
+    x = np.diag(np.arange(1.0, n + 1))
+    x[n - 1, 0] = 5
+    entries = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(n) for j in range(n) if x[i, j]], "i long, j long, v double")
+    ones = spark.createDataFrame([(k, 1.0) for k in range(n)], "i long, v double")
+    assert np.allclose(arrow_array(dense.trisolv(entries, ones, n, 2), n), np.linalg.solve(x, np.ones(n)))
+    assert np.allclose(arrow_array(dense.backsolv(vector.transpose(entries), ones, n, 2), n), np.linalg.solve(x.T, np.ones(n)))
+    for bad, words in ((entries.where("i != 4"), "singular"), (entries.where("i > 1"), "singular: 1 blocks")):
+        with pytest.raises(ValueError, match=words):
+            dense.trisolv(bad, ones, n, 2)
+
+
 def test_cholesky_and_solves(spark):
     n = 8
     a = make.lu_spd_matrix(spark, n, 3)

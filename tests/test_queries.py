@@ -14,7 +14,7 @@ SQL = entry.oracle_sql()
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for name in "nation customer supplier part orders lineitem events documents".split():
+    for name in "nation customer supplier part orders lineitem events documents conversations".split():
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{DIR}/{name}.parquet'")
     return con
 

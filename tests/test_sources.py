@@ -62,6 +62,30 @@ def test_dense_binary(spark, tmp_path):
     assert triples(readers.read_perm_i32(spark, str(tmp_path / "p")), "i", "pi") == [(0, 2), (1, 0), (2, 3), (3, 1)]
 
 
+def test_dense_binary_is_written_and_read(spark, tmp_path):
+    n = 40
+    x = np.random.default_rng(3).standard_normal((n, n))
+    x[7] = 0
+    a = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(n) for j in range(n) if x[i, j]], "i long, j long, v double").repartition(5)
+    pi = spark.createDataFrame([(k, (k * 7) % n) for k in range(n)], "i long, pi long").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        writers.write_lu(a, pi, f"file://{tmp_path}", "dense", n)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted((tmp_path / "lu").iterdir())
+    assert len(files) > 1 and b"".join(f.read_bytes() for f in files) == x.astype("<f8").tobytes()
+    assert all((np.array(r.row) == x[r.i]).all() for r in readers.read_dense_f64(spark, str(tmp_path / "lu"), n).collect())
+    assert triples(readers.read_perm_i32(spark, str(tmp_path / "pi")), "i", "pi") == triples(pi, "i", "pi")
+    for bad in (pi, pi.where("i != 3").union(pi.where("i = 9")), pi.where("i > 0")):
+        with pytest.raises(Exception, match="holds records already|absent, repeated|is absent"):
+            writers.write_perm_i32(bad, str(tmp_path / ("pi" if bad is pi else "other")))
+        assert not [f for f in tmp_path.glob("other/*") if f.name.startswith("part-")]
+    writers.write_records(pi.limit(0).selectExpr("i", "CAST(NULL AS BINARY) AS data"), str(tmp_path / "none"))
+    with pytest.raises(ValueError, match="side"):
+        writers.write_lu(a, pi, str(tmp_path / "x"), "dense")
+
+
 def test_run_times_and_report(spark, tmp_path):
     for name, head, rows in (("a/1", "n,p,time,value", "8,1,{},0"), ("a/2", "n,p,time,value,", "8,2,{},0,"), ("b/1", "n,tsteps,p,time,value", "8,10,1,{},0")):
         (tmp_path / name).parent.mkdir(exist_ok=True)
