@@ -24,9 +24,9 @@ from .components import components
 #: Most words of a phrase.
 LONGEST = 4
 #: Bytes of text that a task encodes at once; a longer text is cut between pieces, where no phrase reaches across.
-PART = 8_000_000
+PART = 4_000_000
 #: Words of a part whose edges are sorted at once.
-SLICE = 1 << 19
+SLICE = 1 << 18
 #: Edges of a bucket, about; a pair of words that may have more is dealt out over several.
 BUCKET = 1 << 20
 #: The lowest bit of a word's code: its piece ends with it.
@@ -93,11 +93,7 @@ def encoded(docs: DataFrame) -> DataFrame:
             starts, ends, last = words_of(text, at)
             langs = pc.dictionary_encode(chunk.column("lang").combine_chunks())
             offsets = np.append(0, np.cumsum(ends - starts))
-            kept = np.zeros(len(text) + 1, np.int8)
-            np.add.at(kept, starts, 1)
-            np.add.at(kept, ends, -1)
-            kept = np.cumsum(kept[:-1], dtype=np.int8).view(bool)
-            column = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.tobytes()), pa.py_buffer(text[kept].tobytes()))
+            column = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.tobytes()), pa.py_buffer(text[KIND[text] == 0].tobytes()))
             found = pc.dictionary_encode(column)
             lang = langs.indices.to_numpy()[np.searchsorted(at, starts, "right") - 1].astype(np.int64)
             both, number, count = np.unique(lang << 32 | found.indices.to_numpy().astype(np.int64), return_inverse=True, return_counts=True)
