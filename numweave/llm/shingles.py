@@ -21,9 +21,9 @@ from .common import fresh, stored
 from .components import components
 
 SEED = simhash.SEED
-#: Documents whose shingles are counted to tell common ones, and most common shingles sent to the executors. Both touch
-#: the order of shingles only, so the work and never the result.
-SAMPLE, COMMON = 1 << 13, 1 << 17
+#: Slots of the table that tells common shingles from rare ones, and of one of its blocks. It touches the order of shingles
+#: only, so the work and never the result.
+SLOTS, SLOT_BLOCK = 1 << 22, 1 << 14
 #: Bits of a set's bitmap, which bounds what two sets share.
 BITS = 1024
 #: Most ids of texts that are broadcast.
@@ -63,30 +63,45 @@ def prefix_size(n: int, least: float) -> int:
     return n - math.ceil(least * n - 1e-9) + 1
 
 
-def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes ascending, counts) of shingles that several sampled documents hold."""
-    share = int(min(1.0, SAMPLE / max(1, docs.count())) * (1 << 30))
+def slot_counts(docs: DataFrame, shingle: int) -> np.ndarray:
+    """How often the shingles of all documents fall into each of SLOTS slots of their hash, in steps of a logarithm: each task
+    counts its own, blocks of slots are added up, and a byte a slot is what reaches the driver."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, np.uint32)
+        for batch in batches:
+            for k in range(0, len(batch), 256):
+                sets = [shingle_set(x.as_py(), shingle) for x in batch.column("text").slice(k, 256)]
+                slots, often = np.unique(np.concatenate(sets) % np.uint64(SLOTS), return_counts=True)
+                counts[slots.astype(np.int64)] += often.astype(np.uint32)
+        blocks = counts.reshape(-1, SLOT_BLOCK)
+        for k in np.flatnonzero(blocks.any(1)).tolist():
+            planes = np.ascontiguousarray(blocks[k].view(np.uint8).reshape(-1, 4).T)  # upper bytes are mostly 0, which Spark packs
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([planes.tobytes()])], names=["block", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            sets = [shingle_set(x.as_py(), shingle) for x in batch.column("text")]
-            if sets:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["h"])
+            for k, planes in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
+                counts = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+                totals[k] = totals.get(k, 0) + counts.astype(np.int64)
+        steps = [np.minimum(255, 8 * np.log2(1 + x)).astype(np.uint8).tobytes() for x in totals.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(steps, pa.binary())], names=["block", "counts"])
 
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
-    counted = drawn.mapInArrow(run, "h long").groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(COMMON).toPandas()
-    h, n = counted["h"].to_numpy(np.int64).view(np.uint64), counted["count"].to_numpy(np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
+    schema, out = "block int, counts binary", np.zeros(SLOTS, np.uint8)
+    got = docs.select("text").mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).toArrow()
+    for k, steps in zip(got.column("block").to_pylist(), got.column("counts").to_pylist()):
+        out[k * SLOT_BLOCK : (k + 1) * SLOT_BLOCK] = np.frombuffer(steps, np.uint8)
+    return out
 
 
 def prefixes(docs: DataFrame, shingle: int, least: float) -> DataFrame:
     """(doc_id, node, fp, n, bits, keys): the set's name, the fingerprint, the set's size and bitmap, and its first
-    shingles, rare ones before common ones."""
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
+    shingles, those of rarely hit slots first."""
+    told = docs.sparkSession.sparkContext.broadcast(slot_counts(docs, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = common.value
+        often = told.value
         for batch in batches:
             nodes, prints, sizes, bits, keys = [], [], [], [], []
             for x in batch.column("text"):
@@ -95,9 +110,7 @@ def prefixes(docs: DataFrame, shingle: int, least: float) -> DataFrame:
                 prints.append(fp)
                 sizes.append(len(found))
                 bits.append(bitmap(found))
-                if len(known) and len(found):
-                    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
-                    found = found[np.argsort(np.where(known[at] == found, counts[at], 0), kind="stable")]
+                found = found[np.argsort(often[(found % np.uint64(SLOTS)).astype(np.int64)], kind="stable")]
                 keys.append(found[: prefix_size(len(found), least)].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(keys, pa.binary())], names=["doc_id", "node", "fp", "n", "bits", "keys"])
 
