@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.order import ordinal
 from .common import by_key, chunks, stored, utf8
 
 GRAM = 16
@@ -379,8 +380,9 @@ def earlier_windows(doc: np.ndarray, n: np.ndarray, data: np.ndarray, length: in
     return segment[found], place[found] - begin[segment[found]]
 
 
-def meet_segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(doc, starts, ends) of what an earlier document covers, part by part."""
+def meet_segments(batches: Iterator[pa.RecordBatch], length: int, own: int = 0) -> Iterator[pa.RecordBatch]:
+    """(doc, starts, ends) of what an earlier document covers, part by part. The lowest ``own`` bits of doc tell rows of one
+    document apart and make none earlier."""
     names = ["doc", "starts", "ends"]
     for table in by_key(batches, ["part"]):
         held = [[y.astype(np.int64) if k < 3 else y for k, y in enumerate(unpack(x))] for x in table.column("data").to_pylist()]
@@ -394,12 +396,13 @@ def meet_segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
         content = contents(gram_hashes(data), begin, n, length)
         order = np.lexsort((doc, content))
         new = firsts(content[order])
-        least = np.repeat(doc[order][new], np.diff(np.append(np.flatnonzero(new), len(order))))
+        rank = doc >> own
+        least = np.repeat(rank[order][new], np.diff(np.append(np.flatnonzero(new), len(order))))
         same = alike(data, begin, size, order, new)
-        later = order[same & (doc[order] > least)]
-        kept = order[~same | (doc[order] == least)]
+        later = order[same & (rank[order] > least)]
+        kept = order[~same | (rank[order] == least)]
         kept = kept[np.argsort(doc[kept], kind="stable")]
-        segment, window = earlier_windows(doc[kept], n[kept], data[ragged(begin[kept], size[kept])], length)
+        segment, window = earlier_windows(rank[kept], n[kept], data[ragged(begin[kept], size[kept])], length)
         by = np.lexsort((window, segment))
         segment, window = segment[by], window[by]
         a = np.flatnonzero(firsts(segment, window - np.arange(len(window))))
@@ -442,13 +445,28 @@ def digest_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns), pa.array([hashlib.sha256(k).hexdigest() for k in kept])], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def told_apart(rows: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """``rows`` (doc, text) and ``named`` (doc, n, h) with a number of its own for each different text of an id, and how many
+    of its lowest bits tell the texts of one id apart. Where no id has two texts all stays as it is, and the bits are 0;
+    else the number is the place of the id among all, then that of the text, and ``id`` holds the id."""
+    texts = named.select("doc", "h").distinct()
+    most = texts.groupBy("doc").count().agg(F.max("count")).first()[0] or 1
+    if most == 1:
+        return rows, named, 0
+    own = (most - 1).bit_length()
+    places = ordinal(texts, ["h"], ("doc",), "k").join(ordinal(texts.select("doc").distinct(), ["doc"], (), "rank"), "doc")
+    places = stored(places.select(F.col("doc").alias("id"), "h", F.shiftleft("rank", own).bitwiseOR(F.col("k")).alias("doc")), "places")
+    rows = rows.withColumnRenamed("doc", "id").withColumn("h", F.unhex(F.sha2("text", 256))).join(places, ["id", "h"], "left").drop("h")
+    return rows, named.withColumnRenamed("doc", "id").join(places, ["id", "h"]).drop("id"), own
+
+
 def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, parts: int | None = None) -> DataFrame:
     """``doc``, ``text``, ``starts``, ``ends``: rows with the byte ranges to cut (null lists: none); ranges may overlap.
 
     A byte goes if a string of ``length`` bytes over it also starts in a document with a smaller id; the first copy
     stays. Null texts count as empty; texts under ``length`` bytes lose nothing; rows with a null id lose nothing and
-    take nothing from others. Rows with one id count as one document: none is cut for the other's sake, and each loses
-    the ranges found in any of them. Documents meet by anchor only, combined in each task before the shuffle. An anchor
+    take nothing from others. Rows with one id are one document: none is cut for the other's sake, and each loses what
+    its own text shares with a smaller id (``told_apart``). Documents meet by anchor only, combined in each task before the shuffle. An anchor
     in very many documents (over 1000, and fewer than MOST_HOT such anchors in all) is dealt out by whole windows.
 
     Copies of whole texts are told by SHA-256 and go at once; equal segments that meet are compared byte by byte, and only
@@ -459,11 +477,13 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError(f"length must be {2 * GRAM} at least")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    known = rows.where("doc IS NOT NULL")
+    named = stored(rows.where("doc IS NOT NULL").select("doc", F.octet_length("text").cast("long").alias("n"), F.unhex(F.sha2("text", 256)).alias("h")), "named")
+    rows, named, own = told_apart(rows, named)
+    known = rows.where("doc IS NOT NULL").select("doc", "text")
     # later copies of a whole text go as a whole; of their group only the first is compared
-    named = stored(known.where(F.octet_length("text") >= length).select("doc", F.octet_length("text").cast("long").alias("n"), F.unhex(F.sha2("text", 256)).alias("h")), "named")
-    first = stored(named.groupBy("h", "n").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last"), "first")
-    copies = named.join(first, ["h", "n"]).where("doc > first").select("doc", F.array(F.lit(0).cast("long")).alias("starts"), F.array("n").alias("ends"))
+    named, rank = named.where(F.col("n") >= length), F.shiftright("doc", own)
+    first = stored(named.groupBy("h", "n").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first < last").drop("last"), "first")
+    copies = named.join(first, ["h", "n"]).where(rank > F.col("first")).select("doc", F.array(F.lit(0).cast("long")).alias("starts"), F.array("n").alias("ends"))
     size = named.agg(F.sum("n")).first()[0] or 0
     parts = parts or 8 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / (8 * PART)))
     tasks = min(math.ceil(parts / 8), MOST_TASKS)
@@ -479,11 +499,12 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     by_doc = met.where("doc IS NOT NULL").select("doc", "anchors").join(copies.select("doc"), "doc", "left_anti")
     # both joins read this one exchange of the texts, so nothing is filtered between it and Python
     placed = rows.repartition("doc")
-    found = placed.join(by_doc.hint("shuffle_hash"), "doc", "left")
+    found = placed.join(by_doc.hint("shuffle_hash"), "doc", "left").select("doc", "text", "anchors")
     segments = found.mapInArrow(lambda x: send_segments(x, length, parts, hot.value), "part int, data binary")
-    covered = segments.repartition(tasks, spread("data")).sortWithinPartitions("part").mapInArrow(lambda x: meet_segments(x, length), "doc long, starts array<long>, ends array<long>")
+    covered = segments.repartition(tasks, spread("data")).sortWithinPartitions("part").mapInArrow(lambda x: meet_segments(x, length, own), "doc long, starts array<long>, ends array<long>")
     ranges = covered.union(copies).groupBy("doc").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
-    return placed.join(ranges.hint("shuffle_hash"), "doc", "left").select("doc", "text", "starts", "ends")
+    whose = F.col("id" if own else "doc").alias("doc")
+    return placed.join(ranges.hint("shuffle_hash"), "doc", "left").select(whose, "text", "starts", "ends")
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:

@@ -65,6 +65,24 @@ def test_substrings_odd_tables(empty, awkward):
     assert [r.n_removed for r in got if r.doc_id is None] == [0]
 
 
+def test_substrings_of_rows_that_share_an_id(spark):
+    """Each row loses what its own text shares with smaller ids; rows of one id take nothing from each other."""
+    rng = random.Random(9)
+    a, b, c, d = ("".join(rng.choices("abcdefghijklmnop ", k=200)) for _ in range(4))
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, c + b + d), (3, "short"), (4, a[50:150] + c), (4, d + c), (4, None), (5, c), (-7, d[100:])]
+    got = sorted(tuple(r) for r in substrings.dedup_digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    want = []
+    for i, text in rows:
+        data, before = (text or "").encode(), [(t or "").encode() for k, t in rows if k < i]
+        covered = bytearray(len(data))
+        for k in range(len(data) - 49):
+            if any(data[k : k + 50] in t for t in before):
+                covered[k : k + 50] = b"\1" * 50
+        spans = sum(x and not (k and covered[k - 1]) for k, x in enumerate(covered))
+        want.append((i, len(data), sum(covered), spans, plain.sha(bytes(x for x, y in zip(data, covered) if not y))))
+    assert got == sorted(want)
+
+
 @given(st.lists(st.text("ab", max_size=150), min_size=1, max_size=6), st.integers(32, 50))
 @settings(max_examples=40, deadline=None)
 def test_previous_factor_finds_earlier_windows(texts, length):
