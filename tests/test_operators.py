@@ -140,6 +140,46 @@ def test_correlation_and_covariance(spark):
     assert np.allclose(to_array(stats.covariance_matrix(df, ["a", "b", "c"]), 3, 3), np.cov(x.T))
 
 
+def test_moments_of_many_columns_with_gaps(spark, monkeypatch):
+    """More columns than a block has, means far from 0, and values absent here and there: the pairs of each two columns count."""
+    monkeypatch.setattr(stats, "PAIRS", 7)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 20)) * rng.uniform(0.1, 9, 20) + 1e7
+    x[:, 3] = x[:, 2] * 2 + rng.normal(size=400)
+    holes = rng.random(x.shape) < 0.1
+    columns = [f"c{k}" for k in range(20)] + ["one", "none", "same"]
+    rows = [[None if h else float(v) for v, h in zip(r, gap)] + [5.0 if k == 9 else None, None, 3.0] for k, (r, gap) in enumerate(zip(x, holes))]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in columns)).repartition(5)
+    y = np.array([[np.nan if v is None else v for v in r] for r in rows])
+    for got, of in ((stats.covariance_matrix(df, columns), np.cov), (stats.correlation_matrix(df, columns), np.corrcoef)):
+        cells = {(r.i, r.j): r.v for r in got.collect()}
+        assert len(cells) == 23 * 23
+        for (i, j), v in cells.items():
+            both = ~np.isnan(y[:, i]) & ~np.isnan(y[:, j])
+            defined = both.sum() > 1 and (of is np.cov or (np.ptp(y[both, i]) > 0 and np.ptp(y[both, j]) > 0))
+            assert (v is None) == (not defined)
+            if defined:
+                assert v == pytest.approx(of(y[both, i], y[both, j])[0, 1], rel=1e-7, abs=1e-9)
+    assert [r.v for r in stats.covariance_matrix(df.limit(0), ["c0", "c1"]).collect()] in ([], [None] * 4)
+
+
+@pytest.mark.parametrize(("few", "slices"), [(4096, 1024), (5, 8), (1, 3)])
+def test_order_statistics_by_selection(spark, monkeypatch, few, slices):
+    """Every place of groups with steep, equal, huge and single values, and a null group; slices so few that many rounds follow."""
+    monkeypatch.setattr(stats, "FEW", few)
+    monkeypatch.setattr(stats, "SLICES", slices)
+    rng = np.random.default_rng(2)
+    groups = {None: rng.exponential(size=60) ** 6 * 1e9, 1: rng.integers(0, 3, 40), 2: [7.5], 3: [-1.7e308, 1.7e308, 0.0, 1e-300, -1e-300] * 3, 4: [2.0] * 30}
+    df = spark.createDataFrame([(g, float(v)) for g, x in groups.items() for v in x] + [(5, None), (1, None)], "g int, v double").repartition(3)
+    wanted = spark.createDataFrame([(g, k) for g in [*groups, 5] for k in (-1, 0, 1, 2, 7, 20, 29, 39, 59, 60)], "g int, place long")
+    got = {(r.g, r.place): r.v for r in stats.order_statistics(df, ["g"], "v", wanted).collect()}
+    assert got == {(g, k): sorted(map(float, x))[k] for g, x in groups.items() for k in (0, 1, 2, 7, 20, 29, 39, 59) if k < len(x)}
+    large, small = (f(df, ["g"], "v").where("n > 0").collect() for f in (stats.median_ci_large, stats.median_ci))
+    assert sorted(map(str, large)) == sorted(map(str, small))
+    whole = stats.median_ci_large(df.where("g = 1"), [], "v").first()
+    assert (whole.n, whole["median"]) == (40, np.median(groups[1]))
+
+
 # ---- graphs
 
 
