@@ -30,6 +30,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")), version=2)
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy does, and would do alone, from the ledger's bits."""
+    return quality.ablations(quality.ledger(table(spark, sf_dir, "documents")), version=2)
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(table(spark, sf_dir, "documents"))
 
@@ -90,6 +95,7 @@ QUERIES = {
         op3_simhash,
         op4_secret_scan,
         op5_quality_rules,
+        quality_ablations,
         op6_quality_classifier,
         op7_embedding_dedup,
         op8_line_dedup,
@@ -199,3 +205,11 @@ ORACLES = {
         SELECT w.c AS conv_id, CAST(w.d AS BIGINT) AS depth, parent AS parent_conv_id, n_convs, n_children, n_leaves, saved AS saved_tokens, ends AS ends_sha256
         FROM w JOIN sums ON sums.key = w.key AND sums.d = w.d""",
 }
+
+RULES = list(quality.POLICIES[2])  # in the order of their bits
+ORACLES["quality_ablations"] = f"""
+    WITH o AS ({ORACLES["op5_quality_rules"]}), r AS (SELECT unnest({RULES}) AS rule, unnest({[1 << k for k in range(len(RULES))]}) AS bit)
+    SELECT CAST(2 AS INTEGER) AS policy, count(*) AS n, CAST(count(*) FILTER (WHERE fail_bits <> 0) AS BIGINT) AS n_failed, rule,
+           count(*) FILTER (WHERE fail_bits & bit <> 0) AS failed, count(*) FILTER (WHERE fail_bits = bit) AS alone,
+           bool_or(fail_bits & bit <> 0) AS ever, bool_and(fail_bits & bit <> 0) AS always
+    FROM o, r GROUP BY rule"""
