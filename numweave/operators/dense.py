@@ -77,17 +77,6 @@ def from_rows(rows: DataFrame, n: int, index: str = "pos") -> DataFrame:
     return rows.mapInArrow(cells, "i long, j long, v double")
 
 
-def mapped(rows: DataFrame, n: int, change) -> DataFrame:
-    """change(pos, i, matrix) -> (pos, i, matrix) for some rows at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, n):
-            pos, i, x = change(batch.column("pos").to_numpy(), batch.column("i").to_numpy(), unpacked(batch.column("row"), n).copy())
-            yield pa.RecordBatch.from_arrays([pa.array(pos), pa.array(i), packed(x)], names=["pos", "i", "row"])
-
-    return rows.mapInArrow(run, ROWS)
-
-
 def full_rows(a: DataFrame, n: int, columns: int | None = None) -> DataFrame:
     """Rows 0 .. n-1 of n or so many columns, those without entries as zeros."""
     zeros = a.sparkSession.range(n).select(F.col("id").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0.0).alias("v"))
@@ -502,32 +491,69 @@ def toeplitz_solve(r: DataFrame, n: int, block: int = 256) -> DataFrame:
 def qr(a: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """Thin (Q, R) as triples with the diagonal of R positive, for many rows and n columns (n * n bounded by a panel).
 
-    Each task factors its own rows and keeps n by n; these meet in fewer tasks, then on the driver. Q = A R^-1, made
-    twice so that its columns are orthogonal to rounding.
+    A tree: each chunk of rows is factored on its own and keeps n by n; ARITY of these meet, are factored again, and so
+    on to one R. Each level's orthogonal factors stay, and Q is the chunks' own times those on their way up, so its
+    columns are orthogonal to rounding, however close to dependent the columns of A are. Chunks take 32 MB, or n rows
+    if those are more. Only R, n by n, reaches the driver.
     """
     if 8 * n * n > PANEL_MB << 20:
         raise ValueError("too many columns for a tall QR")
+    most = max(n, (32 << 20) // (8 * n))
+    node = "id long, up long, q binary, r binary"
+
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, k = [], 0, TaskContext.get().partitionId() << 32
+
+        def factored() -> pa.RecordBatch:
+            x = np.concatenate([unpacked(b.column("row"), n) for b in held])
+            i = np.concatenate([b.column("i").to_numpy() for b in held])
+            order = np.argsort(i)
+            q, r = np.linalg.qr(np.concatenate([x[order], np.zeros((max(0, n - len(x)), n))]))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k)), pa.array(i[order]), packed(q[: len(x)]), pa.array([r.tobytes()] + [None] * (len(x) - 1), pa.binary())], names=["id", "i", "row", "r"])
 
-    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = np.zeros((0, n))
         for batch in batches:
-            if len(batch):
-                x = np.frombuffer(b"".join(batch.column("row").to_pylist())).reshape(-1, n)
-                r = np.linalg.qr(np.vstack([r, x]), mode="r")
-        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in r], pa.binary())], names=["row"])
-
-    def triangle(rows: DataFrame) -> np.ndarray:
-        parts = rows.select("row").mapInArrow(squeeze, "row binary")
-        parts = parts.repartition(8).mapInArrow(squeeze, "row binary").toArrow().column("row").to_pylist()
-        r = np.linalg.qr(np.frombuffer(b"".join(parts)).reshape(-1, n), mode="r")
-        return r * np.where(np.diag(r) < 0, -1.0, 1.0)[:, None]
-
-    rows, r = stored(to_rows(a, n), "qr"), np.eye(n)
-    for _ in range(2):
-        own = triangle(rows)
-        if (np.abs(np.diag(own)) <= EPS).any():
+            for part in (batch.slice(a, most) for a in range(0, len(batch), most)):
+                held.append(part)
+                rows += len(part)
+                if rows >= most:
+                    yield factored()
+                    held, rows, k = [], 0, k + 1
+        if rows:
+            yield factored()
+
+    def joined(part: pa.Table) -> pa.Table:
+        part = part.sort_by("id")
+        q, r = np.linalg.qr(unpacked(part.column("r"), n * n).reshape(-1, n))
+        count = len(part)
+        return pa.table({"id": part.column("id"), "up": part.column("up"), "q": packed(q.reshape(count, n * n)), "r": pa.array([r.tobytes()] + [None] * (count - 1), pa.binary())})
+
+    def down(own: pa.Table, above: pa.Table) -> pa.Table:
+        top = np.frombuffer(above.column("q")[0].as_py()).reshape(n, n)
+        return pa.table({"id": own.column("id"), "q": pa.array([(np.frombuffer(x).reshape(n, n) @ top).tobytes() for x in own.column("q").to_pylist()], pa.binary())})
+
+    def turned_rows(own: pa.Table, above: pa.Table) -> pa.Table:
+        top = np.frombuffer(above.column("q")[0].as_py()).reshape(n, n)
+        return pa.table({"pos": own.column("i"), "i": own.column("i"), "row": packed(unpacked(own.column("row"), n) @ top)})
+
+    spark = a.sparkSession
+    rows = stored(to_rows(a, n).mapInArrow(leaves, "id long, i long, row binary, r binary"), "qr")
+    ends, levels = rows.where("r IS NOT NULL").select("id", "r"), []
+    while (count := ends.count()) > 1 or not levels:
+        groups = max(1, count // ARITY)
+        level = ends.withColumn("up", F.pmod(F.xxhash64("id", F.lit(len(levels))), F.lit(groups)))
+        levels.append(stored(level.groupBy("up").applyInArrow(joined, node), "qr"))
+        ends = levels[-1].where("r IS NOT NULL").select(F.col("up").alias("id"), "r")
+        if not count:
             raise ValueError("the columns are dependent")
-        inverse, r = np.linalg.inv(own), own @ r
-        rows = stored(mapped(rows, n, lambda pos, i, x, inverse=inverse: (pos, i, x @ inverse)), "qr")
-    upper = rows.sparkSession.createDataFrame([(i, j, float(r[i, j])) for i in range(n) for j in range(i, n)], "i long, j long, v double")
-    return from_rows(rows, n, "i"), upper
+    r = np.frombuffer(ends.first()["r"]).reshape(n, n)
+    sign = np.where(np.diag(r) < 0, -1.0, 1.0)
+    r = r * sign[:, None]
+    if (np.abs(np.diag(r)) <= EPS).any():
+        raise ValueError("the columns are dependent")
+    above = spark.createDataFrame(pa.table({"id": pa.array([0], pa.int64()), "q": pa.array([np.diag(sign).tobytes()])}))
+    for level in reversed(levels):
+        own = level.select("id", "up", "q").groupBy("up")
+        above = stored(own.cogroup(above.groupBy("id")).applyInArrow(down, "id long, q binary"), "qr")
+    done = rows.select("id", "i", "row").groupBy("id").cogroup(above.groupBy("id")).applyInArrow(turned_rows, ROWS)
+    upper = spark.createDataFrame([(i, j, float(r[i, j])) for i in range(n) for j in range(i, n)], "i long, j long, v double")
+    return from_rows(done, n, "i"), upper

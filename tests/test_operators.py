@@ -396,6 +396,23 @@ def test_qr_and_permutations(spark):
     assert dense.compose_swaps([(0, 2), (1, 2)], 3) == [2, 0, 1]
 
 
+def test_qr_of_nearly_dependent_columns(spark, monkeypatch):
+    """Chunks of few rows, so that the tree has several levels; a condition of 1e12."""
+    rng = np.random.default_rng(8)
+    u, v = np.linalg.qr(rng.standard_normal((700, 6)))[0], np.linalg.qr(rng.standard_normal((6, 6)))[0]
+    x = u * np.logspace(0, -12, 6) @ v
+    monkeypatch.setattr(dense, "ARITY", 2)
+    q, r = dense.qr(arrow_frame(spark, x).repartition(23, "i"), 6)
+    q, r = arrow_array(q, 700, 6), arrow_array(r, 6, 6)
+    assert np.abs(q.T @ q - np.eye(6)).max() < 1e-13 and np.abs(q @ r - x).max() < 1e-13
+    assert (np.diag(r) > 0).all() and np.allclose(r, np.triu(r))
+    few = rng.standard_normal((3, 3))
+    q, r = dense.qr(arrow_frame(spark, few).repartition(3, "i"), 3)
+    assert np.allclose(arrow_array(q, 3, 3) @ arrow_array(r, 3, 3), few)
+    with pytest.raises(ValueError, match="dependent"):
+        dense.qr(arrow_frame(spark, few).limit(0), 3)
+
+
 # ---- transforms and stencils
 
 
