@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,44 +70,53 @@ def without_vertices(edges: DataFrame, gone: DataFrame) -> DataFrame:
     return edges.join(gone, "i", "left_anti").join(gone.withColumnRenamed("i", "j"), "j", "left_anti")
 
 
-def match(edges: DataFrame, tail: int = 1000) -> DataFrame:
+def decided(live: DataFrame) -> DataFrame:
+    """(i, j, w), i < j: edges that the greedy matching takes, as far as chains decide it. live: (i, j, w, tie), both directions.
+
+    An edge that no neighbour outweighs is taken. One that a single neighbour outweighs is taken if that one is not. So
+    such edges form chains, and the chain up to an edge that is taken decides by its length, odd or even; pointers along
+    the chains are doubled, so a chain of any length takes as many steps as it has binary digits. Chains that end at an
+    edge with several heavier neighbours stay open. A vertex hands on its two heaviest edges only.
+    """
+    order = F.struct("w", "tie", "j")
+    best = live.groupBy("i").agg(F.max(order).alias("b"))
+    second = live.join(best, "i").where(F.col("j") != F.col("b.j")).groupBy("i").agg(F.max(order).alias("s"))
+    none = F.lit(None).cast("long")
+    tops = F.array(F.struct(F.col("b.j").alias("j"), F.col("b.w").alias("w"), F.lit(0).alias("over"), none.alias("via")), F.struct("s.j", "s.w", F.lit(1).alias("over"), F.col("b.j").alias("via")))
+    ends = best.join(second, "i", "left").select("i", F.inline(tops)).where("j IS NOT NULL")
+    above = F.when(F.col("over") == 1, F.struct(F.least("i", "via").alias("i"), F.greatest("i", "via").alias("j")))
+    edges = ends.groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("z")).agg(F.max("w").alias("w"), F.count("*").alias("n"), F.sum("over").alias("over"), F.max(above).alias("to"))
+    chains = edges.where("n = 2 AND over < 2").select(F.col("a").alias("i"), F.col("z").alias("j"), "w", "to", (F.col("over") == 1).alias("odd"), F.lit(False).alias("open"))
+    chains = stored(chains, "chains")
+    while not chains.where("to IS NOT NULL AND NOT open").isEmpty():
+        going = chains.where("to IS NOT NULL AND NOT open")
+        on = chains.select(F.struct("i", "j").alias("to"), F.col("to").alias("further"), F.col("odd").alias("more"), F.col("open").alias("ends"))
+        moved = going.join(on, "to", "left").select("i", "j", "w", F.coalesce("further", F.when(F.col("more").isNull(), F.col("to"))).alias("to"), (F.col("odd") != F.coalesce("more", F.lit(False))).alias("odd"), F.coalesce("ends", F.lit(True)).alias("open"))
+        chains = stored(chains.where("to IS NULL OR open").union(moved.select(chains.columns)), "chains")
+    return chains.where("to IS NULL AND NOT open AND NOT odd").select("i", "j", "w")
+
+
+def match(edges: DataFrame) -> DataFrame:
     """Locally dominant matching as (i, j, w), i < j. edges: (i, j, w, tie), both directions.
 
-    In each round every vertex points to its heaviest living edge (by weight, then tie; the maximum is combined
-    map-side, so hubs are harmless), edges that both ends point to are taken, and edges of taken vertices go. As the
-    order is strict, the result is that of taking edges greedily from the heaviest, at least half the greatest weight.
-    A round writes one table to the shared folder, of the edges that live on and those taken. A path of rising weights
-    would need as many rounds as it has edges, so once ``tail`` directed edges or fewer live, one task takes them
-    greedily; the result is the same whatever the tail.
+    In each round the edges that chains decide are taken (``decided``), among them all that are the heaviest at both
+    ends, and edges of taken vertices go. Every vertex hands on two maxima, combined map-side, so hubs are harmless. As
+    the order by weight and tie is strict, the result is that of taking edges greedily from the heaviest, at least half
+    the greatest weight. Rounds don't grow with the length of rising paths. A round writes one table to the shared
+    folder, of the edges that live on and those taken, and one for each doubling of its chains.
     """
-    live = edges.select("i", "j", "w", "tie")
-    n, found = None, []
-    while n is None or n > tail:
-        best = heaviest_edge(live)
-        back = best.select(F.col("j").alias("i"), F.col("i").alias("j"))
-        taken = best.join(back, ["i", "j"])
-        rest = without_vertices(live, taken.select("i")).select("i", "j", "w", "tie", F.lit(False).alias("taken"))
-        both = stored(rest.union(taken.where("i < j").select("i", "j", "w", F.lit(None).cast(live.schema["tie"].dataType), F.lit(True))), "matched")
+    live = stored(edges.select("i", "j", "w", "tie"), "live")
+    found, n = live.where("false").select("i", "j", "w"), live.count()
+    while n:
+        taken = decided(live)
+        rest = without_vertices(live, taken.select(F.explode(F.array("i", "j")).alias("i"))).select("i", "j", "w", "tie", F.lit(False).alias("taken"))
+        both = stored(rest.union(taken.select("i", "j", "w", F.lit(None).cast(live.schema["tie"].dataType), F.lit(True))), "matched")
         n, n_taken = both.agg(F.count_if(~F.col("taken")), F.count_if("taken")).first()
         if n and not n_taken:
             raise ValueError("no edge is the heaviest at both ends: the order isn't strict, or edges lack their other direction")
-        found.append(both.where("taken").select("i", "j", "w"))
+        found = found.union(both.where("taken").select("i", "j", "w"))
         live = both.where("NOT taken").select("i", "j", "w", "tie")
-    out = live.where("i < j").withColumn("all", F.lit(0)).groupBy("all").applyInPandas(greedy, "i long, j long, w double")
-    for x in found:
-        out = out.unionByName(x)
-    return out
-
-
-def greedy(edges: pd.DataFrame) -> pd.DataFrame:
-    """Takes edges from the heaviest, by weight and tie, whose ends are both free."""
-    used: set[int] = set()
-    kept = []
-    for k, i, j in edges.sort_values(["w", "tie"], ascending=False)[["i", "j"]].itertuples():
-        if i not in used and j not in used:
-            used |= {i, j}
-            kept.append(k)
-    return edges.loc[kept, ["i", "j", "w"]]
+    return found
 
 
 def matching_stats(matches: DataFrame, edges: DataFrame) -> DataFrame:

@@ -189,10 +189,9 @@ def chain(spark, n=10):
     return spark.createDataFrame(rows, "i long, j long, w double, part int")
 
 
-@pytest.mark.parametrize("tail", [0, 20_000])
-def test_matching_of_the_chain(spark, tail):
+def test_matching_of_the_chain(spark):
     edges = chain(spark)
-    found = graph.match(graph.with_ties(graph.validate_graph(edges), 10), tail).persist()
+    found = graph.match(graph.with_ties(graph.validate_graph(edges), 10)).persist()
     assert sorted(tuple(r) for r in found.collect()) == [(k, k + 1, float(k + 1)) for k in range(0, 10, 2)]
     assert tuple(graph.matching_stats(found, edges).first()) == (5, 25.0, 27.0, 45.0, True)
     assert sorted(tuple(r) for r in graph.matching_parts(found, graph.vertex_parts(edges)).collect()) == [(0, 1, 1), (1, 0, 2), (2, 0, 2), (3, 1, 1)]
@@ -210,8 +209,22 @@ def test_matching_is_greedy_by_weight_and_tie(spark, seed):
             used |= {a, b}
             want.add((a, b))
     ties = graph.with_ties(edges, 14)
-    for tail in (0, 20_000) if seed == 0 else (20_000,):
-        assert {(r.i, r.j) for r in graph.match(ties, tail).collect()} == want
+    assert {(r.i, r.j) for r in graph.match(ties).collect()} == want
+
+
+def test_matching_of_long_rising_paths_takes_few_rounds(spark, monkeypatch):
+    """A path of rising weights, one with a branch in its middle, and a ring."""
+    n, rounds = 5000, []
+    pairs = [(k, k + 1, float(k)) for k in range(n)] + [(n // 2, n + 5, 0.5)] + [(10_000 + k, 10_000 + (k + 1) % 301, 7.0 + k) for k in range(301)]
+    decided = graph.decided
+    monkeypatch.setattr(graph, "decided", lambda x: rounds.append(1) or decided(x))
+    edges = spark.createDataFrame([(*e, w) for a, b, w in pairs for e in ((a, b), (b, a))], "i long, j long, w double")
+    used, want = set(), set()
+    for a, b, w in sorted(pairs, key=lambda e: -e[2]):
+        if not {a, b} & used:
+            used |= {a, b}
+            want.add((min(a, b), max(a, b), w))
+    assert {tuple(r) for r in graph.match(graph.with_ties(edges, 20_000)).collect()} == want and len(rounds) <= 3
 
 
 def test_faulty_graphs(spark):
