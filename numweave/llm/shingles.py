@@ -117,10 +117,8 @@ def prefixes(docs: DataFrame, shingle: int, least: float) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, node long, fp long, n int, bits binary, keys binary")
 
 
-def shared(nodes: DataFrame, least: float, centres: int | None) -> DataFrame:
-    """Pairs (a, b) of nodes (columns node, root, n, keys) that share a prefix shingle and can reach the similarity by
-    size and by the shingle's places, and have different roots. With ``centres``, of each shingle only pairs with its
-    first few nodes, and a loop (a, a) for each node where that leaves pairs out; without, all pairs."""
+def dealt(nodes: DataFrame) -> DataFrame:
+    """(key, node, root, n, place): a row for each prefix shingle of nodes (columns node, root, n, keys)."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,6 +130,21 @@ def shared(nodes: DataFrame, least: float, centres: int | None) -> DataFrame:
             columns = [np.repeat(batch.column(c).to_numpy(), sizes) for c in ("node", "root", "n")]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *map(pa.array, columns), pa.array(place.astype(np.int32))], names=["key", "node", "root", "n", "place"])
 
+    return nodes.select("node", "root", "n", "keys").mapInArrow(deal, "key long, node long, root long, n int, place int")
+
+
+def reach(n: np.ndarray, bits: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """Whether sizes and bitmaps let sets i and j reach the similarity: a bit that only one has is a shingle the other lacks."""
+    x, y = bits[i], bits[j]
+    both = np.minimum(n[i] - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), n[j] - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+    return both * (1 + least) >= least * (n[i] + n[j]) - 1e-6
+
+
+def shared(entries: DataFrame, least: float, centres: int | None) -> DataFrame:
+    """Pairs (a, b) of nodes of ``entries`` (see ``dealt``, and ``bits``, the bitmaps or nulls) that share a shingle, can
+    reach the similarity by size, by the shingle's places and by bitmaps, and have different roots. With ``centres``, of each shingle only pairs with its first few nodes,
+    and a row with its ``key`` alone where that leaves pairs out; without, all pairs."""
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not (held := [x for x in batches if len(x)]):
             return
@@ -141,11 +154,17 @@ def shared(nodes: DataFrame, least: float, centres: int | None) -> DataFrame:
         key, node, root, n, place = (x[order] for x in (key, node, root, n, place))
         n, rest = n.astype(np.int64), n.astype(np.int64) - place
         cut = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-        out, size = [], 0
+        out, more, size = [], [], 0
+        bits = None
+        if len(key) and not any(x.column("bits").null_count for x in held):
+            bits = np.frombuffer(b"".join(y for x in held for y in x.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)[order]
 
         def pairs() -> pa.RecordBatch:
-            both = np.unique(np.concatenate(out), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+            both = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *out]), axis=0)
+            left = np.array(more, np.int64)
+            none = pa.nulls(len(left), pa.int64())
+            columns = [pa.concat_arrays([pa.array(both[:, k]), none]) for k in (0, 1)]
+            return pa.RecordBatch.from_arrays([*columns, pa.concat_arrays([pa.nulls(len(both), pa.int64()), pa.array(left)])], names=["a", "b", "key"])
 
         for a, b in zip(cut, [*cut[1:], len(key)]):
             if (root[a:b] == root[a]).all():
@@ -158,19 +177,20 @@ def shared(nodes: DataFrame, least: float, centres: int | None) -> DataFrame:
                 good &= np.minimum(rest[i, None], rest[None, a:b]) * (1 + least) >= least * (n[i, None] + n[None, a:b]) - 1e-6
                 good &= root[i, None] != root[None, a:b]
                 x, y = np.nonzero(good)
+                if bits is not None:
+                    near = np.concatenate([np.zeros(0, bool), *(reach(n, bits, i[x[k : k + 50_000]], a + y[k : k + 50_000], least) for k in range(0, len(x), 50_000))])
+                    x, y = x[near], y[near]
                 out.append(np.stack([node[i[x]], node[a + y]], 1))
                 size += len(x)
             if centres is not None and b - a > centres + 1:
-                out.append(np.stack([node[a:b], node[a:b]], 1))
-                size += b - a
+                more.append(key[a])
             if size > 1 << 20:
                 yield pairs()
-                out, size = [], 0
-        if size:
+                out, more, size = [], [], 0
+        if size or more:
             yield pairs()
 
-    entries = nodes.select("node", "root", "n", "keys").mapInArrow(deal, "key long, node long, root long, n int, place int")
-    return stored(entries.repartition("key").mapInArrow(meet, "a long, b long").distinct(), "pairs")
+    return stored(entries.repartition("key").mapInArrow(meet, "a long, b long, key long").distinct(), "pairs")
 
 
 def possible(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -242,11 +262,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = stored(found.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("keys").alias("keys")), "nodes")
     links = verified(print_pairs(nodes, radius), docs, nodes, shingle, least)
     rooted = nodes.select("node", "n", "keys").join(stored(components(links), "roots"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    met = shared(rooted, least, CENTRES)
-    links = stored(links.union(verified(met.where("a != b"), docs, nodes, shingle, least)), "links")
+    met = shared(dealt(rooted).withColumn("bits", F.lit(None).cast("binary")), least, CENTRES)
+    links = stored(links.union(verified(met.where("key IS NULL").select("a", "b"), docs, nodes, shingle, least)), "links")
     roots = stored(components(links), "roots")
-    left = nodes.select("node", "n", "keys").join(met.where("a = b").select(F.col("a").alias("node")), "node", "left_semi").join(roots, "node", "left")
-    more = shared(left.withColumn("root", F.coalesce("root", "node")), least, None).join(met, ["a", "b"], "left_anti")
+    rooted = nodes.select("node", "n", "keys").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    again = dealt(rooted).join(met.where("key IS NOT NULL").select("key"), "key", "left_semi").join(nodes.select("node", "bits"), "node")
+    more = shared(again, least, None).select("a", "b").join(met, ["a", "b"], "left_anti")
     roots = components(links.union(verified(stored(more, "more"), docs, nodes, shingle, least)))
     placed = nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least_id = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
