@@ -113,8 +113,8 @@ def test_collocations_against_plain(docs, rows, monkeypatch, part, words, bucket
 
 def test_collocations_ties_cuts_and_limits(spark):
     """A hot pair with many continuations, pieces ended by each mark, a language that is null, ties ordered by bytes."""
-    texts = [("en", f"of the w{k % 97} x{k % 5} Y. of the w{k % 97}"), (None, "a b c d e\tf"), (None, "A B\nC D; é Z é z"), ("", "à b! à b? b à, à b")]
-    rows = [t for k in range(400) for t in [(texts[0][0], f"of the w{k % 97} x{k % 5} Y. of the w{k % 97}")]] + [t for _ in range(31) for t in texts[1:]]
+    texts = [(None, "a b c d e\tf"), (None, "A B\nC D; é Z é z"), ("", "à b! à b? b à, à b")]
+    rows = [("en", f"of the w{k % 97} x{k % 5} Y. of the w{k % 97}") for k in range(400)] + texts * 31
     frame = spark.createDataFrame(rows, "lang string, text string").repartition(5)
     for top, bucket in ((2000, 1 << 20), (3, 10)):
         got = told(collocations.collocations(frame, top=top, bucket=bucket))
