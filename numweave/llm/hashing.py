@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ SIZE = WORDS + GRAMS + FLAGS
 PIECE = 1_000_000
 #: Most features of a sample that is brought to the driver, at twelve bytes each.
 MOST_FEATURES = 8_000_000
+#: Features that a step of the fit takes at once, so that it needs little besides the sample.
+PART = 1 << 16
 ODD = np.uint64(0x9E3779B97F4A7C15)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -128,10 +131,30 @@ def gathered(sample: DataFrame, level: float | None = None) -> tuple[np.ndarray,
     found = stored(one.mapInArrow(run, f"ids array<int>, values array<float>, target {kind}, doc_id long"), "sample")
     size = found.agg(F.sum(F.size("ids"))).first()[0] or 0
     kept = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < int(min(1.0, MOST_FEATURES / max(1, size)) * (1 << 30))
-    got = found.where(kept).toArrow().sort_by("doc_id")
-    size = np.array([len(x) for x in got.column("ids")], np.int64)
-    flat = lambda c, kind: np.array(got.column(c).combine_chunks().flatten() if len(got) else [], kind)
-    return np.repeat(np.arange(len(size), dtype=np.int32), size), flat("ids", np.int32), flat("values", np.float32), got.column("target").to_pylist()
+    got = found.where(kept).toArrow()
+    order = np.argsort(got.column("doc_id").to_numpy())
+    size = pc.list_value_length(got.column("ids")).to_numpy().astype(np.int64)
+    ends = np.cumsum(size[order])
+    at = np.empty(len(size), np.int64)
+    at[order] = ends - size[order]
+    ids, values = np.empty(size.sum(), np.int32), np.empty(size.sum(), np.float32)
+    for name, out in (("ids", ids), ("values", values)):
+        for k, x in enumerate(got.column(name)):  # straight to its place: the sample is large for the driver
+            out[at[k] : at[k] + size[k]] = x.values.to_numpy()
+    target = got.column("target").to_pylist()
+    del got
+    pa.default_memory_pool().release_unused()
+    return np.repeat(np.arange(len(size), dtype=np.int32), size[order]), ids, values, [target[k] for k in order.tolist()]
+
+
+def summed(to: np.ndarray, size: int, values: np.ndarray, worth: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Sums of values * worth[of] by ``to``, for each column of worth, added up in the order of the values."""
+    out = np.zeros((worth.shape[1], size))
+    for column, total in zip(np.ascontiguousarray(worth.T), out):
+        for k in range(0, len(values), PART):
+            part = slice(k, k + PART)
+            np.add.at(total, to[part], column[of[part]] * values[part])
+    return np.ascontiguousarray(out.T)
 
 
 def fit(row: np.ndarray, ids: np.ndarray, values: np.ndarray, targets: np.ndarray, steps: int = 120, rate: float = 0.5, decay: float = 1e-4, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
@@ -149,10 +172,10 @@ def fit(row: np.ndarray, ids: np.ndarray, values: np.ndarray, targets: np.ndarra
     used, slot = np.flatnonzero(there), (np.cumsum(there) - 1).astype(np.int32)[ids]
     w, seen, seen_bias = np.zeros((len(used), k)), np.full((len(used), k), 1e-8), np.full(k, 1e-8)
     for _ in range(steps):
-        logits = np.stack([np.bincount(row, w[slot, c] * values, n) for c in range(k)], 1) + bias
+        logits = summed(row, n, values, w, slot) + bias
         p = np.exp(logits - logits.max(1, keepdims=True))
         off = (p / p.sum(1, keepdims=True) - targets) / n
-        grad = np.stack([np.bincount(slot, off[row, c] * values, len(used)) for c in range(k)], 1) + decay * w
+        grad = summed(slot, len(used), values, off, row) + decay * w
         seen += grad**2
         w -= rate * grad / np.sqrt(seen) * 0.1
         seen_bias += off.sum(0) ** 2

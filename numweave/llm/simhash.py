@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, stored
-from .components import components
+from .components import components, label
 
 SEED = 42
 #: Most fingerprints that a tree is fitted on (the index only; every fingerprint is routed through it).
@@ -114,22 +114,6 @@ def route(tree, points: np.ndarray, mask: np.uint64, radius: int, at: np.ndarray
         stack += [(node[2], at[near], home[near] & (d[near] <= node[1])), (node[3], at[far], home[far] & (d[far] > node[1]))]
 
 
-def label(n: int, a: np.ndarray, b: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
-    """Least reachable place of each of n places."""
-    labels = np.arange(n) if labels is None else labels
-    while True:
-        la, lb = labels[a], labels[b]
-        apart = la != lb
-        if not apart.any():
-            return labels
-        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
-        low = np.minimum(la, lb)
-        np.minimum.at(labels, la, low)
-        np.minimum.at(labels, lb, low)
-        while (labels != labels[labels]).any():
-            labels = labels[labels]
-
-
 def shard_forest(points: np.ndarray, home: np.ndarray, mask: np.uint64, block_radius: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges (point, least point linked to it) of a shard: a spanning forest of its links between home points and all.
     Large shards are split again by a tree of their own; the forest keeps the output as small as the shard."""
