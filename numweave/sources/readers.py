@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark import RDD
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,14 +11,36 @@ from ..operators.sparse import local_index_of
 from .binary import record_files
 
 
+def text_lines(spark: SparkSession, path: str) -> RDD:
+    """Lines of a file, or of a folder's files in order of their names (a folder is listed in no order)."""
+    return spark.sparkContext.textFile(record_files(spark, path))
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(k, line) of a text file; k counts from 0 over the whole file. Lines keep their order through zipWithIndex, which
     counts partitions first, so no task sees more than its own."""
-    return spark.createDataFrame(spark.sparkContext.textFile(path).zipWithIndex().map(lambda x: (x[1], x[0])), "k long, line string")
-
-
-def head(lines: DataFrame, start: int, n: int) -> list[str]:
-    return [r[1] for r in lines.where(F.col("k").between(start, start + n - 1)).orderBy("k").collect()]
+    return spark.createDataFrame(text_lines(spark, path).zipWithIndex().map(lambda x: (x[1], x[0])), "k long, line string")
+
+
+def market_head(lines: RDD) -> tuple[list[str], list[int], list[int], int]:
+    """(first line's words, sizes, part starts, place of the first entry), from as many first lines as it takes."""
+    most = 64
+    while True:
+        found = lines.take(most)
+        at = next((k for k, x in enumerate(found) if x.strip() and not x.lstrip().startswith("%")), None)
+        if at is not None:
+            numbers = [int(x) for x in found[at].split()]
+            starts, first = [0, numbers[2]], at + 1
+            if len(numbers) > 3:
+                starts = []
+                while len(starts) <= numbers[3] and first < len(found):
+                    starts += [int(x) for x in found[first].split()]
+                    first += 1
+            if len(numbers) <= 3 or len(starts) > numbers[3]:
+                return found[0].split(), numbers, starts, first
+        if len(found) < most:
+            raise ValueError("no header" if at is None else "the starts of parts are not complete")
+        most *= 4
 
 
 def read_matrix_market(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
@@ -27,21 +50,14 @@ def read_matrix_market(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     Entry k is in the part q with start[q] <= k < start[q + 1]; parts may be empty. Entries of a pattern file are 1.
     Symmetric files are not expanded.
     """
-    lines = numbered_lines(spark, path)
-    at = lines.where("NOT line RLIKE '^\\\\s*(%|$)'").agg(F.min("k")).first()[0]
-    if at is None:
-        raise ValueError(f"{path}: no header")
-    banner = next(iter(head(lines, 0, 1)), "")
-    pattern = banner.startswith("%%MatrixMarket") and banner.split()[3:4] == ["pattern"]
-    numbers = [int(x) for x in head(lines, at, 1)[0].split()]
+    try:
+        banner, numbers, starts, first = market_head(text_lines(spark, path))
+    except ValueError as error:
+        raise ValueError(f"{path}: {error}") from None
+    pattern = banner[:1] == ["%%MatrixMarket"] and banner[3:4] == ["pattern"]
     if numbers[0] != numbers[1]:
         raise ValueError(f"{path}: {numbers[0]} by {numbers[1]} is not square")
-    starts, first = [0, numbers[2]], at + 1
-    if len(numbers) > 3:
-        starts = []
-        while len(starts) <= numbers[3]:
-            starts += [int(x) for x in head(lines, first, 1)[0].split()]
-            first += 1
+    lines = numbered_lines(spark, path)
     words = F.split(F.trim("line"), r"\s+")
     rows = lines.where(f"k >= {first} AND line RLIKE '\\\\S'").select((F.col("k") - first).alias("k"), words.alias("w")).where(f"k < {numbers[2]}")
     part = F.size(F.filter(F.array(*map(F.lit, starts[:-1])), lambda s: s <= F.col("k"))) - 1

@@ -55,9 +55,9 @@ def write_lines(lines: DataFrame, order: list[str], path: str) -> None:
 
 def write_matrix_market(a: DataFrame, parts: int, path: str) -> None:
     """A square matrix (i, j, v, part) as ``read_matrix_market`` reads it: ``n n nz parts``, the parts' starts, entries from 1."""
-    counts = {r.part: r.n for r in a.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    starts = [sum(n for q, n in counts.items() if q < p) for p in range(parts + 1)]
-    n = (a.agg(F.greatest(F.max("i"), F.max("j"))).first()[0] or 0) + 1
+    found = a.groupBy("part").agg(F.count("*").alias("n"), F.greatest(F.max("i"), F.max("j")).alias("last")).collect()
+    starts = [sum(r.n for r in found if r.part < p) for p in range(parts + 1)]
+    n = max((r.last for r in found if r.last is not None), default=0) + 1
     head = [f"{n} {n} {starts[-1]} {parts}", *map(str, starts)]
     first = a.sparkSession.createDataFrame([(-1, k, 0, x) for k, x in enumerate(head)], "part int, i long, j long, line string")
     entries = a.select("part", "i", "j", F.concat_ws(" ", F.col("i") + 1, F.col("j") + 1, "v").alias("line"))

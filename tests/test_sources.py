@@ -31,6 +31,15 @@ def test_matrix_market_pattern_empty_parts_and_errors(spark, tmp_path):
         readers.read_matrix_market(spark, str(tmp_path / "bad"))
 
 
+def test_matrix_market_of_many_files_is_read_in_order_of_their_names(spark, tmp_path):
+    entries = [(k, (7 * k) % 40, k + 0.5, k // 20) for k in range(40)]
+    lines = ["% c"] * 70 + ["40 40 40 2", "0", "20", "40"] + [f"{i + 1} {j + 1} {v}" for i, j, v, _ in entries]
+    for k in reversed(range(12)):
+        (tmp_path / f"part-{k:05d}-x.txt").write_text("".join(x + "\n" for x in lines[10 * k : 10 * k + 10]))
+    a, n = readers.read_matrix_market(spark, str(tmp_path))
+    assert n == 40 and triples(a, "i", "j", "v", "part") == entries
+
+
 def test_distributions(spark, tmp_path):
     v, u = (readers.read_vector_distribution(spark, HERE + f"five.{x}") for x in "vu")
     assert triples(v, "i", "part", "local_ind") == [(0, 1, 0), (1, 0, 0), (2, 0, 1), (3, 1, 1), (4, 1, 2)]
