@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from numweave.functions import index
 from numweave.operators import blocks, dense, graph, order, sparse, spectral, stats, stencil, vector
 from numweave.sources import generators as make
+from numweave.storage import stored
 
 
 def to_array(df, *shape):
@@ -254,6 +255,43 @@ def test_products(spark):
     assert np.allclose(to_array(blocks.three_mm(*(t[k] for k in "abcd"), b), n, n), x["a"] @ x["b"] @ x["c"] @ x["d"])
 
 
+def shuffled_rows(spark, run) -> int:
+    """Rows that a piece of work writes to shuffles."""
+    jvm, context = spark._jvm, spark.sparkContext
+    stages = lambda: context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(jvm.double, 0), None)
+    written = lambda: {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in (stages().apply(k) for k in range(stages().size()))}
+    before = written()
+    run()
+    return sum(n for stage, n in written().items() if stage not in before)
+
+
+def test_products_send_factors_not_products(spark):
+    n, b, rng = 96, 4, np.random.default_rng(2)
+    x, y = rng.standard_normal((n, n)), rng.standard_normal((n, n))
+    one, two = (stored(blocks.to_blocks(frame(spark, z), b)) for z in (x, y))
+    got = {}
+    sent = shuffled_rows(spark, lambda: got.update(p=stored(blocks.block_product(one, two, b, 2.0))))
+    assert np.allclose(to_array(blocks.from_blocks(got["p"], b), n, n), 2 * x @ y)
+    assert 0 < sent < 2 * 4 * (n // b) ** 2 + 100
+
+
+def test_products_of_long_triangular_and_large_matrices(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    tall = rng.standard_normal((90, 3))
+    t = frame(spark, tall)
+    assert np.allclose(to_array(blocks.matmul(blocks.transpose(t), t, 2), 3, 3), tall.T @ tall)
+    assert np.allclose(to_array(blocks.matmul(t, blocks.transpose(t), 2), 90, 90), tall @ tall.T)
+    low, up = np.tril(rng.standard_normal((21, 21))), np.triu(rng.standard_normal((21, 21)))
+    monkeypatch.setattr(blocks, "HELD", 8 * 16)
+    monkeypatch.setattr(blocks, "TILE", 8)
+    monkeypatch.setattr(blocks, "PACKED", 50)
+    a, b = frame(spark, low), frame(spark, up)
+    assert np.allclose(to_array(blocks.matmul(a, b, 2), 21, 21), low @ up) and np.allclose(to_array(blocks.matmul(b, a, 2), 21, 21), up @ low)
+    assert np.allclose(to_array(blocks.syrk(2, a, 3, b, 2), 21, 21), np.tril(2 * low @ low.T + 3 * up))
+    zero = blocks.gemm(2, a.limit(0), b, 3, spark.createDataFrame([(0, 1, 0.0), (5, 5, 2.0), (5, 5, 1.0)], "i long, j long, v double"), 2)
+    assert sorted(tuple(r) for r in zero.collect()) == [(0, 1, 0.0), (5, 5, 9.0)]
+
+
 def test_symmetric_and_triangular_products(spark):
     n, b = 7, 3
     t, x = kernel(spark, "symm", n)
