@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from numweave.functions import index
 from numweave.operators import blocks, dense, graph, order, sparse, spectral, stats, stencil, vector
 from numweave.sources import generators as make
-from numweave.storage import stored
+from numweave.storage import shared_dir, stored
 
 
 def to_array(df, *shape):
@@ -506,3 +506,28 @@ def test_jacobi(spark, n, steps, tile, depth):
 
 def test_fft_flop_rate(spark):
     assert math.isclose(spark.range(1).select(stats.fft_flop_rate(F.lit(8), F.lit(1.0))).first()[0], 136e-6)
+
+
+# ---- what factorisations leave in the shared folder
+
+
+def folder_bytes(spark, run) -> tuple[int, int]:
+    """Bytes that a piece of work leaves in the shared folder, and that its shuffles write."""
+    jvm, context = spark._jvm, spark.sparkContext
+    at = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    size = lambda: at.getFileSystem(context._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    stages = lambda: context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(jvm.double, 0), None)
+    sent = lambda: {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in (stages().apply(k) for k in range(stages().size()))}
+    there, before = size(), sent()
+    run()
+    return size() - there, sum(n for stage, n in sent().items() if stage not in before)
+
+
+def test_cholesky_leaves_its_factor_and_sends_no_tiles(spark):
+    n, block = 144, 12
+    x = np.random.default_rng(6).standard_normal((n, n))
+    a = arrow_frame(spark, x @ x.T + n * np.eye(n))
+    got = {}
+    left, sent = folder_bytes(spark, lambda: got.update(r=dense.cholesky(a, n, block)))
+    assert np.allclose(arrow_array(got["r"], n, n), np.linalg.cholesky(x @ x.T + n * np.eye(n)).T)
+    assert left < 2 * 8 * n * n and sent < 4 * 8 * n * n
