@@ -531,3 +531,14 @@ def test_cholesky_leaves_its_factor_and_sends_no_tiles(spark):
     left, sent = folder_bytes(spark, lambda: got.update(r=dense.cholesky(a, n, block)))
     assert np.allclose(arrow_array(got["r"], n, n), np.linalg.cholesky(x @ x.T + n * np.eye(n)).T)
     assert left < 2 * 8 * n * n and sent < 4 * 8 * n * n
+
+
+@pytest.mark.parametrize("pivoting", ["tournament", "partial"])
+def test_lu_leaves_its_factors_alone(spark, pivoting):
+    n, block = 144, 12
+    x = np.random.default_rng(7).standard_normal((n, n))
+    got = {}
+    left, _ = folder_bytes(spark, lambda: got.update(p=dense.lu(arrow_frame(spark, x), n, block, pivoting)))
+    factors, pi = got["p"]
+    assert np.allclose(arrow_array(dense.reconstruct_lu(factors, pi, n, block), n, n), x)
+    assert left < 3 * 8 * n * n
