@@ -91,16 +91,17 @@ def read_perm_i32(spark: SparkSession, path: str) -> DataFrame:
 def read_run_times(spark: SparkSession, root: str) -> DataFrame:
     """(experiment, n, tsteps, p, time, value, file) of root/<experiment>/*.csv.
 
-    Files name their columns in a first line: ``tsteps`` may be absent (null), an empty last name is dropped.
+    Files name their columns in a first line: ``tsteps`` may be absent (null), an empty last name is dropped. Where each
+    file has its columns is broadcast, a row for each file, so the lines stay where they are read.
     """
-    rows = spark.read.text(f"{root}/*/*.csv").select(F.col("_metadata.file_path").alias("file"), F.split("value", ",").alias("w"))
-    names = rows.where(F.trim(F.get("w", F.lit(0))) == "n").select("file", F.transform("w", F.trim).alias("names")).dropDuplicates(["file"])
-    cells = rows.where(F.get("w", F.lit(0)).try_cast("int").isNotNull()).join(names, "file")
-    cell = lambda c, kind: F.get("w", (F.array_position("names", c) - 1).cast("int")).try_cast(kind)
-    cell_or_null = lambda c, kind: F.when(F.array_contains("names", c), cell(c, kind)).alias(c)
+    lines = spark.read.text(f"{root}/*/*.csv").select(F.col("_metadata.file_path").alias("file"), "value")
     kinds = (("n", "int"), ("tsteps", "int"), ("p", "int"), ("time", "double"), ("value", "double"))
+    names = F.transform(F.split("value", ","), F.trim)
+    places = ((F.array_position(names, c) - 1).cast("int").alias(f"at_{c}") for c, _ in kinds)
     experiment = F.regexp_extract("file", r"([^/]+)/[^/]+$", 1).alias("experiment")
-    return cells.select(experiment, *(cell_or_null(*k) for k in kinds), "file")
+    heads = lines.where(F.trim(F.substring_index("value", ",", 1)) == "n").select("file", experiment, *places).dropDuplicates(["file"])
+    cells = lines.select("file", F.split("value", ",").alias("w")).where(F.get("w", F.lit(0)).try_cast("int").isNotNull()).join(F.broadcast(heads), "file")
+    return cells.select("experiment", *(F.get("w", F.col(f"at_{c}")).try_cast(kind).alias(c) for c, kind in kinds), "file")
 
 
 def read_results_long(spark: SparkSession, path: str) -> DataFrame:

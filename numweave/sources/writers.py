@@ -72,9 +72,9 @@ def write_vector_distribution(owners: DataFrame, parts: int, path: str) -> None:
 
 def write_run_times(df: DataFrame, path: str, by: str = "p") -> None:
     """``n,p,time,value`` with a header, in a folder for each value of ``by``: p, or the experiment, as ``read_run_times`` reads
-    them."""
+    them. Each task writes a file for each value it meets, so a few values do not mean a few tasks, and nothing is shuffled."""
     kept = [c for c in (*{by: 0}, "n", "tsteps", "p", "time", "value") if c in df.columns]
-    df.select(*dict.fromkeys(kept)).repartition(by).write.partitionBy(by).csv(path, header=True)
+    df.select(*dict.fromkeys(kept)).write.partitionBy(by).csv(path, header=True)
 
 
 def format_matrix_dump(a: DataFrame, n: int) -> DataFrame:

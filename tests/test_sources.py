@@ -130,3 +130,16 @@ def test_writers_round_trip(spark, tmp_path):
     assert triples(spark.read.csv(str(tmp_path / "runs"), header=True, inferSchema=True), "n", "p", "time") == [(8, 1, 0.5), (8, 2, 0.25)]
     dump = "".join(r.text for r in writers.format_matrix_dump(generators.matrix(spark, 5, 5, lambda i, j: i + j / 10), 5).orderBy("i").collect())
     assert dump.startswith("\n0.00 0.10 ") and dump.count("\n") == 2 and dump.split("\n")[2] == "4.00 4.10 4.20 4.30 4.40 "
+
+
+def test_run_times_of_one_experiment_are_written_and_read_by_many_tasks(spark, tmp_path):
+    runs = spark.range(400).selectExpr("'a b' AS experiment", "CAST(id AS INT) AS n", "CAST(id % 7 AS INT) AS p", "id / 8 AS time").repartition(4)
+    writers.write_run_times(runs, str(tmp_path / "runs"), by="experiment")
+    assert len(list((tmp_path / "runs").glob("*/*.csv"))) == 4
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = readers.read_run_times(spark, str(tmp_path / "runs"))
+        assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+        assert triples(got, "n", "p", "time") == triples(runs, "n", "p", "time") and got.where("tsteps IS NULL AND value IS NULL").count() == 400
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
